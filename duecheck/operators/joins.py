@@ -21,11 +21,10 @@ def fits_broadcast(*tables: DataFrame) -> bool:
     """
     total = 0
     for df in tables:
-        try:
-            plan = df._jdf.queryExecution().optimizedPlan()
-            total += int(plan.stats().sizeInBytes().toString())
-        except AttributeError:  # a remote session has no plan handle
+        if not hasattr(df, "_jdf"):  # a remote session has no plan handle
             return False
+        plan = df._jdf.queryExecution().optimizedPlan()
+        total += int(str(plan.stats().sizeInBytes()))
         if any(node in plan.toString() for node in ("Generate ", "Expand ")):
             return False
     return total <= BROADCAST_BYTES
@@ -50,7 +49,7 @@ def hot_join(
     how: str = "inner",
     *,
     sized_by: Sequence[DataFrame] = (),
-    hot: DataFrame | None = None,
+    counted_on: DataFrame | None = None,
     spread: Sequence[str] = (),
     share: int = HOT_SHARE,
 ) -> DataFrame:
@@ -64,8 +63,9 @@ def hot_join(
     of the plain join.
 
     ``sized_by``: stored tables whose sizes bound the small side, where its own
-    plan is a join that the estimate multiplies out. ``hot``: hot keys already
-    known. Rows of a stored ``large`` table are dealt by their place in it,
+    plan is a join that the estimate multiplies out. ``counted_on``: a stored
+    table that holds at least the rows of a derived ``large`` side, to find hot
+    keys without computing that side twice. Rows of a stored ``large`` table are dealt by their place in it,
     which spreads identical copies too; a derived one names ``spread`` columns,
     so that a retried task deals each row to the same piece again.
     """
@@ -75,7 +75,7 @@ def hot_join(
     if fits_broadcast(*(sized_by or [small])):
         return large.join(F.broadcast(small), keys, how)
     # At most `share` rows, see hot_keys.
-    hot = F.broadcast(hot_keys(large, keys, share) if hot is None else hot)
+    hot = F.broadcast(hot_keys(large if counted_on is None else counted_on, keys, share))
     no_key = F.lit(False)
     for key in keys:
         no_key = no_key | F.col(key).isNull()

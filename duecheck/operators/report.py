@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from duecheck.functions.numeric import ratio
 from duecheck.operators.evaluate import detectors, scorecard
-from duecheck.operators.joins import hot_join, hot_keys
+from duecheck.operators.joins import hot_join
 from duecheck.schemas import IDENTITY, MONEY
 from duecheck.sources.tables import stage
 
@@ -134,7 +134,7 @@ def customer_ranking(
             ranks,
             [column],
             sized_by=[totals],
-            hot=hot_keys(totals, [column]),
+            counted_on=totals,
             spread=["customer_id"],
         )
     return ranked.select("customer_id", "estimated", "confirmed", "estimated_rank", "confirmed_rank")

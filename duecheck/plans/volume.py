@@ -11,9 +11,10 @@ from pyspark.sql import functions as F
 from duecheck.functions.hashing import hash32
 from duecheck.functions.numeric import half_up, whole
 from duecheck.operators.extract import REGEX_ARM
-from duecheck.operators.joins import hot_join, hot_keys
+from duecheck.operators.joins import hot_join
 from duecheck.plans.corpus import DISCOUNTS, _rate
 from duecheck.schemas import MONEY, PCT
+from duecheck.sources.tables import spread
 
 DISCOUNT_END = "1998-03-15"
 MINIMUMS = [0, 0, 20_000, 50_000]
@@ -23,7 +24,7 @@ def billing(lineitem: DataFrame, orders: DataFrame, part: DataFrame, customer: D
     price_c = F.round(F.col("l_extendedprice") * 100).cast("long")
     units = F.round("l_quantity").cast("long")
     lines = hot_join(
-        lineitem.select(
+        spread(lineitem, "l_orderkey").select(
             "l_orderkey",
             "l_linenumber",
             F.col("l_partkey").alias("p_partkey"),
@@ -48,7 +49,7 @@ def billing(lineitem: DataFrame, orders: DataFrame, part: DataFrame, customer: D
         headers,
         ["l_orderkey"],
         sized_by=[orders, customer],
-        hot=hot_keys(lineitem.select("l_orderkey"), ["l_orderkey"]),
+        counted_on=lineitem,
         spread=["l_orderkey", "l_linenumber", "price_c"],
     )
     invoice = F.concat_ws("-", F.lit("INV"), F.col("l_orderkey").cast("string"), F.col("l_linenumber").cast("string"))

@@ -37,6 +37,15 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """Give a table that sits in few files to all tasks before costly row work.
+
+    A table with as many partitions as there are cores is left as it is.
+    """
+    width = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(width, *keys) if df.rdd.getNumPartitions() < width else df
+
+
 def replace_arms(df: DataFrame, path: str, arm_column: str, arms: Sequence[str]) -> None:
     """Replace the rows of ``arms`` in the table at ``path``; other arms stay.
 
