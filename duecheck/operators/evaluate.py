@@ -153,6 +153,7 @@ def _matched(verdict: DataFrame, findings: DataFrame, answer_key: DataFrame) ->
         findings.withColumn("claimed", F.col("estimated_recovery").cast(MONEY)),
         confirmed.select("detected_by", *IDENTITY, "actual"),
         ["detected_by", *IDENTITY],
+        sized_by=[verdict, answer_key],
     )
 
 

@@ -44,16 +44,15 @@ def build_findings(
     """Findings of this run, with the memos of the previous one re-attached.
 
     Memos are matched on the arm and the leak's identity; a memo whose leak is
-    gone has nothing to match and is dropped.
+    gone has nothing to match and is dropped. With a ``previous`` run the
+    candidates should be a stored table, see :func:`hot_join`.
     """
     labelled = label_arms(candidates)
     if previous is None:
         found = labelled.withColumn("draft_memo", F.lit(None).cast("string"))
     else:
         # One identity may carry many findings (lines billed twice), hence hot_join.
-        found = hot_join(
-            labelled, latest_memos(previous), ARM_IDENTITY, "left", spread=["evidence"]
-        )
+        found = hot_join(labelled, latest_memos(previous), ARM_IDENTITY, "left")
     identity = [F.col(c) for c in ARM_IDENTITY]
     return (
         found.withColumn("finding_id", stable_id(*identity))

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 HOT_SHARE = 1000
 
 # Largest estimated size of a side that is broadcast.
-BROADCAST_BYTES = 16 * 1024 * 1024
+BROADCAST_BYTES = 10 * 1024 * 1024
 
 
 def fits_broadcast(*tables: DataFrame) -> bool:

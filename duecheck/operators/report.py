@@ -12,6 +12,11 @@ from duecheck.schemas import IDENTITY, MONEY
 from duecheck.sources.tables import stage
 
 
+def _by_value():
+    """Most valuable first. Identity splits a value that very many findings share."""
+    return [F.desc_nulls_first("estimated_recovery"), *[F.asc(c) for c in IDENTITY], F.asc("evidence")]
+
+
 def _of_arm(frame: DataFrame, arm: str) -> DataFrame:
     return frame.where(F.col("detected_by") == arm)
 
@@ -54,8 +59,8 @@ def headline_money(findings: DataFrame, answer_key: DataFrame, arm: str) -> Data
 def findings_list(findings: DataFrame, arm: str) -> DataFrame:
     return (
         _of_arm(findings, arm)
+        .orderBy(*_by_value())
         .select("customer_name", "month", "product", "leak_type", "estimated_recovery", "evidence")
-        .orderBy(F.desc_nulls_first("estimated_recovery"))
     )
 
 
@@ -79,21 +84,19 @@ def top_customers(findings: DataFrame, arm: str, n: int = 8) -> DataFrame:
     )
 
 
-def global_rank(values: DataFrame, column: str, alias: str, slices: int = 256) -> DataFrame:
+def global_rank(values: DataFrame, column: str, alias: str, slices: int | None = None) -> DataFrame:
     """Distinct non-NULL values of ``column`` with their descending rank over all rows.
 
     A rank over everything would put all rows into one task. Equal values are
-    combined first; the distinct ones are cut at approximate quantiles into
-    slices, ranked inside their slice, and moved by the number of rows in the
-    slices above. The slices are stored, so both steps see the same cuts.
+    combined first; the distinct ones are range-partitioned into slices, ranked
+    inside their slice, and moved by the number of rows in the slices above.
+    The slices are stored, so both steps see the same cuts.
     """
+    if slices is None:
+        slices = int(values.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     counted = values.where(F.col(column).isNotNull()).groupBy(column).agg(F.count("*").alias("n"))
-    points = F.array(*[F.lit(i / slices) for i in range(1, slices)])
-    cuts = counted.agg(F.percentile_approx(column, points, 10_000)).scalar()
-    above = F.size(F.filter("cuts", lambda cut: cut > F.col(column)))
-    sliced = stage(
-        counted.withColumn("cuts", cuts).withColumn("slice", above).drop("cuts"), f"rank-{alias}"
-    )
+    ranged = counted.repartitionByRange(slices, F.desc(column))
+    sliced = stage(ranged.withColumn("slice", F.spark_partition_id()), f"rank-{alias}")
     # One row per slice.
     before = Window.orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)
     offsets = (
@@ -110,7 +113,7 @@ def global_rank(values: DataFrame, column: str, alias: str, slices: int = 256) -
 
 
 def customer_ranking(
-    findings: DataFrame, confirmed: DataFrame, arm: str, slices: int = 256
+    findings: DataFrame, confirmed: DataFrame, arm: str, slices: int | None = None
 ) -> DataFrame:
     """Customers with estimated and confirmed dollars and the rank by each.
 
@@ -187,6 +190,7 @@ def memo_list(findings: DataFrame, arm: str) -> DataFrame:
     return (
         _of_arm(findings, arm)
         .where(F.col("draft_memo").isNotNull())
+        .orderBy(*_by_value())
         .select(
             label.alias("label"),
             "customer_name",
@@ -197,7 +201,6 @@ def memo_list(findings: DataFrame, arm: str) -> DataFrame:
             "evidence",
             "draft_memo",
         )
-        .orderBy(F.desc_nulls_first("estimated_recovery"))
     )
 
 

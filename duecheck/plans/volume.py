@@ -23,17 +23,20 @@ MINIMUMS = [0, 0, 20_000, 50_000]
 def billing(lineitem: DataFrame, orders: DataFrame, part: DataFrame, customer: DataFrame) -> DataFrame:
     price_c = F.round(F.col("l_extendedprice") * 100).cast("long")
     units = F.round("l_quantity").cast("long")
+    placed = lineitem.select(
+        "l_orderkey",
+        "l_linenumber",
+        F.col("l_partkey").alias("p_partkey"),
+        units.alias("units"),
+        price_c.alias("price_c"),
+        F.round(F.col("l_discount") * 100).cast("int").alias("pct"),
+        F.monotonically_increasing_id().alias("place"),
+    )
     lines = hot_join(
-        spread(lineitem, "l_orderkey").select(
-            "l_orderkey",
-            "l_linenumber",
-            F.col("l_partkey").alias("p_partkey"),
-            units.alias("units"),
-            price_c.alias("price_c"),
-            F.round(F.col("l_discount") * 100).cast("int").alias("pct"),
-        ),
+        spread(placed, "place"),
         part.select("p_partkey", F.col("p_type").alias("product")),
         ["p_partkey"],
+        spread=["place"],
     )
     headers = hot_join(
         orders.select(
@@ -50,7 +53,7 @@ def billing(lineitem: DataFrame, orders: DataFrame, part: DataFrame, customer: D
         ["l_orderkey"],
         sized_by=[orders, customer],
         counted_on=lineitem,
-        spread=["l_orderkey", "l_linenumber", "price_c"],
+        spread=["place"],
     )
     invoice = F.concat_ws("-", F.lit("INV"), F.col("l_orderkey").cast("string"), F.col("l_linenumber").cast("string"))
     rate_e4 = half_up(F.col("price_c") * 100, F.col("units"))

@@ -4,6 +4,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
 from duecheck import schemas
+from duecheck.sources.tables import stage
 
 # escape='"' makes a doubled quote inside a field part of the field. Without
 # column pruning every cell is parsed, so a bad row fails on any action.
@@ -61,9 +62,10 @@ def read_answer_key(spark: SparkSession, path: str, pattern: str | None = None)
 def refresh(df: DataFrame, path: str) -> DataFrame:
     """Replace the Parquet table at ``path`` by ``df`` and return the stored table.
 
-    The read fails fast, so a bad file aborts before the old table is replaced.
+    The rows are parsed once into a table aside: an overwrite drops the old
+    files before its tasks run, so a bad row must fail before that.
     """
-    df.write.mode("overwrite").parquet(path)
+    stage(df, "load").write.mode("overwrite").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
