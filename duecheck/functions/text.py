@@ -23,12 +23,13 @@ def try_date(text: Column) -> Column:
 
 
 def iso(date: Column) -> Column:
-    return F.date_format(date, "yyyy-MM-dd")
+    """YYYY-MM-DD."""
+    return date.cast("string")
 
 
 def month_end(month: Column) -> Column:
     """Last day of a ``YYYY-MM`` month, NULL where the text is not a month."""
-    return F.last_day(try_date(F.concat(month, F.lit("-01"))))
+    return F.last_day(F.concat(month, F.lit("-01")).try_cast("date"))
 
 
 def number(value: Column, kind: str) -> Column:

@@ -1,7 +1,8 @@
 """CSV and table sinks."""
 
 import pytest
-from frames import finding, findings, tuples
+from frames import billing, finding, findings, line, tuples
+from pyspark.sql import functions as F
 
 from duecheck import schemas
 from duecheck.sources import audit, csv, tables
@@ -76,3 +77,15 @@ def test_scratch_folder_is_the_session_one(spark):
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     folder = tables.scratch_dir(spark)
     assert folder == (named.rstrip("/") if named else spark.sparkContext.getCheckpointDir())
+
+
+def test_clustered_load_splits_one_hot_account(spark, tmp_path):
+    row = line(1, "2026-01", "A", 1, "5", amount="5")
+    csv.write_csv(billing(spark, *[row] * 4000), str(tmp_path / "in"))
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        stored = csv.load_billing(spark, str(tmp_path / "in"), str(tmp_path / "t"))
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    per_file = [r["count"] for r in stored.groupBy(F.input_file_name()).count().collect()]
+    assert sum(per_file) == 4000 and max(per_file) < 1000
