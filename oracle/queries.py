@@ -31,7 +31,7 @@ FACTS = """chr(10) || 'Customer: ' || customer_name || chr(10) || 'Period: ' ||
   || chr(10) || 'Leak type: ' || leak_type || chr(10) || '{label}: $' || estimated_recovery || chr(10) || 'Evidence: ' || evidence"""
 REQUEST_LONG = (
     f"{quote(memos._LONG_INTRO)} || {FACTS.format(label='Amount under-billed')} || chr(10) || chr(10) "
-    f"|| 'WHAT THIS LEAK TYPE MEANS: ' || {GUIDANCE} || chr(10) || chr(10) || {quote(memos._LONG_RULES)}"
+    f"|| 'About this kind of leak: ' || {GUIDANCE} || chr(10) || chr(10) || {quote(memos._LONG_RULES)}"
 )
 REQUEST_SHORT = (
     f"{quote(memos._SHORT_INTRO)} || CASE WHEN leak_type = 'missing_charge' THEN {quote(memos._SHORT_CAVEAT)} ELSE '' END "
