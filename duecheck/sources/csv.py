@@ -10,7 +10,8 @@ from duecheck import schemas
 from duecheck.sources.tables import stage
 
 # escape='"' makes a doubled quote inside a field part of the field. Without
-# column pruning every cell is parsed, so a bad row fails on any action.
+# column pruning a wrong number of fields fails on any action; a wrong type
+# fails once its column is read, and a load reads them all.
 _READ = {
     "header": True,
     "multiLine": True,

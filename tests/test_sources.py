@@ -32,6 +32,13 @@ def test_bad_rows_fail_the_load_and_keep_the_old_table(spark, tmp_path):
     assert spark.read.parquet(target).count() == 1
     with pytest.raises(Exception):
         csv.read_contracts(spark, str(bad)).count()
+    bad.write_text("customer_id,customer_name,contract_text\n1,A,text,more\n")
+    with pytest.raises(Exception):
+        csv.read_contracts(spark, str(bad)).count()
+    bad.write_text("customer_id,customer_name,contract_text\none,A,text\n")
+    with pytest.raises(Exception):
+        csv.load_contracts(spark, str(bad), target)
+    assert spark.read.parquet(target).count() == 1
 
 
 def test_load_picks_files_by_pattern_and_replaces(spark, tmp_path):
