@@ -5,9 +5,11 @@ import pytest
 from conftest import SMALL
 
 import __spark_entry__ as entry
+from duecheck.plans import queries
+from oracle import queries as sql
 
-QUERIES = entry.queries()
-ORACLES = entry.oracle_sql()
+QUERIES = queries.queries()
+ORACLES = sql.oracle_sql()
 
 
 @pytest.fixture(scope="module")
