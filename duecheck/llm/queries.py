@@ -5,7 +5,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from duecheck.llm import exact_dedup, topk_search
+from duecheck.llm import exact_dedup, secret_scan, topk_search
 from duecheck.llm.common import table
 
 
@@ -21,8 +21,12 @@ def op8_topk_search(spark: SparkSession, folder: str) -> DataFrame:
     return topk_search.exact_topk(vectors, F.col("vec_id") % 100 == 0)
 
 
+def op9_secret_scan(spark: SparkSession, folder: str) -> DataFrame:
+    return secret_scan.digest(secret_scan.scan(table(spark, folder, "documents")))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op7_exact_dedup, op8_topk_search)}
+    return {f.__name__: f for f in (op7_exact_dedup, op8_topk_search, op9_secret_scan)}
 
 
 OP7_SQL = r"""WITH d AS (
