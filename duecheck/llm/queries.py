@@ -5,8 +5,20 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from duecheck.llm import exact_dedup, secret_scan, topk_search
-from duecheck.llm.common import table
+from duecheck.llm import exact_dedup, quality_gam, secret_scan, topk_search
+from duecheck.llm.common import fold, table
+
+
+def op4_quality_gam(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    held_out = fold(F.col("doc_id"), 5) == 0
+    model = quality_gam.train(docs, table(spark, folder, "labels"), ~held_out)
+    return quality_gam.score(docs, model).select(
+        "doc_id",
+        held_out.alias("held_out"),
+        "score",
+        (F.col("score") >= quality_gam.THRESHOLD).cast("int").alias("predicted"),
+    )
 
 
 def op7_exact_dedup(spark: SparkSession, folder: str) -> DataFrame:
@@ -26,7 +38,7 @@ def op9_secret_scan(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op7_exact_dedup, op8_topk_search, op9_secret_scan)}
+    return {f.__name__: f for f in (op4_quality_gam, op7_exact_dedup, op8_topk_search, op9_secret_scan)}
 
 
 OP7_SQL = r"""WITH d AS (
