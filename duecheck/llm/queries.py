@@ -5,7 +5,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from duecheck.llm import exact_dedup, quality_gam, secret_scan, topk_search
+from duecheck.llm import exact_dedup, mixing, quality_gam, secret_scan, topk_search
 from duecheck.llm.common import fold, table
 
 
@@ -21,6 +21,10 @@ def op4_quality_gam(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op6_source_mixing(spark: SparkSession, folder: str) -> DataFrame:
+    return mixing.report(table(spark, folder, "documents"))
+
+
 def op7_exact_dedup(spark: SparkSession, folder: str) -> DataFrame:
     found = exact_dedup.exact_dedup(table(spark, folder, "documents"))
     return found.select(
@@ -38,7 +42,7 @@ def op9_secret_scan(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op4_quality_gam, op7_exact_dedup, op8_topk_search, op9_secret_scan)}
+    return {f.__name__: f for f in (op4_quality_gam, op6_source_mixing, op7_exact_dedup, op8_topk_search, op9_secret_scan)}
 
 
 OP7_SQL = r"""WITH d AS (
