@@ -5,10 +5,14 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from duecheck.llm import exact_dedup, mixing, quality_gam, secret_scan, topk_search
+from duecheck.llm import exact_dedup, license_scan, mixing, quality_gam, secret_scan, topk_search
 from duecheck.llm.common import fold, table
 
 
+def op2_license_scan(spark: SparkSession, folder: str) -> DataFrame:
+    return license_scan.digest(license_scan.scan(table(spark, folder, "documents")))
+
+
 def op4_quality_gam(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents").select("doc_id", "text")
     held_out = fold(F.col("doc_id"), 5) == 0
@@ -42,7 +46,7 @@ def op9_secret_scan(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op4_quality_gam, op6_source_mixing, op7_exact_dedup, op8_topk_search, op9_secret_scan)}
+    return {f.__name__: f for f in (op2_license_scan, op4_quality_gam, op6_source_mixing, op7_exact_dedup, op8_topk_search, op9_secret_scan)}
 
 
 OP7_SQL = r"""WITH d AS (
