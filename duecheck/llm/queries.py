@@ -5,7 +5,15 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from duecheck.llm import exact_dedup, license_scan, mixing, quality_gam, secret_scan, topk_search
+from duecheck.llm import (
+    exact_dedup,
+    license_scan,
+    mixing,
+    quality_gam,
+    secret_scan,
+    token_counts,
+    topk_search,
+)
 from duecheck.llm.common import fold, table
 
 
@@ -45,8 +53,21 @@ def op9_secret_scan(spark: SparkSession, folder: str) -> DataFrame:
     return secret_scan.digest(secret_scan.scan(table(spark, folder, "documents")))
 
 
+def op10_token_counts(spark: SparkSession, folder: str) -> DataFrame:
+    return token_counts.document_tokens(table(spark, folder, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_license_scan, op4_quality_gam, op6_source_mixing, op7_exact_dedup, op8_topk_search, op9_secret_scan)}
+    found = (
+        op2_license_scan,
+        op4_quality_gam,
+        op6_source_mixing,
+        op7_exact_dedup,
+        op8_topk_search,
+        op9_secret_scan,
+        op10_token_counts,
+    )
+    return {f.__name__: f for f in found}
 
 
 OP7_SQL = r"""WITH d AS (
