@@ -11,6 +11,7 @@ from duecheck.llm import (
     mixing,
     quality_gam,
     secret_scan,
+    sentencepiece_nbest,
     token_counts,
     topk_search,
 )
@@ -21,6 +22,21 @@ def op2_license_scan(spark: SparkSession, folder: str) -> DataFrame:
     return license_scan.digest(license_scan.scan(table(spark, folder, "documents")))
 
 
+def op3_sentencepiece(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    best = sentencepiece_nbest.encode(docs).select(
+        "doc_id", "text", F.col("segmentations")[0]["ids"].alias("ids"), "segmentations"
+    )
+    return sentencepiece_nbest.decode(best, "ids").select(
+        "doc_id",
+        F.size("ids").cast("long").alias("n_pieces"),
+        "ids",
+        F.col("segmentations.score").alias("scores"),
+        F.transform("segmentations", lambda s: F.xxhash64(s["ids"])).alias("id_hashes"),
+        (F.col("decoded") == F.coalesce("text", F.lit(""))).alias("round_trip"),
+    )
+
+
 def op4_quality_gam(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents").select("doc_id", "text")
     held_out = fold(F.col("doc_id"), 5) == 0
@@ -60,6 +76,7 @@ def op10_token_counts(spark: SparkSession, folder: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = (
         op2_license_scan,
+        op3_sentencepiece,
         op4_quality_gam,
         op6_source_mixing,
         op7_exact_dedup,
