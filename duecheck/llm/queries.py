@@ -2,12 +2,14 @@
 
 from collections.abc import Callable
 
+import corpus_pipeline
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from duecheck.llm import (
     exact_dedup,
     license_scan,
+    minhash_dedup,
     mixing,
     quality_gam,
     secret_scan,
@@ -18,6 +20,11 @@ from duecheck.llm import (
 from duecheck.llm.common import fold, table
 
 
+def op1_minhash_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    found = minhash_dedup.near_dedup(table(spark, folder, "documents"))
+    return found.select("doc_id", "class_id", "class_size", "kept")
+
+
 def op2_license_scan(spark: SparkSession, folder: str) -> DataFrame:
     return license_scan.digest(license_scan.scan(table(spark, folder, "documents")))
 
@@ -75,6 +82,7 @@ def op10_token_counts(spark: SparkSession, folder: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = (
+        op1_minhash_dedup,
         op2_license_scan,
         op3_sentencepiece,
         op4_quality_gam,
@@ -84,7 +92,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         op9_secret_scan,
         op10_token_counts,
     )
-    return {f.__name__: f for f in found}
+    return {f.__name__: f for f in found} | {"pipeline": corpus_pipeline.run}
 
 
 OP7_SQL = r"""WITH d AS (
@@ -106,4 +114,5 @@ FROM s QUALIFY rank <= 10"""
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op7_exact_dedup": OP7_SQL, "op8_topk_search": OP8_SQL}
+    found = {"op7_exact_dedup": OP7_SQL, "op8_topk_search": OP8_SQL}
+    return found | ({"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {})
