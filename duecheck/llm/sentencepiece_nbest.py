@@ -7,9 +7,9 @@ so complete ones leave the queue best first, and the N first are the N best.
 
 No piece of these vocabularies holds the space mark after another character
 (checked when a vocabulary is read), so each path of the lattice passes the
-places before a run of spaces. The lattice is solved between these places and
-solutions are remembered per word; the N best of a text are the N best sums,
-exactly. A character without a piece becomes its bytes at the penalty of an
+places before a run of spaces, and any place whose two neighbours stand side by
+side in no piece. The lattice is solved between these places and solutions are
+remembered per word; the N best of a text are the N best sums, exactly. A character without a piece becomes its bytes at the penalty of an
 unknown piece. Texts are encoded whole, in Arrow batches, without a shuffle.
 
 Defined results: a null or empty text has one segmentation of no pieces, with
@@ -19,10 +19,12 @@ give fewer. Ties go to the segmentation that comes first in queue order, alike
 at each run. Rows repeated or without an id are encoded each.
 """
 
-import heapq
 import re
+import zlib
+from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from operator import itemgetter
 
 import numpy as np
 import pyarrow as pa
@@ -36,9 +38,11 @@ MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 N_BEST = 3
 SPACE = "▁"
 _UNKNOWN_PENALTY = 10.0
-_CACHE_WORDS = 150_000
+_CACHE_WORDS = 180_000
 _ODD = re.compile(f" +[^ {SPACE}]*|[^ {SPACE}]+|{SPACE}")
 
+_RANK = itemgetter(0, 1, 2)
+
 Segmentation = tuple[float, tuple[int, ...]]
 
 
@@ -72,78 +76,119 @@ class Vocabulary:
         least = min(s for _, s in pieces.values() if s > -1e8)
         return cls(pieces, byte_ids, least - _UNKNOWN_PENALTY, text_of)
 
-    @property
-    def longest(self) -> int:
-        return max(map(len, self.pieces))
+class Remembered:
+    """A bounded memory in two generations: what is met again outlives the older one."""
+
+    def __init__(self) -> None:
+        self.young: dict[str, tuple] = {}
+        self.old: dict[str, tuple] = {}
+
+    def get(self, key: str) -> tuple | None:
+        return self.young.get(key) or self.old.get(key)
+
+    def put(self, key: str, value: tuple) -> None:
+        if len(self.young) >= _CACHE_WORDS:
+            self.old, self.young = self.young, {}
+        self.young[key] = value
 
 
 class Lattice:
     """N-best segmentations by one vocabulary."""
 
     def __init__(self, vocabulary: Vocabulary, n: int = N_BEST) -> None:
-        self.v, self.n, self.longest = vocabulary, n, vocabulary.longest
-        self.known: dict[str, tuple] = {}
+        self.v, self.n = vocabulary, n
+        # a piece, or None for what only begins one
+        self.begun: dict[str, tuple[int, float] | None] = {p[:i]: None for p in vocabulary.pieces for i in range(1, len(p))}
+        self.begun.update(vocabulary.pieces)
+        self.joined = {p[i : i + 2] for p in vocabulary.pieces for i in range(len(p) - 1)}
+        self.words, self.parts = Remembered(), Remembered()
 
     def as_bytes(self, text: str) -> tuple[int, ...]:
         return tuple(self.v.byte_ids[b] for b in text.encode())
 
-    def solve(self, text: str) -> list[Segmentation]:
-        """The N best segmentations of a text whose spaces are marks: forward Viterbi, backward A-star."""
-        size, pieces = len(text), self.v.pieces
-        edges: list[list[tuple[int, float, tuple[int, ...]]]] = [[] for _ in range(size + 1)]
+    def solve(self, text: str, n: int) -> list[Segmentation]:
+        """The n best segmentations of a text whose spaces are marks: forward Viterbi, backward A-star."""
+        size, begun, nothing = len(text), self.begun, ()
+        edges: list[list[tuple]] = [[] for _ in range(size + 1)]
         best = [0.0] + [-np.inf] * size
         for start in range(size):
             here = best[start]
-            for end in range(start + 1, min(size, start + self.longest) + 1):
-                piece = pieces.get(text[start:end])
-                if piece is not None:
-                    ids, score = (piece[0],), piece[1]
-                elif end == start + 1:
-                    ids, score = self.as_bytes(text[start].replace(SPACE, " ")), self.v.unknown
-                else:
+            single = False
+            for end in range(start + 1, size + 1):
+                piece = begun.get(text[start:end], nothing)
+                if not piece:
+                    if piece is nothing:
+                        break
                     continue
-                edges[end].append((start, score, ids))
+                single = single or end == start + 1
+                edges[end].append((start, piece[1], piece[0]))
+                if here + piece[1] > best[end]:
+                    best[end] = here + piece[1]
+            if not single:
+                end, score = start + 1, self.v.unknown
+                edges[end].append((start, score, self.as_bytes(text[start].replace(SPACE, " "))))
                 if here + score > best[end]:
                     best[end] = here + score
-        # (minus the whole score, place, order of arrival, score behind it, pieces behind it);
-        # among equals the one nearest to the start goes on, or ties would be followed in all their number
-        queue = [(-best[size], size, 0, 0.0, None)]
+        # (whole score, -place, order of arrival, score behind the place, pieces behind it). Each entry stands for the
+        # best way to complete it, no two for the same, so only as many as are still wanted need to stay.
+        # Among equals the one nearest to the start goes on, or ties would be followed in all their number.
+        queue: list[tuple] = [(best[size], -size, 0, 0.0, None)]
         arrivals, out = 0, []
-        while queue and len(out) < self.n:
-            whole, place, _, behind, rest = heapq.heappop(queue)
+        while queue and len(out) < n:
+            whole, place, _, behind, rest = queue.pop()
             if place == 0:
-                ids: list[int] = []
-                while rest is not None:
-                    ids += rest[0]
-                    rest = rest[1]
-                out.append((-whole, tuple(ids)))
+                out.append((whole, self._ids(rest)))
                 continue
-            for start, score, found in edges[place]:
-                arrivals += 1
-                heapq.heappush(queue, (-(best[start] + score + behind), start, arrivals, score + behind, (found, rest)))
+            free = n - len(out) - len(queue)
+            least = -np.inf if free > 0 else queue[0][0]
+            for start, score, found in edges[-place]:
+                score += behind
+                if best[start] + score >= least:
+                    arrivals -= 1
+                    queue.append((best[start] + score, -start, arrivals, score, (found, rest)))
+            queue.sort(key=_RANK)
+            del queue[: len(out) - n]
+        return out
+
+    @staticmethod
+    def _ids(rest) -> tuple[int, ...]:
+        out: list[int] = []
+        while rest is not None:
+            found, rest = rest
+            out += found if isinstance(found, tuple) else (found,)
+        return tuple(out)
+
+    def _cuts(self, marked: str) -> list[str]:
+        """Parts between which no piece reaches: no piece holds the two characters next to the cut."""
+        joined, out, last = self.joined, [], 0
+        for i in range(1, len(marked)):
+            if marked[i - 1 : i + 1] not in joined:
+                out.append(marked[last:i])
+                last = i
+        out.append(marked[last:])
         return out
 
-    def _word(self, marked: str) -> tuple:
-        """(ids of the best as bytes, its score, loss of the second best, all)."""
-        found = self.known.get(marked)
+    def _word(self, marked: str) -> tuple[bytes, float, float, str]:
+        """(ids of the best as bytes, its score, loss of the second best, the word)."""
+        found = self.parts.get(marked)
         if found is None:
-            if len(self.known) >= _CACHE_WORDS:
-                self.known.clear()
+            parts = self._cuts(marked) if len(marked) > 1 else [marked]
             if marked == "":  # a literal space mark
-                solved = [(self.v.unknown, self.as_bytes(SPACE))]
+                found = (np.asarray(self.as_bytes(SPACE), "<i4").tobytes(), self.v.unknown, np.inf, marked)
+            elif len(parts) > 1:
+                each = [self._word(p) for p in parts]
+                found = (b"".join([e[0] for e in each]), sum(e[1] for e in each), min(e[2] for e in each), marked)
             else:
-                solved = self.solve(marked)
-            score, ids = solved[0]
-            gap = score - solved[1][0] if len(solved) > 1 else np.inf
-            found = (np.asarray(ids, "<i4").tobytes(), score, gap, solved)
-            self.known[marked] = found
+                solved = self.solve(marked, min(self.n, 2))
+                gap = solved[0][0] - solved[1][0] if len(solved) > 1 else np.inf
+                found = (array("i", solved[0][1]).tobytes(), solved[0][0], gap, marked)
+                self.parts.put(marked, found)
         return found
 
     def _words(self, text: str) -> list[tuple]:
-        known = self.known.get
         if "  " not in text and text[0] != " " and text[-1] != " " and SPACE not in text:
             words = text.split(" ")
-            found = [known(w) for w in words]
+            found = list(map(self.words.young.get, words))
             if None in found:
                 found = [f or self._plain(w) for w, f in zip(words, found, strict=True)]
             return found
@@ -151,9 +196,9 @@ class Lattice:
         return [self._word("" if p == SPACE else p.replace(" ", SPACE)) for p in parts]
 
     def _plain(self, word: str) -> tuple:
-        """A word that stands after one space; remembered without the mark, which no text word begins with."""
-        found = self._word(SPACE + word)
-        self.known[word] = found
+        """A word that stands after one space; remembered without the mark."""
+        found = self.words.get(word) or self._word(SPACE + word)
+        self.words.put(word, found)
         return found
 
     def encode(self, text: str) -> list[tuple[float, bytes]]:
@@ -161,30 +206,43 @@ class Lattice:
         if not text:
             return [(0.0, b"")]
         words = self._words(text)
-        total = float(np.sum([w[1] for w in words]))
+        total = float(sum([w[1] for w in words]))
         gaps = np.array([w[2] for w in words])
         # Only the n - 1 words that lose least can differ from their best among the n best sums.
         open_ = np.argsort(gaps, kind="stable")[: self.n - 1]
-        sums: list[tuple[float, dict[int, int]]] = [(0.0, {})]
+        sums: list[tuple[float, dict[int, tuple]]] = [(0.0, {})]
         for w in map(int, open_):
             if gaps[w] == np.inf:
                 break
             best = words[w][1]
-            more = [(lost + best - s, chosen | ({w: k} if k else {})) for lost, chosen in sums for k, (s, _) in enumerate(words[w][3])]
+            others = self.solve(words[w][3], self.n)
+            more = [
+                (lost + best - score, chosen | ({w: ids} if k else {}))
+                for lost, chosen in sums
+                for k, (score, ids) in enumerate(others)
+            ]
             sums = sorted(more, key=lambda x: x[0])[: self.n]
-        whole = b"".join([w[0] for w in words])
+        parts = [w[0] for w in words]
         out = []
         for lost, chosen in sums:
-            if chosen:
-                parts = [w[0] for w in words]
-                for w, k in chosen.items():
-                    parts[w] = np.asarray(words[w][3][k][1], "<i4").tobytes()
-                out.append((total - lost, b"".join(parts)))
-            else:
-                out.append((total, whole))
+            own = parts if not chosen else list(parts)
+            for w, ids in chosen.items():
+                own[w] = array("i", ids).tobytes()
+            out.append((total - lost, b"".join(own)))
         return out
 
 
+_LATTICES: dict[tuple, Lattice] = {}
+
+
+def _lattice(vocabulary: Vocabulary, key: tuple) -> Lattice:
+    """One lattice per worker process, so that words met in one task are known in the next."""
+    if key not in _LATTICES:
+        _LATTICES.clear()
+        _LATTICES[key] = Lattice(vocabulary, key[-1])
+    return _LATTICES[key]
+
+
 def decode_ids(vocabulary: Vocabulary, ids) -> str:
     """The text of pieces; controls are silent, bytes that are no text become U+FFFD."""
     text = b"".join([vocabulary.text_of[i] or b"" for i in ids]).decode("utf-8", "replace")
@@ -199,8 +257,10 @@ def encode(docs: DataFrame, model: str = MODEL, n: int = N_BEST, name: str = "se
     small_batches(docs.sparkSession, 256)
     vocabulary = Vocabulary.read(model)
 
+    key = (zlib.crc32(repr(sorted(vocabulary.pieces.items())).encode()), n)
+
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lattice = Lattice(vocabulary, n)
+        lattice = _lattice(vocabulary, key)
         for batch in batches:
             found = [lattice.encode(t or "") for t in batch.column("text").to_pylist()]
             flat = [x for f in found for x in f]

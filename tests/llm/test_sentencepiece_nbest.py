@@ -75,7 +75,7 @@ def test_query_on_whole_table(spark, vocabulary):
     assert len(rows) == len(texts) and all(r.round_trip for r in rows)
     lattice = Lattice(vocabulary)
     for r in rows[:100]:
-        whole = lattice.solve(SPACE + texts[r.doc_id][:400].replace(" ", SPACE))
+        whole = lattice.solve(SPACE + texts[r.doc_id][:400].replace(" ", SPACE), 3)
         short = lattice.encode(texts[r.doc_id][:400])
         assert np.allclose([s for s, _ in whole], [s for s, _ in short])
         assert decode_ids(vocabulary, r.ids) == texts[r.doc_id] and len(r.ids) == r.n_pieces
