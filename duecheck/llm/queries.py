@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from duecheck.llm import (
     exact_dedup,
+    hmm_lm,
     license_scan,
     minhash_dedup,
     mixing,
@@ -56,6 +57,12 @@ def op4_quality_gam(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op5_hmm_lm(spark: SparkSession, folder: str) -> DataFrame:
+    held_out = fold(F.col("doc_id"), 10) == 0
+    found = hmm_lm.score_texts(table(spark, folder, "documents"), ~held_out)
+    return found.withColumn("held_out", ~F.col("trained")).drop("trained")
+
+
 def op6_source_mixing(spark: SparkSession, folder: str) -> DataFrame:
     return mixing.report(table(spark, folder, "documents"))
 
@@ -86,6 +93,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         op2_license_scan,
         op3_sentencepiece,
         op4_quality_gam,
+        op5_hmm_lm,
         op6_source_mixing,
         op7_exact_dedup,
         op8_topk_search,
