@@ -43,8 +43,9 @@ def pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents with their pieces: n_pieces, ids and the score of the best segmentation, scores of the N best."""
     whole = docs.select("text", F.struct("*").alias("doc"))
     found = sentencepiece_nbest.encode(whole).withColumn("best", F.col("segmentations")[0])
+    own = ("n_pieces", "ids", "score", "scores")  # a document's columns of these names give way
     return found.select(
-        "doc.*",
+        *[F.col("doc")[c].alias(c) for c in docs.columns if c not in own],
         F.size("best.ids").cast("long").alias("n_pieces"),
         F.col("best.ids").alias("ids"),
         F.col("best.score").alias("score"),
