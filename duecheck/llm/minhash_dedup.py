@@ -16,10 +16,11 @@ by weighted Jaccard similarity on the whole texts, linked at THRESHOLD or more,
 and classes are the connected components of the links.
 
 Buckets never emit all pairs. First each member meets the bucket's smallest one
-(a star), and the links found are closed to components. After that only pairs of
-unlike components are left to test, and of these only such whose similarities
-to the shared centre differ by at most 1 - THRESHOLD: the distance is a metric,
-so no other pair can be a link. Every such pair is tested; there is no cap.
+(a star), and the links found are closed to components. Where a bucket is still
+several components, its members meet the one with most links. Only pairs of
+unlike components are left then. They are compared by their samples, in blocks
+of a bounded number of members, and those that agree in LEAST_AGREED samples are
+verified, all of them: there is no cap on partners or buckets.
 
 Defined results: texts without words, null and empty ones among them, are
 copies if their characters are equal. Repeated rows are copies. The smallest
@@ -43,8 +44,12 @@ THRESHOLD = 0.8
 BANDS, BAND_ROWS = 16, 5
 SAMPLES = BANDS * BAND_ROWS
 BUCKET_BITS = 18
+#: Of SAMPLES. A pair at THRESHOLD agrees in fewer with a probability of 2 in 10,000; bands miss it in 17 of 10,000.
+LEAST_AGREED = 52
+BLOCK_ROWS = 1024
 IDF_SHARE = 0.25
-_SLICE = 2048
+_SLICE = 1024
+_MIX = (np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB))
 _RNG = np.random.default_rng(99)
 _SEEDS = _RNG.integers(0, 1 << 63, SAMPLES, dtype=np.uint64)
 _PLACES = _RNG.integers(0, 1 << 63, WIDTH, dtype=np.uint64) | np.uint64(1)
@@ -94,31 +99,52 @@ def weighted(hashed: np.ndarray, whose: np.ndarray, idf: np.ndarray) -> tuple[np
 
 def _uniform(x: np.ndarray, shift: int, bits: int) -> np.ndarray:
     """Bits of ``x`` as floats inside (0, 1)."""
-    part = (x >> np.uint64(shift)) & np.uint64((1 << bits) - 1)
-    return (part.astype(np.float32) + np.float32(0.5)) * np.float32(2.0**-bits)
+    part = ((x >> np.uint64(shift)) & np.uint64((1 << bits) - 1)).astype(np.float32)
+    part += np.float32(0.5)
+    part *= np.float32(2.0**-bits)
+    return part
 
 
 def samples(h: np.ndarray, whose: np.ndarray, weight: np.ndarray, n: int) -> np.ndarray:
-    """For each text SAMPLES keys; equal keys are equal samples (shingle and step)."""
+    """For each text SAMPLES names; equal names are equal samples (shingle and step)."""
     out = np.full((n, SAMPLES), np.iinfo(np.uint64).max, np.uint64)
-    log_weight = np.log(weight).astype(np.float32)
+    log_weight = np.log(weight).astype(np.float32)[:, None]
+    column = np.arange(SAMPLES)
     for low in range(0, len(h), _SLICE):
         part = slice(low, low + _SLICE)
-        x = words.mix(h[part, None] ^ _SEEDS[None, :])
-        y = words.mix(x)
-        r = -np.log(_uniform(x, 0, 20) * _uniform(x, 20, 20))
-        c = -np.log(_uniform(y, 0, 22) * _uniform(y, 22, 22))
-        beta = _uniform(x, 40, 20)
-        t = np.floor(log_weight[part, None] / r + beta)
-        rank = np.log(c) - r * (t - beta + 1)
-        # positive floats order like their bits; the low bits name the sample
-        key = (rank.astype(np.float64) + 4096).view(np.uint64) & np.uint64(0xFFFFFFFFFF000000)
-        name = (h[part, None] + t.astype(np.int64).astype(np.uint64) * _SEQUENCE[0]) >> np.uint64(40)
-        key |= name
+        x = (h[part, None] ^ _SEEDS[None, :]) * _MIX[0]
+        x ^= x >> np.uint64(29)
+        x *= _MIX[1]
+        x ^= x >> np.uint64(32)
+        r = _uniform(x, 0, 10)
+        r *= _uniform(x, 10, 10)
+        np.log(r, out=r)
+        np.negative(r, out=r)
+        beta = _uniform(x, 20, 12)
+        t = log_weight[part] / r
+        t += beta
+        np.floor(t, out=t)
+        rank = _uniform(x, 32, 16)
+        rank *= _uniform(x, 48, 16)
+        np.log(rank, out=rank)
+        np.negative(rank, out=rank)
+        np.log(rank, out=rank)
+        beta -= t
+        beta -= 1
+        beta *= r
+        rank += beta
+        # positive floats order like their bits; the low bits hold the place in the slice
+        key = (rank.astype(np.float64) + 4096).view(np.uint64)
+        key &= np.uint64(0xFFFFFFFFFF000000)
+        key |= np.arange(len(x), dtype=np.uint64)[:, None]
         own = whose[part]
         at = np.flatnonzero(np.concatenate(([True], own[1:] != own[:-1])))
-        np.minimum(out[own[at]], np.minimum.reduceat(key, at, axis=0), out=key[: len(at)])
-        out[own[at]] = key[: len(at)]
+        best = np.minimum.reduceat(key, at, axis=0)
+        place = (best & np.uint64(0xFFFFFF)).astype(np.int64)
+        step = t[place, column].astype(np.int64).astype(np.uint64)
+        name = (words.mix(h[part][place]) + step * _SEQUENCE[0]) >> np.uint64(40)
+        best = (best & np.uint64(0xFFFFFFFFFF000000)) | name
+        out[own[at]] = np.minimum(out[own[at]], best)
     return out & np.uint64(0xFFFFFF)
 
 
@@ -182,7 +208,7 @@ def idf_weights(frequencies: DataFrame, documents: int, share: float = IDF_SHARE
 
 
 def _signed(texts: DataFrame, idf) -> DataFrame:
-    """(row, key) for each band of each text that has words."""
+    """(row, keys, sketch) of each text that has words: its bands, and 16 bits of each sample."""
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -190,11 +216,66 @@ def _signed(texts: DataFrame, idf) -> DataFrame:
             if not len(hashed):
                 continue
             has = np.unique(whose)
-            keys = band_keys(samples(*weighted(hashed, whose, idf.value), batch.num_rows)[has])
+            sampled = samples(*weighted(hashed, whose, idf.value), batch.num_rows)[has]
+            keys = pa.ListArray.from_arrays(
+                np.arange(0, BANDS * len(has) + 1, BANDS, dtype=np.int32), pa.array(band_keys(sampled).ravel())
+            )
+            sketch = [r.tobytes() for r in sampled.astype("<u2")]
             rows = batch.column("row").to_numpy()[has]
-            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(rows, BANDS)), pa.array(keys.ravel())], ["row", "key"])
+            yield pa.RecordBatch.from_arrays([pa.array(rows), keys, pa.array(sketch, pa.binary())], ["row", "keys", "sketch"])
+
+    return texts.select("row", "text").mapInArrow(sign, "row long, keys array<long>, sketch binary")
+
+
+def _agreeing(groups: DataFrame) -> DataFrame:
+    """Pairs of unlike components that agree in LEAST_AGREED samples, within sorted groups of bounded size."""
+
+    def pairs(component: np.ndarray, row: np.ndarray, side: np.ndarray, sketch: np.ndarray) -> Iterator[tuple]:
+        names, count = np.unique(component, return_counts=True)
+        if len(names) == 1:
+            return
+        main = component == names[np.argmax(count)]  # its members need no comparison with each other
+        for i in np.flatnonzero(~main):
+            other = np.flatnonzero((component != component[i]) & (main | (np.arange(len(row)) > i)))
+            if side.any():
+                other = other[side[other] != side[i]]
+            near = other[(sketch[other] == sketch[i]).sum(1) >= LEAST_AGREED]
+            yield from ((min(row[i], row[j]), max(row[i], row[j])) for j in near)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+
+        def flush(whole: pa.Table) -> pa.RecordBatch:
+            columns = [whole.column(c).to_numpy() for c in ("key", "x", "y", "component", "row", "block")]
+            sketch = np.frombuffer(b"".join(whole.column("sketch").to_pylist()), "<u2").reshape(-1, SAMPLES)
+            key, x, y, component, row, block = columns
+            new = np.concatenate(([True], (key[1:] != key[:-1]) | (x[1:] != x[:-1]) | (y[1:] != y[:-1])))
+            at = np.append(np.flatnonzero(new), len(key))
+            found: list[tuple] = []
+            for low, high in zip(at, at[1:]):
+                part = slice(low, high)
+                # groups of two blocks compare only across them
+                side = (block[part] != x[part]) if x[low] != y[low] else np.zeros(high - low, bool)
+                found += pairs(component[part], row[part], side, sketch[part])
+            a, b = np.array(found, np.int64).reshape(-1, 2).T
+            return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
 
-    return texts.select("row", "text").mapInArrow(sign, "row long, key long")
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            held.append(batch)
+            last = [batch.column(c)[-1].as_py() for c in ("key", "x", "y")]
+            whole = pa.Table.from_batches(held)
+            open_ = np.ones(whole.num_rows, bool)
+            for c, v in zip(("key", "x", "y"), last):
+                open_ &= whole.column(c).to_numpy() == v
+            if not open_.all():
+                yield flush(whole.filter(pa.array(~open_)))
+                held = whole.filter(pa.array(open_)).combine_chunks().to_batches()
+        if held:
+            yield flush(pa.Table.from_batches(held))
+
+    return groups.mapInArrow(run, "a long, b long")
 
 
 def _verified(pairs: DataFrame, docs: DataFrame, idf, name: str) -> DataFrame:
@@ -262,34 +343,51 @@ def near_links(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     maybe, sure = split_by(_placed(docs), F.col("row"), copies, "copy")
     checked = maybe.join(copies, maybe.row == copies.copy, "left_anti")
     signed = stage(_signed(sure.unionByName(checked), idf), "signatures")
-    hubs = signed.groupBy("key").agg(F.min("row").alias("hub"), F.count("*").alias("n")).where("n > 1").drop("n")
-    met = stage(signed.join(hubs, "key"), "buckets")
+    banded = signed.select("row", F.explode("keys").alias("key"))
+    hubs = banded.groupBy("key").agg(F.min("row").alias("hub"), F.count("*").alias("n")).where("n > 1")
+    met = stage(banded.join(hubs.select("key", "hub"), "key"), "buckets")
     star = met.where("row <> hub").select(F.col("hub").alias("a"), F.col("row").alias("b")).distinct()
-    first_links = _verified(star, docs, idf, "star-links")
-    near = components(first_links.where(F.col("s") >= THRESHOLD))
-    near = stage(near, "star-components")
-    alike = F.coalesce("s", F.lit(1.0)).alias("s")
-    marked = (
-        met.join(near, "row", "left")
-        .withColumn("component", F.coalesce("component", "row"))
-        .join(first_links.select(F.col("a").alias("hub"), F.col("b").alias("row"), "s"), ["hub", "row"], "left")
-        .select("key", "row", "hub", "component", alike)
-    )
-    marked = stage(marked, "marked-buckets")
-    several = marked.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y")
-    open_ = marked.where("row <> hub").join(several.select("key"), "key")
-    other = open_.select("key", F.col("row").alias("b"), F.col("component").alias("cb"), F.col("s").alias("sb"))
-    rest = (
-        open_.join(other, "key")
-        .where((F.col("component") < F.col("cb")) & (F.abs(F.col("s") - F.col("sb")) <= 1 - THRESHOLD + 1e-9))
-        .select(F.col("row").alias("a"), "b")
+    tested = _verified(star, docs, idf, "star-links")
+
+    # Again with the member that has most links in the middle, where a bucket is not one component yet.
+    marked, several = _components_of(met, tested)
+    links = tested.where(F.col("s") >= THRESHOLD)
+    degree = links.select(F.explode(F.array("a", "b")).alias("row")).groupBy("row").agg(F.count("*").alias("degree"))
+    graded = several.join(degree, "row", "left").withColumn("degree", F.coalesce("degree", F.lit(0)))
+    centre = graded.groupBy("key").agg(F.max(F.struct("degree", (-F.col("row")).alias("minus_row"), "component")).alias("c"))
+    again = (
+        several.join(centre, "key")
+        .where("component <> c.component")
+        .select(F.least(-F.col("c.minus_row"), "row").alias("a"), F.greatest(-F.col("c.minus_row"), "row").alias("b"))
         .distinct()
+        .join(tested.select("a", "b"), ["a", "b"], "left_anti")
     )
-    rest = stage(rest, "open-pairs")
-    tested = first_links.select("a", "b").unionByName(first_links.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    rest = rest.join(tested, ["a", "b"], "left_anti")
-    second_links = _verified(rest, docs, idf, "open-links")
-    return rows, firsts, first_links.unionByName(second_links).where(F.col("s") >= THRESHOLD)
+    tested = tested.unionByName(_verified(stage(again, "centre-pairs"), docs, idf, "centre-links"))
+
+    # What is still apart is compared by its samples, block by block, and the pairs that may be near are verified.
+    marked, several = _components_of(met, tested)
+    size = marked.groupBy("key").agg(F.count("*").alias("n"))
+    blocks = F.ceil(F.col("n") / BLOCK_ROWS).cast("int")
+    each = (
+        several.join(size, "key")
+        .withColumn("block", F.pmod(F.xxhash64("row"), blocks).cast("int"))
+        .withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
+        .select("key", "row", "component", "block", F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y"))
+        .join(signed.select("row", "sketch"), "row")
+    )
+    groups = each.repartition("key", "x", "y").sortWithinPartitions("key", "x", "y", "row")
+    apart = _agreeing(groups).distinct().join(tested.select("a", "b"), ["a", "b"], "left_anti")
+    tested = tested.unionByName(_verified(stage(apart, "open-pairs"), docs, idf, "open-links"))
+    return rows, firsts, tested.where(F.col("s") >= THRESHOLD)
+
+
+def _components_of(met: DataFrame, tested: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(bucket members with their components so far, those of buckets with several components)."""
+    near = components(tested.where(F.col("s") >= THRESHOLD))
+    marked = met.join(near, "row", "left").withColumn("component", F.coalesce("component", "row")).drop("hub")
+    marked = stage(marked, "marked-buckets")
+    ends = marked.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high"))
+    return marked, stage(marked.join(ends.where("low <> high").select("key"), "key"), "open-buckets")
 
 
 def near_dedup(docs: DataFrame) -> DataFrame:
