@@ -31,9 +31,9 @@ def cents_to_money(cents: Column) -> Column:
     return (cents.cast("decimal(20,0)") * F.lit(Decimal("0.01"))).cast(MONEY)
 
 
-def rate_e4(rate: Column) -> Column:
-    """A rate in ten-thousandths of a dollar, as a whole decimal."""
-    return (rate.cast(RATE) * 10000).cast("decimal(20,0)")
+def rate_e10(rate: Column) -> Column:
+    """A rate in its smallest unit, as a whole decimal."""
+    return (rate.cast(RATE) * F.lit(Decimal(10**10))).cast("decimal(18,0)")
 
 
 def whole(column: Column) -> Column:

@@ -6,10 +6,11 @@ from pyspark.sql import functions as F
 # The clause wordings the regex arm recognises.
 PRICED_LINE = "- **%billed at%"
 PRODUCT_PATTERN = r"\*\*(.+?)\*\*"
-RATE_PATTERN = r"billed at \$([0-9.]+)"
-DISCOUNT_PATTERN = r"promotional discount of ([0-9.]+)%"
+RATE_PATTERN = r"billed at \$([0-9](?:[0-9.,]*[0-9])?)"
+DISCOUNT_PATTERN = r"promotional discount of ([0-9](?:[0-9.,]*[0-9])?)%"
 EXPIRY_PATTERN = r"valid only through ([0-9]{4}-[0-9]{2}-[0-9]{2})"
-MINIMUM_PATTERN = r"minimum monthly spend of \$([0-9,]+)"
+MINIMUM_PATTERN = r"minimum monthly spend of \$([0-9](?:[0-9.,]*[0-9])?)"
+AMOUNT_FORM = r"^(?:[0-9]{1,3}(?:,[0-9]{3})+|[0-9]+)(?:\.[0-9]+)?$"
 
 
 def capture(text: Column, pattern: str) -> Column:
@@ -37,5 +38,19 @@ def number(value: Column, kind: str) -> Column:
     return value.cast(kind).cast("string")
 
 
+def exact(text: Column, kind: str) -> Column:
+    """A written amount, thousands separated or not, as ``kind``; NULL if it is no number or has more digits."""
+    digits = F.when(text.rlike(AMOUNT_FORM), F.regexp_replace(text, ",", ""))
+    wide = digits.try_cast("decimal(38,18)")
+    narrow = digits.try_cast(kind)
+    surplus = digits.rlike(r"\.[0-9]{18}[0-9]*[1-9]")
+    return F.when((wide == narrow) & ~surplus, narrow)
+
+
+def plain(value: Column) -> Column:
+    """A decimal without trailing zeros."""
+    return F.regexp_replace(value.cast("string"), r"\.?0+$", "")
+
+
 def word_count(text: Column) -> Column:
     return F.size(F.split(F.trim(text), r"\s+"))

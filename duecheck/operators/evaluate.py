@@ -89,6 +89,7 @@ def scorecard(verdict: DataFrame, by: Sequence[str] = ("detected_by",)) -> DataF
             ratio(tp, tp + fn).alias("recall"),
             ratio(2 * tp, 2 * tp + fp + fn).alias("f1"),
         )
+        .orderBy(F.desc_nulls_first("f1"), *by)
     )
 
 
@@ -102,7 +103,7 @@ def scorecard_by_type(verdict: DataFrame) -> DataFrame:
         F.col("false_negatives").alias("fn"),
         "precision",
         "recall",
-    )
+    ).orderBy("detected_by", F.desc("fn"), "leak_type")
 
 
 def misses(verdict: DataFrame, answer_key: DataFrame) -> DataFrame:
@@ -122,7 +123,7 @@ def misses(verdict: DataFrame, answer_key: DataFrame) -> DataFrame:
         "product",
         "missed_dollars",
         "what_was_planted",
-    )
+    ).orderBy(F.desc_nulls_first("missed_dollars"), "detected_by", "leak_type", "customer_name", "month", "product")
 
 
 def _findings_with(findings: DataFrame, verdict: DataFrame, outcome: str, how: str) -> DataFrame:
@@ -141,7 +142,7 @@ def false_alarms(verdict: DataFrame, findings: DataFrame, chars: int = 120) -> D
         "product",
         F.col("estimated_recovery").alias("claimed_dollars"),
         F.substring("evidence", 1, chars).alias("claimed_evidence"),
-    )
+    ).orderBy(F.desc_nulls_first("claimed_dollars"), "detected_by", "leak_type", "customer_name", "month", "product")
 
 
 def _matched(verdict: DataFrame, findings: DataFrame, answer_key: DataFrame) -> DataFrame:
@@ -186,6 +187,7 @@ def dollar_accuracy(verdict: DataFrame, findings: DataFrame, answer_key: DataFra
             (F.col("detected_total") - F.col("actual_total")).alias("dollar_error"),
             (half_up(F.col("error"), F.col("n_error") * 100_000) / F.lit(10)).alias("mean_abs_pct_error"),
         )
+        .orderBy("detected_by", F.abs("dollar_error").desc_nulls_first(), "leak_type")
     )
 
 
@@ -212,6 +214,7 @@ def confirmed_value(verdict: DataFrame, answer_key: DataFrame) -> DataFrame:
             F.count("*").alias("confirmed_leaks"),
             F.sum("actual").alias("recoverable_dollars"),
         )
+        .orderBy(F.asc_nulls_last("detected_by"), F.desc_nulls_first("recoverable_dollars"), F.desc("level"), "leak_type")
     )
 
 

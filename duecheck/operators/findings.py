@@ -89,6 +89,7 @@ def totals_by_type(findings: DataFrame) -> DataFrame:
         findings.where(F.col("detected_by").isNotNull())
         .groupBy("detected_by", "leak_type")
         .agg(F.count("*").alias("found"), F.sum("estimated_recovery").alias("total_recovery"))
+        .orderBy("detected_by", F.desc_nulls_first("total_recovery"), "leak_type")
     )
 
 
@@ -107,6 +108,7 @@ def top_findings(findings: DataFrame, arm: str, n: int = 2, chars: int | None =
         .withColumn("place", place)
         .where(F.col("place") <= n)
         .withColumn("evidence", evidence)
+        .orderBy("leak_type", "place")
         .drop("place")
     )
 

@@ -35,9 +35,9 @@ def hot_keys(df: DataFrame, keys: Sequence[str], share: int = HOT_SHARE) -> Data
 
     Counts are combined before the shuffle; at most ``share`` rows come out.
     """
-    counts = df.groupBy(*keys).agg(F.count("*").alias("_n"))
-    counts = counts.dropna(subset=list(keys))
-    total = df.agg(F.count("*").alias("_total")).scalar()
+    counted = df.groupBy(*keys).agg(F.count("*").alias("_n"))
+    counts = counted.dropna(subset=list(keys))
+    total = counted.agg(F.sum("_n")).scalar()
     pieces = F.ceil(F.col("_n") * share / total).cast("int").alias("_pieces")
     return counts.where(F.col("_n") * share > total).select(*keys, pieces)
 

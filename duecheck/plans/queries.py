@@ -94,7 +94,7 @@ def s5_load_audit(ws):
     for name in names:
         source = _fresh_path(ws, f"{name}-csv")
         csv.write_csv(ws[name], source)
-        loaded[name] = csv.read_csv(ws.spark, source, kinds[name])
+        loaded[name] = csv.read_csv(ws.spark, source, kinds[name], multi_line=name == "contracts")
     written = [ws[n].agg(F.count("*").alias("expected")).withColumn("table_name", F.lit(n)) for n in names]
     return audit.load_audit(loaded, reduce(DataFrame.unionByName, written))
 
@@ -122,7 +122,7 @@ def s9_memo_export(ws):
     path = _fresh_path(ws, "memos-csv")
     listed = report.memo_list(ws["drafted"], ARM)
     csv.export_memos(listed, path)
-    return csv.read_csv(ws.spark, path, listed.drop("label").schema)
+    return csv.read_csv(ws.spark, path, listed.drop("label").schema, multi_line=True)
 
 
 @query

@@ -97,13 +97,9 @@ def run(
             reconciled.scalar(),
             F.lit(" | "),
             drafted.scalar(),
-            F.lit(" | score: "),
-            F.col("tp").cast("string"),
-            F.lit(" confirmed, "),
-            F.col("fp").cast("string"),
-            F.lit(" false alarm(s), "),
-            F.col("fn").cast("string"),
-            F.lit(" missed | confirmed recoverable: $"),
+            F.lit(" | "),
+            *[F.concat(F.lit(f"{name}="), F.col(name).cast("string"), F.lit(" ")) for name in ("tp", "fp", "fn")],
+            F.lit("usd="),
             dollars.cast(MONEY).cast("string"),
         ).alias("report")
     )

@@ -64,7 +64,7 @@ def billing(lineitem: DataFrame, orders: DataFrame, part: DataFrame, customer: D
         F.col("c_name").alias("customer_name"),
         "month",
         "product",
-        F.col("units").cast("int").alias("units"),
+        F.col("units"),
         _rate(rate_e4).alias("unit_rate_billed"),
         F.col("pct").cast(PCT).alias("discount_pct_applied"),
         amount.alias("amount_billed"),

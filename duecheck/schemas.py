@@ -1,18 +1,23 @@
 """Declared schemas of the domain tables and the type names used inside.
 
 Money and rates are decimals: sums of decimals do not depend on the order in
-which tasks deliver them, sums of doubles do.
+which tasks deliver them, sums of doubles do. Input keeps its digits (RATE,
+AMOUNT, PCT); only a recovery is rounded, once, to MONEY. The widths are such
+that units * rate * percentage stays exact.
 """
 
 from pyspark.sql import types as T
 
-RATE = "decimal(18,4)"
+RATE = "decimal(18,10)"
+AMOUNT = "decimal(20,6)"
 MONEY = "decimal(18,2)"
-PCT = "decimal(5,2)"
+PCT = "decimal(7,4)"
+UNITS = "decimal(11,0)"
 
-_RATE = T.DecimalType(18, 4)
+_RATE = T.DecimalType(18, 10)
+_AMOUNT = T.DecimalType(20, 6)
 _MONEY = T.DecimalType(18, 2)
-_PCT = T.DecimalType(5, 2)
+_PCT = T.DecimalType(7, 4)
 
 
 def _struct(*fields: tuple[str, T.DataType]) -> T.StructType:
@@ -25,10 +30,10 @@ BILLING = _struct(
     ("customer_name", T.StringType()),
     ("month", T.StringType()),
     ("product", T.StringType()),
-    ("units", T.IntegerType()),
+    ("units", T.LongType()),
     ("unit_rate_billed", _RATE),
     ("discount_pct_applied", _PCT),
-    ("amount_billed", _MONEY),
+    ("amount_billed", _AMOUNT),
 )
 
 CONTRACTS = _struct(
@@ -55,7 +60,7 @@ RESPONSE_TERMS = _struct(
     ),
     ("discount_pct", _PCT),
     ("discount_valid_through", T.StringType()),
-    ("min_monthly_commit", _MONEY),
+    ("min_monthly_commit", _AMOUNT),
 )
 
 RESPONSE_ENVELOPE = _struct(

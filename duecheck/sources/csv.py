@@ -2,7 +2,7 @@
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -14,7 +14,6 @@ from duecheck.sources.tables import stage
 # fails once its column is read, and a load reads them all.
 _READ = {
     "header": True,
-    "multiLine": True,
     "quote": '"',
     "escape": '"',
     "mode": "FAILFAST",
@@ -33,16 +32,40 @@ _WRITE = {
 }
 
 
-def read_csv(spark: SparkSession, path: str, schema: T.StructType, pattern: str | None = None) -> DataFrame:
+def _checked(raw: DataFrame, schema: T.StructType) -> DataFrame:
+    """Typed columns of a table read as text; a number that its type cannot hold exactly ends the read.
+
+    The message names the row. Nothing is rounded on the way in.
+    """
+    row = F.to_json(F.struct(*[F.col(f.name) for f in schema.fields]))
+
+    def typed(field: T.StructField) -> Column:
+        written = F.col(field.name)
+        if not isinstance(field.dataType, (T.DecimalType, T.LongType, T.IntegerType)):
+            return written.cast(field.dataType).alias(field.name)
+        given = F.trim(written)
+        held = given.try_cast(field.dataType)
+        surplus = given.rlike(r"\.[0-9]{18}[0-9]*[1-9]") | (given.try_cast("decimal(38,18)") != held)
+        fits = written.isNull() | F.coalesce(held.isNotNull() & ~surplus, F.lit(False))
+        wrong = F.concat(F.lit(f"{field.name} does not fit {field.dataType.simpleString()} in "), row)
+        return F.when(fits, held).otherwise(F.raise_error(wrong).cast(field.dataType)).alias(field.name)
+
+    return raw.select(*[typed(f) for f in schema.fields])
+
+
+def read_csv(
+    spark: SparkSession, path: str, schema: T.StructType, pattern: str | None = None, multi_line: bool = False
+) -> DataFrame:
     """Strict CSV read; empty fields, quoted or not, are NULL.
 
-    A file with newlines inside fields is read by one task, so large loads
-    should arrive as many files and be refreshed into Parquet once.
+    Only files with newlines inside fields need ``multi_line``: such a file is
+    read by one task. Others are split.
     """
-    reader = spark.read.schema(schema).options(**_READ)
+    text = T.StructType([T.StructField(f.name, T.StringType()) for f in schema.fields])
+    reader = spark.read.schema(text).options(**_READ).option("multiLine", multi_line)
     if pattern is not None:
         reader = reader.option("pathGlobFilter", pattern)
-    return reader.csv(path)
+    return _checked(reader.csv(path), schema)
 
 
 def write_csv(df: DataFrame, path: str) -> None:
@@ -55,7 +78,7 @@ def read_billing(spark: SparkSession, path: str, pattern: str | None = None) ->
 
 
 def read_contracts(spark: SparkSession, path: str, pattern: str | None = None) -> DataFrame:
-    return read_csv(spark, path, schemas.CONTRACTS, pattern)
+    return read_csv(spark, path, schemas.CONTRACTS, pattern, multi_line=True)
 
 
 def read_answer_key(spark: SparkSession, path: str, pattern: str | None = None) -> DataFrame:
@@ -85,8 +108,16 @@ def refresh(df: DataFrame, path: str, cluster_by: Sequence[str] = ()) -> DataFra
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def identified(billing: DataFrame) -> DataFrame:
+    """Billing whose lines all have an invoice, an account and a month ``YYYY-MM``; any other line ends the load."""
+    good = F.col("invoice_id").isNotNull() & F.col("customer_id").isNotNull()
+    good = good & F.coalesce(F.col("month").rlike("^[0-9]{4}-(0[1-9]|1[0-2])$"), F.lit(False))
+    wrong = F.concat(F.lit("no invoice, account or month in "), F.to_json(F.struct(*billing.columns)))
+    return billing.withColumn("invoice_id", F.when(good, F.col("invoice_id")).otherwise(F.raise_error(wrong)))
+
+
 def load_billing(spark: SparkSession, source: str, target: str, pattern: str | None = None) -> DataFrame:
-    return refresh(read_billing(spark, source, pattern), target, BILLING_ORDER)
+    return refresh(identified(read_billing(spark, source, pattern)), target, BILLING_ORDER)
 
 
 def load_contracts(spark: SparkSession, source: str, target: str, pattern: str | None = None) -> DataFrame:

@@ -1,7 +1,7 @@
 """The oracle of each registered query."""
 
 from duecheck.operators import extract, memos
-from oracle.ctes import GUIDANCE, MEMO, quote, select
+from oracle.ctes import GUIDANCE, MEMO, amount, quote, select
 
 CAND = "customer_id, customer_name, month, product, extraction_method, leak_type, estimated_recovery::double AS estimated_recovery, evidence"
 FIND = "finding_id, customer_id, customer_name, month, product, leak_type, estimated_recovery::double AS estimated_recovery, evidence"
@@ -29,12 +29,12 @@ TOP = "row_number() OVER (PARTITION BY leak_type ORDER BY estimated_recovery DES
 FACTS = """chr(10) || 'Customer: ' || customer_name || chr(10) || 'Period: ' || month || chr(10) || 'Product: ' || product
   || chr(10) || 'Leak type: ' || leak_type || chr(10) || '{label}: $' || estimated_recovery || chr(10) || 'Evidence: ' || evidence"""
 REQUEST_LONG = (
-    f"{quote(memos._LONG_INTRO)} || {FACTS.format(label='Amount under-billed')} || chr(10) || chr(10) "
-    f"|| 'About this kind of leak: ' || {GUIDANCE} || chr(10) || chr(10) || {quote(memos._LONG_RULES)}"
+    f"{quote(memos._LONG_INTRO)} || {FACTS.format(label='Amount')} || chr(10) || chr(10) "
+    f"|| 'Kind: ' || {GUIDANCE} || chr(10) || chr(10) || {quote(memos._LONG_RULES)}"
 )
 REQUEST_SHORT = (
     f"{quote(memos._SHORT_INTRO)} || CASE WHEN leak_type = 'missing_charge' THEN {quote(memos._SHORT_CAVEAT)} ELSE '' END "
-    f"|| chr(10) || {FACTS.format(label='Under-billed')}"
+    f"|| chr(10) || {FACTS.format(label='Amount')}"
 )
 
 _SQL = {
@@ -63,9 +63,8 @@ WHERE detected_by <> 'sql_baseline' OR leak_type = 'rate_leak'""",
 WHERE line LIKE '- **%billed at%'""",
     "x3_product_capture": """SELECT customer_id, line_no, nullif(regexp_extract(line, '\\*\\*(.+?)\\*\\*', 1), '') AS product
 FROM doc_lines""",
-    "x4_rate_capture": """SELECT customer_id, line_no,
-  try_cast(nullif(regexp_extract(line, 'billed at \\$([0-9.]+)', 1), '') AS decimal(18,4))::double AS contract_rate
-FROM doc_lines""",
+    "x4_rate_capture": f"""SELECT customer_id, line_no,
+  {amount('line', 'billed at [$]', 'decimal(18,6)')}::double AS contract_rate FROM doc_lines""",
     "x5_discount_clause": "SELECT customer_id, discount_pct::double AS discount_pct FROM rx_meta",
     "x6_expiry_clause": "SELECT customer_id, discount_valid_through::varchar AS discount_valid_through FROM rx_meta",
     "x7_minimum_clause": "SELECT customer_id, min_monthly_commit::double AS min_monthly_commit FROM rx_meta",
@@ -163,11 +162,16 @@ CROSS JOIN (SELECT DISTINCT detected_by FROM findings) d""",
 FROM verdict GROUP BY 1""",
     "e6_scorecard_by_type": f"""SELECT detected_by, leak_type, {TP} AS tp, {FP} AS fp, {FN} AS fn,
   {PRECISION} AS precision, {RECALL} AS recall FROM verdict GROUP BY 1, 2""",
-    "e7_misses": f"""SELECT detected_by, leak_type, customer_name, month, product,
-  estimated_recovery::double AS missed_dollars, detail AS what_was_planted
-FROM answer_key JOIN verdict {SAME_LEAK} WHERE outcome = 'FN'""",
+    # Stated from findings and key alone: what an arm that found anything did not find.
+    "e7_misses": """SELECT arm.detected_by, k.leak_type, k.customer_name, k.month, k.product,
+  k.estimated_recovery::double AS missed_dollars, k.detail AS what_was_planted
+FROM answer_key k CROSS JOIN (SELECT DISTINCT detected_by FROM findings) arm
+LEFT JOIN (SELECT DISTINCT detected_by, customer_id, month, product, leak_type FROM findings) f
+  ON f.detected_by = arm.detected_by AND f.customer_id = k.customer_id AND f.month = k.month
+    AND f.product = k.product AND f.leak_type = k.leak_type
+WHERE f.detected_by IS NULL""",
     "e8_false_alarms": """SELECT detected_by, leak_type, customer_name, month, product,
-  estimated_recovery::double AS claimed_dollars, evidence[:120] AS claimed_evidence
+  estimated_recovery::double AS claimed_dollars, left(evidence, 120) AS claimed_evidence
 FROM findings WHERE (customer_id, month, product, leak_type) NOT IN
   (SELECT (customer_id, month, product, leak_type) FROM answer_key)""",
     "e9_dollar_accuracy": f"""SELECT detected_by, leak_type, count(*) AS leaks_scored, sum(claimed)::double AS detected_total,
@@ -181,7 +185,7 @@ GROUP BY 1, 2""",
   count(*) AS confirmed_leaks, sum(estimated_recovery)::double AS recoverable_dollars
 FROM answer_key JOIN verdict {SAME_LEAK} WHERE outcome = 'TP' GROUP BY ROLLUP (detected_by, leak_type)""",
     "e11_confirmed_total": f"""SELECT coalesce(sum(estimated_recovery), 0)::double AS recoverable_dollars
-FROM answer_key JOIN verdict {SAME_LEAK} WHERE (outcome, detected_by) = ('TP', 'sql_baseline')""",
+FROM answer_key JOIN verdict {SAME_LEAK} WHERE outcome = 'TP' AND detected_by = 'sql_baseline'""",
     "e12_arm_counts": f"""SELECT {TP} AS tp, {FP} AS fp, {FN} AS fn, count(*) AS total FROM verdict
 WHERE detected_by = 'json_terms'""",
     # Memos
@@ -198,8 +202,8 @@ WHERE detected_by = 'sql_baseline' AND draft_memo IS NULL""",
     "k7_memo_coverage": """SELECT count(*) AS findings, count(draft_memo) AS drafted, count(*) - count(draft_memo) AS still_empty,
   ((2 * sum(length(draft_memo)) + count(draft_memo)) // (2 * count(draft_memo)))::bigint AS avg_memo_chars
 FROM reviewed WHERE detected_by = 'sql_baseline'""",
-    "k8_preamble_breaches": f"""SELECT {SHOWN}, draft_memo[:80] AS starts_with FROM drafted
-WHERE detected_by = 'sql_baseline' AND lower(draft_memo[:5]) <> 'memo:'""",
+    "k8_preamble_breaches": f"""SELECT {SHOWN}, left(draft_memo, 80) AS starts_with FROM drafted
+WHERE detected_by = 'sql_baseline' AND lower(left(draft_memo, 5)) <> 'memo:'""",
     "k9_caveat_breaches": f"""SELECT {SHOWN}, estimated_recovery::double AS estimated_recovery FROM drafted
 WHERE detected_by = 'sql_baseline' AND leak_type = 'missing_charge'
   AND NOT regexp_matches(draft_memo, '(?i)estimat|confirm|verify|unknown')""",
@@ -232,7 +236,7 @@ FROM (SELECT coalesce(a.customer_id, c.customer_id) AS customer_id, coalesce(est
   FROM (SELECT customer_id, sum(estimated_recovery) AS estimated FROM findings
         WHERE detected_by = 'sql_baseline' GROUP BY 1) a
   FULL OUTER JOIN (SELECT customer_id, sum(estimated_recovery) AS confirmed FROM answer_key JOIN verdict {SAME_LEAK}
-        WHERE (outcome, detected_by) = ('TP', 'sql_baseline') GROUP BY 1) c ON c.customer_id = a.customer_id) t""",
+        WHERE outcome = 'TP' AND detected_by = 'sql_baseline' GROUP BY 1) c ON c.customer_id = a.customer_id) t""",
     "r8_selection_total": """SELECT count(*) FILTER (leak_type IN ('rate_leak', 'missing_charge')) AS shown, count(*) AS findings,
   coalesce(sum(estimated_recovery) FILTER (leak_type IN ('rate_leak', 'missing_charge')), 0)::double AS dollars
 FROM findings WHERE detected_by = 'sql_baseline'""",
@@ -268,15 +272,15 @@ FROM answer_key GROUP BY ROLLUP (leak_type)""",
   || ' memo(s) kept' AS report FROM reviewed""",
     "o2_draft": """SELECT 'draft: ' || count(*) FILTER (draft_memo IS NULL) || ' memo(s) written for sql_baseline, 0 still empty'
   AS report FROM reviewed WHERE detected_by = 'sql_baseline'""",
-    "o3_run": f"""SELECT r.part || ' | ' || d.part || ' | score: ' || s.tp || ' confirmed, ' || s.fp || ' false alarm(s), '
-  || s.fn || ' missed | confirmed recoverable: $' || c.dollars AS report
+    "o3_run": f"""SELECT r.part || ' | ' || d.part || ' | tp=' || s.tp || ' fp=' || s.fp || ' fn=' || s.fn
+  || ' usd=' || c.dollars AS report
 FROM (SELECT 'reconcile: ' || count(*) || ' findings over all arms, ' || count(draft_memo) || ' memo(s) kept' AS part
       FROM reviewed) r,
   (SELECT 'draft: ' || count(*) FILTER (draft_memo IS NULL) || ' memo(s) written for sql_baseline, 0 still empty' AS part
    FROM reviewed WHERE detected_by = 'sql_baseline') d,
   (SELECT {TP} AS tp, {FP} AS fp, {FN} AS fn FROM verdict WHERE detected_by = 'sql_baseline') s,
   (SELECT coalesce(sum(estimated_recovery), 0)::decimal(18,2) AS dollars FROM answer_key JOIN verdict {SAME_LEAK}
-   WHERE (outcome, detected_by) = ('TP', 'sql_baseline')) c""",
+   WHERE outcome = 'TP' AND detected_by = 'sql_baseline') c""",
 }
 
 

@@ -112,3 +112,29 @@ def test_selection(spark):
     row = report.selection_total(found, "x", ["rate_leak"], ["C2"]).first()
     assert (row["shown"], row["findings"], row["dollars"]) == (1, 3, Decimal("5.00"))
     assert report.selection(found, "x", None, ["C1", "C3"]).count() == 2
+
+
+def test_reports_come_in_order(spark):
+    found = findings(
+        spark,
+        finding("x", *A, "10"),
+        finding("x", 9, "2026-01", "A", "rate_leak", "5"),
+        finding("x", 8, "2026-01", "A", "rate_leak", "6"),
+        finding("y", *B, "5"),
+        finding("y", *C, "8"),
+        finding("z", 7, "2026-01", "A", "rate_leak", "1"),
+    )
+    planted = key(spark, (*A, "11"), (*B, "5"), (*C, "7"))
+    verdict = evaluate.verdicts(found, planted)
+    rows = lambda df, *columns: [tuple(r) for r in df.select(*columns).collect()]
+    # F1 falls; nothing scored (z has no hit: 0) comes last, an undefined share would come first.
+    assert [r[0] for r in rows(evaluate.scorecard(verdict), "detected_by")] == ["y", "x", "z"]
+    assert rows(evaluate.scorecard_by_type(verdict), "detected_by", "leak_type")[:2] == [("x", "missing_charge"), ("x", "rate_leak")]
+    missed = rows(evaluate.misses(verdict, planted), "missed_dollars")
+    assert missed == sorted(missed, reverse=True)
+    claimed = rows(evaluate.false_alarms(verdict, found), "claimed_dollars")
+    assert claimed == [(6,), (5,), (1,)]
+    assert rows(evaluate.dollar_accuracy(verdict, found, planted), "detected_by", "dollar_error") == [("x", -1), ("y", 1), ("y", 0)]
+    assert rows(evaluate.confirmed_value(verdict, planted), "detected_by", "level") == [
+        ("x", 1), ("x", 0), ("y", 1), ("y", 0), ("y", 0), (None, 3),
+    ]

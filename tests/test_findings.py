@@ -69,8 +69,7 @@ def test_runs_are_idempotent_and_keep_edited_memos(spark, tmp_path):
     first = run.run(lines, rates, clauses, planted, path, "sql_baseline").first()["report"]
     assert first == (
         "reconcile: 3 findings over all arms, 0 memo(s) kept | draft: 3 memo(s) written for "
-        "sql_baseline, 0 still empty | score: 3 confirmed, 0 false alarm(s), 1 missed | confirmed "
-        "recoverable: $27.00"
+        "sql_baseline, 0 still empty | tp=3 fp=0 fn=1 usd=27.00"
     )
     edited = f.read_findings(spark, path).withColumn(
         "draft_memo",

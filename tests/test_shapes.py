@@ -27,7 +27,8 @@ def test_extraction_is_map_only(ws):
 
 def test_top_per_type_is_cut_before_the_shuffle(ws):
     text = plan(findings.top_findings(ws["findings"], "sql_baseline"))
-    assert text.index("WindowGroupLimit") < text.index("Exchange") < text.rindex("WindowGroupLimit")
+    shuffle = text.index("Exchange hashpartitioning")
+    assert text.index("WindowGroupLimit") < shuffle < text.rindex("WindowGroupLimit")
 
 
 def test_top_customers_is_a_top_k(ws):

@@ -96,3 +96,44 @@ def test_clustered_load_splits_one_hot_account(spark, tmp_path):
         spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
     per_file = [r["count"] for r in stored.groupBy(F.input_file_name()).count().collect()]
     assert sum(per_file) == 4000 and max(per_file) < 1000
+
+
+def billing_file(tmp_path, *rows):
+    head = ",".join(schemas.BILLING.names) + "\n"
+    (tmp_path / "b.csv").write_text(head + "".join(r + "\n" for r in rows))
+    return str(tmp_path / "b.csv")
+
+
+def test_a_load_keeps_all_digits(spark, tmp_path):
+    path = billing_file(tmp_path, "i,1,C,2026-01,A,3000000000,0.000125,12.345,0.0015")
+    row = csv.load_billing(spark, path, str(tmp_path / "t")).first()
+    assert [str(row[c].normalize()) for c in ("unit_rate_billed", "discount_pct_applied", "amount_billed")] == ["0.000125", "12.345", "0.0015"]
+    assert row["units"] == 3_000_000_000
+
+
+@pytest.mark.parametrize(
+    "row",
+    [
+        "i,1,C,2026-01,A,1,0.00000000001,0,0",
+        "i,1,C,2026-01,A,1,1,0.00005,0",
+        "i,1,C,2026-01,A,1,1,0,0.0000001",
+        "i,1,C,2026-01,A,1.5,1,0,0",
+        "i,1,C,2026-01,A,1,dear,0,0",
+        ",1,C,2026-01,A,1,1,0,0",
+        "i,,C,2026-01,A,1,1,0,0",
+        "i,1,C,2026-13,A,1,1,0,0",
+        "i,1,C,,A,1,1,0,0",
+    ],
+)
+def test_a_load_fails_on_what_it_cannot_hold(spark, tmp_path, row):
+    with pytest.raises(Exception, match="does not fit|no invoice"):
+        csv.load_billing(spark, billing_file(tmp_path, row), str(tmp_path / "t"))
+
+
+def test_a_large_billing_file_is_read_by_many_tasks(spark, tmp_path):
+    path = billing_file(tmp_path, *[f"i{i},1,C,2026-01,A,1,1,0,0" for i in range(4000)])
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "16k")
+    try:
+        assert csv.read_billing(spark, path).rdd.getNumPartitions() > 3
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
