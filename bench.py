@@ -1,7 +1,9 @@
 """Time the headline queries; prints one JSON line.
 
 Shared tables are derived and stored first, each under ``store_<name>``. Then
-every query runs RUNS times, all of its rows consumed; the median counts.
+every query runs RUNS times, all of its rows consumed; the median counts. The
+value is the sum of both, so that no work is left out; ``queries_only`` and
+``stored_only`` give the parts.
 """
 
 import json
@@ -91,13 +93,16 @@ def main() -> None:
             registered[name](spark, FOLDER).write.format("noop").mode("overwrite").save()
             times.append(time.perf_counter() - start)
         seconds[name] = round(statistics.median(times), 3)
-    total = sum(seconds[name] for name in HEADLINE)
+    queries_only = sum(seconds[name] for name in HEADLINE)
+    stored_only = sum(seconds[f"store_{name}"] for name in STORED)
     print(
         json.dumps(
             {
-                "metric": "headline queries, sum of medians",
-                "value": round(total, 3),
+                "metric": "headline queries (sum of medians) and the stored tables they read",
+                "value": round(queries_only + stored_only, 3),
                 "unit": "sec",
+                "queries_only": round(queries_only, 3),
+                "stored_only": round(stored_only, 3),
                 "queries": seconds,
                 "sf": os.path.basename(FOLDER.rstrip("/")).removeprefix("sf"),
             }

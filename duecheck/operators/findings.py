@@ -10,7 +10,7 @@ from duecheck import schemas
 from duecheck.functions.hashing import stable_id
 from duecheck.operators.joins import hot_join
 from duecheck.schemas import ARM_IDENTITY, IDENTITY, MONEY
-from duecheck.sources.tables import replace_arms, stage
+from duecheck.sources.tables import read_arms, replace_arms
 
 # Labels of the known arms; any other method is prefixed.
 ARM_LABELS = {"regex_baseline": "sql_baseline", "json_terms": "json_terms"}
@@ -62,16 +62,16 @@ def build_findings(
 
 
 def read_findings(spark, path: str) -> DataFrame:
-    return spark.read.schema(schemas.FINDINGS).parquet(path)
+    return read_arms(spark, path, schemas.FINDINGS, "detected_by")
 
 
 def write_findings(findings: DataFrame, path: str, arms: Sequence[str]) -> DataFrame:
     """Replace the findings of ``arms`` at ``path``; other arms are untouched.
 
-    Findings that carry memos read from ``path``, so they are stored aside first;
-    that copy also survives a failure half way through the replacement.
+    One write and one switch: findings that carry memos may read from ``path``,
+    and after a failure the old state, with all its memos, is still the one read.
     """
-    replace_arms(stage(findings, "findings"), path, "detected_by", arms)
+    replace_arms(findings, path, "detected_by", arms)
     return read_findings(findings.sparkSession, path)
 
 

@@ -55,7 +55,7 @@ def draft(spark: SparkSession, findings_path: str, arm: str, memos: DataFrame |
     ``memos`` (finding_id, memo) are outside answers; without them the template
     writes each memo. A memo that exists is never replaced.
     """
-    before = stage(read_findings(spark, findings_path).where(F.col("detected_by") == arm), "undrafted")
+    before = read_findings(spark, findings_path).where(F.col("detected_by") == arm)
     after = draft_templates(before, arm) if memos is None else attach_memos(before, memos)
     stored = write_findings(after, findings_path, [arm])
     was_empty = undrafted(before, arm).agg(F.count("*").alias("n")).scalar()
@@ -87,8 +87,6 @@ def run(
     """
     spark = billing.sparkSession
     reconciled = reconcile(billing, terms, meta, findings_path, arms, run_at)
-    # Read before drafting rewrites the table below it.
-    reconciled = stage(reconciled, "report")
     drafted = draft(spark, findings_path, arm)
     verdict = stage(verdicts(read_findings(spark, findings_path), answer_key, arms), "verdict")
     dollars = confirmed_total(verdict, answer_key, arm).scalar()

@@ -64,7 +64,7 @@ def test_replace_arms_touches_only_its_arms(spark, tmp_path):
         finding("x", 1, "2026-01", "A", "rate_leak", "1"),
         finding("y", 1, "2026-01", "A", "rate_leak", "1"),
     )
-    read = lambda: tuples(spark.read.schema(schemas.FINDINGS).parquet(path), "detected_by", "customer_id")
+    read = lambda: tuples(tables.read_arms(spark, path, schemas.FINDINGS, "detected_by"), "detected_by", "customer_id")
     tables.replace_arms(both, path, "detected_by", ["x", "y"])
     assert read() == [("x", 1), ("y", 1)]
     # Rows of an arm that is not named are not written.
@@ -78,6 +78,16 @@ def test_replace_arms_touches_only_its_arms(spark, tmp_path):
     # An arm without findings loses its old rows.
     tables.replace_arms(other.where("detected_by = 'y'"), path, "detected_by", ["x", "y"])
     assert read() == [("y", 2)]
+    # A write that fails half way changes nothing, and what was read before stays readable.
+    before = tables.read_arms(spark, path, schemas.FINDINGS, "detected_by")
+    broken = other.withColumn("evidence", F.when(F.col("detected_by") == "y", F.raise_error(F.lit("lost"))).otherwise(F.col("evidence")))
+    with pytest.raises(Exception, match="lost"):
+        tables.replace_arms(broken, path, "detected_by", ["x", "y"])
+    assert read() == [("y", 2)]
+    tables.replace_arms(both, path, "detected_by", ["x", "y"])
+    assert before.count() == 1
+    tables.drop_old_runs(spark, path)
+    assert read() == [("x", 1), ("y", 1)]
 
 
 def test_scratch_folder_is_the_session_one(spark):
