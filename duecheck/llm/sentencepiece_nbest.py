@@ -38,7 +38,8 @@ MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 N_BEST = 3
 SPACE = "▁"
 _UNKNOWN_PENALTY = 10.0
-_CACHE_WORDS = 180_000
+_CACHE_WORDS = 300_000
+_TOGETHER = 40
 _ODD = re.compile(f" +[^ {SPACE}]*|[^ {SPACE}]+|{SPACE}")
 
 _RANK = itemgetter(0, 1, 2)
@@ -76,20 +77,56 @@ class Vocabulary:
         least = min(s for _, s in pieces.values() if s > -1e8)
         return cls(pieces, byte_ids, least - _UNKNOWN_PENALTY, text_of)
 
-class Remembered:
-    """A bounded memory in two generations: what is met again outlives the older one."""
+_FACTOR = np.uint64(0x9E3779B97F4A7C15)
+_SLOT_BITS = 18
+
+
+class PieceTable:
+    """Ids and scores of pieces by the hash of their characters, for whole arrays of candidates at once."""
+
+    def __init__(self, pieces: dict[str, tuple[int, float]]) -> None:
+        self.longest = max(map(len, pieces))
+        keys = np.array([self._hash(np.array([list(map(ord, p))], np.uint64))[0] for p in pieces], np.uint64)
+        if len(np.unique(keys)) != len(keys):
+            raise ValueError("two pieces share a hash")
+        found = list(pieces.values())
+        ids, scores = np.array([i for i, _ in found], np.int32), np.array([s for _, s in found])
+        self.shift, self.slots = np.uint64(64 - _SLOT_BITS), []
+        left = np.arange(len(keys))
+        while len(left):  # each round holds the first piece of every slot, the next round the rest
+            place = (keys[left] >> self.shift).astype(np.int64)
+            _, first = np.unique(place, return_index=True)
+            own = left[first]
+            size = 1 << _SLOT_BITS
+            key, number, score = np.zeros(size, np.uint64), np.zeros(size, np.int32), np.full(size, -np.inf)
+            key[place[first]], number[place[first]], score[place[first]] = keys[own], ids[own], scores[own]
+            self.slots.append((key, number, score))
+            left = np.delete(left, first)
 
-    def __init__(self) -> None:
-        self.young: dict[str, tuple] = {}
-        self.old: dict[str, tuple] = {}
-
-    def get(self, key: str) -> tuple | None:
-        return self.young.get(key) or self.old.get(key)
-
-    def put(self, key: str, value: tuple) -> None:
-        if len(self.young) >= _CACHE_WORDS:
-            self.old, self.young = self.young, {}
-        self.young[key] = value
+    @staticmethod
+    def extend(key: np.ndarray, code: np.ndarray) -> np.ndarray:
+        key = (key ^ code) * _FACTOR
+        return key ^ (key >> np.uint64(29))
+
+    def _hash(self, codes: np.ndarray) -> np.ndarray:
+        key = np.full(len(codes), 7, np.uint64)
+        for i in range(codes.shape[1]):
+            key = self.extend(key, codes[:, i])
+        return key * _FACTOR
+
+    def look_up(self, key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(ids, scores) of hashed candidates; -inf where there is no such piece."""
+        key = key * _FACTOR
+        place = (key >> self.shift).astype(np.int64)
+        ids, scores = np.zeros(len(key), np.int32), np.full(len(key), -np.inf)
+        left = np.arange(len(key))
+        for keys, number, score in self.slots:
+            seen = keys[place[left]]
+            same = seen == key[left]
+            hit = left[same]
+            ids[hit], scores[hit] = number[place[hit]], score[place[hit]]
+            left = left[~same & (seen != 0)]
+        return ids, scores
 
 
 class Lattice:
@@ -101,7 +138,9 @@ class Lattice:
         self.begun: dict[str, tuple[int, float] | None] = {p[:i]: None for p in vocabulary.pieces for i in range(1, len(p))}
         self.begun.update(vocabulary.pieces)
         self.joined = {p[i : i + 2] for p in vocabulary.pieces for i in range(len(p) - 1)}
-        self.words, self.parts = Remembered(), Remembered()
+        self.table = PieceTable(vocabulary.pieces)
+        self.words: dict[str, tuple] = {}
+        self.parts: dict[str, tuple] = {}
 
     def as_bytes(self, text: str) -> tuple[int, ...]:
         return tuple(self.v.byte_ids[b] for b in text.encode())
@@ -182,56 +221,124 @@ class Lattice:
                 solved = self.solve(marked, min(self.n, 2))
                 gap = solved[0][0] - solved[1][0] if len(solved) > 1 else np.inf
                 found = (array("i", solved[0][1]).tobytes(), solved[0][0], gap, marked)
-                self.parts.put(marked, found)
+                self.parts[marked] = found
         return found
 
-    def _words(self, text: str) -> list[tuple]:
-        if "  " not in text and text[0] != " " and text[-1] != " " and SPACE not in text:
-            words = text.split(" ")
-            found = list(map(self.words.young.get, words))
-            if None in found:
-                found = [f or self._plain(w) for w, f in zip(words, found, strict=True)]
-            return found
-        parts = _ODD.findall(" " + text)
-        return [self._word("" if p == SPACE else p.replace(" ", SPACE)) for p in parts]
-
-    def _plain(self, word: str) -> tuple:
-        """A word that stands after one space; remembered without the mark."""
-        found = self.words.get(word) or self._word(SPACE + word)
-        self.words.put(word, found)
-        return found
+    def _learn(self, words: set[str]) -> None:
+        """Solve new words together, length by length: forward and backward Viterbi over arrays of words.
+
+        The second best path has an edge off the best one, so its score is the
+        best score through any such edge: forward + edge + backward.
+        """
+        by_size: dict[int, list[str]] = {}
+        for w in words:
+            by_size.setdefault(len(w) + 1, []).append(w)
+        for size, same in by_size.items():
+            if size > _TOGETHER:
+                for w in same:
+                    self.words[w] = self._word(SPACE + w)
+                continue
+            text = "".join([SPACE + w for w in same])
+            codes = np.frombuffer(text.encode("utf-32-le"), np.uint32).reshape(-1, size).T.astype(np.uint64)
+            self._solve_together(same, codes)
+
+    def _solve_together(self, words: list[str], codes: np.ndarray) -> None:
+        size, n = codes.shape
+        ids: dict[tuple, np.ndarray] = {}
+        scores: dict[tuple, np.ndarray] = {}
+        for start in range(size):
+            key = np.full(n, 7, np.uint64)
+            for end in range(start + 1, min(size, start + self.table.longest) + 1):
+                key = self.table.extend(key, codes[end - 1])
+                found, score = self.table.look_up(key)
+                if end == start + 1:
+                    found[score == -np.inf] = -1
+                    score[score == -np.inf] = self.v.unknown
+                ids[start, end], scores[start, end] = found, score
+        ahead, back = np.full((size + 1, n), -np.inf), np.full((size + 1, n), -np.inf)
+        ahead[0], back[size] = 0, 0
+        origin, piece = np.zeros((size + 1, n), np.int32), np.zeros((size + 1, n), np.int32)
+        for start, end in sorted(scores, key=lambda e: e[1]):
+            new = ahead[start] + scores[start, end]
+            better = new > ahead[end]
+            ahead[end][better], origin[end][better] = new[better], start
+            piece[end][better] = ids[start, end][better]
+        for start, end in sorted(scores, reverse=True):
+            np.maximum(back[start], scores[start, end] + back[end], out=back[start])
+        used = np.zeros((size + 1, n), bool)
+        used[size] = True
+        for end in range(size, 0, -1):
+            rows = np.flatnonzero(used[end])
+            used[origin[end][rows], rows] = True
+        second = np.full(n, -np.inf)
+        for (start, end), score in scores.items():
+            through = ahead[start] + score + back[end]
+            through[used[end] & (origin[end] == start)] = -np.inf
+            np.maximum(second, through, out=second)
+        rows, ends = np.nonzero(used[1:].T)
+        flat = piece[ends + 1, rows].astype("<i4")
+        cuts = np.searchsorted(rows, np.arange(n + 1)) * 4
+        raw, total, gap = flat.tobytes(), ahead[size].tolist(), (ahead[size] - second).tolist()
+        unknown = set(rows[flat == -1].tolist())
+        for i, w in enumerate(words):
+            marked, own = SPACE + w, slice(cuts[i], cuts[i + 1])
+            best = raw[own]
+            if i in unknown:
+                places = range(own.start // 4, own.stop // 4)
+                each = [(flat[k],) if flat[k] >= 0 else self.as_bytes(marked[ends[k]].replace(SPACE, " ")) for k in places]
+                best = array("i", [x for e in each for x in e]).tobytes()
+            self.words[w] = (best, total[i], gap[i], marked)
+
+    def encode_all(self, texts: list[str]) -> list[list[tuple[float, bytes]]]:
+        """The N best (score, ids as little-endian 32-bit integers) of each whole text."""
+        if len(self.words) > _CACHE_WORDS:
+            self.words.clear()
+        if len(self.parts) > _CACHE_WORDS:
+            self.parts.clear()
+        split = [None if _irregular(t) else t.split(" ") for t in texts]
+        self._learn(set().union(*(w for w in split if w)) - self.words.keys())
+        return [self._best(t, words) if t else [(0.0, b"")] for t, words in zip(texts, split, strict=True)]
 
     def encode(self, text: str) -> list[tuple[float, bytes]]:
-        """The N best (score, ids as little-endian 32-bit integers) of a whole text."""
-        if not text:
-            return [(0.0, b"")]
-        words = self._words(text)
+        return self.encode_all([text])[0]
+
+    def _best(self, text: str, plain: list[str] | None) -> list[tuple[float, bytes]]:
+        if plain is not None:
+            words = list(map(self.words.__getitem__, plain))
+        else:
+            parts = _ODD.findall(" " + text)
+            words = [self._word("" if p == SPACE else p.replace(" ", SPACE)) for p in parts]
+        ids = [w[0] for w in words]
         total = float(sum([w[1] for w in words]))
-        gaps = np.array([w[2] for w in words])
+        gaps = [w[2] for w in words]
         # Only the n - 1 words that lose least can differ from their best among the n best sums.
-        open_ = np.argsort(gaps, kind="stable")[: self.n - 1]
+        open_ = np.argsort(np.array(gaps), kind="stable")[: self.n - 1]  # ties: the first word
         sums: list[tuple[float, dict[int, tuple]]] = [(0.0, {})]
         for w in map(int, open_):
             if gaps[w] == np.inf:
                 break
-            best = words[w][1]
-            others = self.solve(words[w][3], self.n)
+            own = tuple(array("i", ids[w]))
+            others = [(words[w][1], own)] + [x for x in self.solve(words[w][3], self.n) if x[1] != own]
             more = [
-                (lost + best - score, chosen | ({w: ids} if k else {}))
+                (lost + words[w][1] - score, chosen | ({w: found} if k else {}))
                 for lost, chosen in sums
-                for k, (score, ids) in enumerate(others)
+                for k, (score, found) in enumerate(others[: self.n])
             ]
             sums = sorted(more, key=lambda x: x[0])[: self.n]
-        parts = [w[0] for w in words]
         out = []
         for lost, chosen in sums:
-            own = parts if not chosen else list(parts)
-            for w, ids in chosen.items():
-                own[w] = array("i", ids).tobytes()
-            out.append((total - lost, b"".join(own)))
+            parts = ids if not chosen else list(ids)
+            for w, found in chosen.items():
+                parts[w] = array("i", found).tobytes()
+            out.append((total - lost, b"".join(parts)))
         return out
 
 
+def _irregular(text: str) -> bool:
+    """Whether the words of a text are not simply what stands between single spaces."""
+    return not text or text[0] == " " or text[-1] == " " or "  " in text or SPACE in text
+
+
 _LATTICES: dict[tuple, Lattice] = {}
 
 
@@ -254,7 +361,7 @@ SEGMENTATIONS = ArrayType(StructType([StructField("score", DoubleType()), Struct
 
 def encode(docs: DataFrame, model: str = MODEL, n: int = N_BEST, name: str = "segmentations") -> DataFrame:
     """``docs`` with its N best segmentations, best first, as a further column, which must be new."""
-    small_batches(docs.sparkSession, 256)
+    small_batches(docs.sparkSession)
     vocabulary = Vocabulary.read(model)
 
     key = (zlib.crc32(repr(sorted(vocabulary.pieces.items())).encode()), n)
@@ -262,7 +369,7 @@ def encode(docs: DataFrame, model: str = MODEL, n: int = N_BEST, name: str = "se
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lattice = _lattice(vocabulary, key)
         for batch in batches:
-            found = [lattice.encode(t or "") for t in batch.column("text").to_pylist()]
+            found = lattice.encode_all([t or "" for t in batch.column("text").to_pylist()])
             flat = [x for f in found for x in f]
             ids = pa.ListArray.from_arrays(
                 np.cumsum([0] + [len(x) // 4 for _, x in flat], dtype=np.int32),
