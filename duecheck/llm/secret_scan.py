@@ -36,7 +36,7 @@ _CLASS_LIMIT = 12
 
 @dataclass(frozen=True)
 class Rule:
-    """``keep`` decides on a match; ``fast`` may be a quicker expression with the same kept matches."""
+    """``keep`` decides whether a match counts."""
 
     kind: str
     pattern: str
