@@ -20,7 +20,6 @@ at each run. Rows repeated or without an id are encoded each.
 """
 
 import re
-import zlib
 from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -38,7 +37,7 @@ MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 N_BEST = 3
 SPACE = "▁"
 _UNKNOWN_PENALTY = 10.0
-_CACHE_WORDS = 300_000
+_CACHE_WORDS = 150_000
 _TOGETHER = 40
 _ODD = re.compile(f" +[^ {SPACE}]*|[^ {SPACE}]+|{SPACE}")
 
@@ -339,17 +338,6 @@ def _irregular(text: str) -> bool:
     return not text or text[0] == " " or text[-1] == " " or "  " in text or SPACE in text
 
 
-_LATTICES: dict[tuple, Lattice] = {}
-
-
-def _lattice(vocabulary: Vocabulary, key: tuple) -> Lattice:
-    """One lattice per worker process, so that words met in one task are known in the next."""
-    if key not in _LATTICES:
-        _LATTICES.clear()
-        _LATTICES[key] = Lattice(vocabulary, key[-1])
-    return _LATTICES[key]
-
-
 def decode_ids(vocabulary: Vocabulary, ids) -> str:
     """The text of pieces; controls are silent, bytes that are no text become U+FFFD."""
     text = b"".join([vocabulary.text_of[i] or b"" for i in ids]).decode("utf-8", "replace")
@@ -364,10 +352,8 @@ def encode(docs: DataFrame, model: str = MODEL, n: int = N_BEST, name: str = "se
     small_batches(docs.sparkSession)
     vocabulary = Vocabulary.read(model)
 
-    key = (zlib.crc32(repr(sorted(vocabulary.pieces.items())).encode()), n)
-
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lattice = _lattice(vocabulary, key)
+        lattice = Lattice(vocabulary, n)  # its memory of words ends with the task
         for batch in batches:
             found = lattice.encode_all([t or "" for t in batch.column("text").to_pylist()])
             flat = [x for f in found for x in f]
