@@ -1,17 +1,21 @@
-"""LM scoring with a hidden Markov model over word classes, trained by Baum-Welch.
+"""LM scoring with a hidden Markov model over words, trained by Baum-Welch.
 
 Tokens are lower-cased words and one end per text. Their counts over all training
-texts are exact. A seen word belongs to one of CLASSES classes by hash, unseen
-words and the end are classes of their own. A state emits a class, the class its
-word by the smoothed unigram share: p(w | s) = q(class | s) * p0(w) / p0(class).
-So the model has a fixed size, knows every word, and differs from the unigram
-model (the base score) by what the states know.
+texts are exact. Every seen word has emission counts of its own, one number per
+state, so what is gathered grows with the words of the input. An unseen word has
+its unigram share in all states. Before the first iteration, states differ by a
+random draw for each of CLASSES hash classes of words; after it, by what each
+word was seen with. A word's counts are drawn towards the mean of all words by
+WORD_PRIOR tokens, so a rare word says little about the state.
 
 Texts are packed into blocks of about BLOCK_TOKENS tokens. Each block asks for
 the counts of its distinct words; requests meet by hash range, packed, so a word
 however frequent is one entry per block. Baum-Welch reads all training tokens,
-in segments of at most SEGMENT, at every iteration; each task adds up expected
-counts (states x classes, a fixed size), Spark sums them, and the driver divides.
+in segments of at most SEGMENT, at every iteration: each block sums expected
+counts over its own vocabulary, they meet by the same hash ranges, and each block
+gets the sums of its own words back. Only starts, moves and sums per state pass
+the driver. No task holds more than a block's words or one hash range. Words'
+expected counts are added up in 1024ths of a token per block, so sums agree in any order.
 Scoring is exact for whole texts: a long text is cut into chunks whose transfer
 matrices are computed side by side and then multiplied, with scaling throughout.
 
@@ -22,7 +26,8 @@ are told apart by a 64-bit hash.
 """
 
 import uuid
-from collections.abc import Iterator
+import zlib
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -34,7 +39,7 @@ from pyspark.sql import functions as F
 
 from duecheck.llm import words
 from duecheck.llm.common import small_batches
-from duecheck.sources.tables import stage
+from duecheck.sources.tables import stage, unstage
 
 STATES, CLASSES, ITERATIONS = 8, 4096, 4
 UNSEEN, END = CLASSES, CLASSES + 1
@@ -44,7 +49,10 @@ REQUESTS = 1 << 20
 SEGMENT, CHUNK, TOGETHER = 128, 256, 4096
 ADDED = 0.1
 PRIOR_TOKENS = 500.0
+WORD_PRIOR = 8.0
 _FIXED = float(1 << 20)
+_WORD_FIXED = float(1 << 10)
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 _BLOCK = "block string, doc_ids array<{id}>, train binary, sizes binary, tokens binary, vocabulary binary, counts binary"
 
@@ -57,6 +65,15 @@ def _unpack(b: bytes, kind: str) -> np.ndarray:
     return np.frombuffer(zstandard.ZstdDecompressor().decompress(b), kind)
 
 
+def _pack_whole(a: np.ndarray) -> bytes:
+    """Whole numbers byte by byte: the high bytes, mostly zero, lie together."""
+    return _pack(a.astype("<i8").reshape(-1, 1).view("u1").T)
+
+
+def _unpack_whole(b: bytes) -> np.ndarray:
+    return np.ascontiguousarray(_unpack(b, "u1").reshape(8, -1).T).view("<i8").ravel()
+
+
 def word_keys(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(hash of each lower-cased word, number of words of each text)."""
     starts, ends = words.runs(~words.SPACE[data], offsets)
@@ -126,18 +143,19 @@ def _requests(blocks: DataFrame, parts: int) -> DataFrame:
 
 
 def _answer(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Of one hash range: each block's words with their counts in all training texts, and sums per class."""
+    """Of one hash range: each block's words with their counts in all training texts and their places, and sums per class."""
     asked = [np.frombuffer(v, "<u8") for v in pdf.vocabulary]
     known, place = np.unique(np.concatenate(asked), return_inverse=True)
     counts = np.bincount(place, np.concatenate([_unpack(c, "<i8") for c in pdf["counts"]]), len(known)).astype("<i8")
     ends = np.cumsum([len(a) for a in asked])
-    replies = [_pack(counts[place[e - len(a) : e]]) for a, e in zip(asked, ends, strict=True)]
+    places = [place[e - len(a) : e] for a, e in zip(asked, ends, strict=True)]
     seen = counts > 0
     kind = _class(known[seen])
     sums = np.stack([np.bincount(kind, counts[seen], CLASSES), np.bincount(kind, minlength=CLASSES)]).astype("<i8")
     part = int(pdf.part.iloc[0])
-    rows = [(b, part, r, None) for b, r in zip(pdf.block, replies, strict=True)]
-    return pd.DataFrame([*rows, (None, part, None, sums.ravel().tolist())], columns=["block", "part", "found", "sums"])
+    rows = [(b, part, _pack_whole(counts[p]), _pack_whole(np.diff(p, prepend=0)), None) for b, p in zip(pdf.block, places, strict=True)]
+    columns = ["block", "part", "found", "places", "sums"]
+    return pd.DataFrame([*rows, (None, part, None, None, sums.ravel().tolist())], columns=columns)
 
 
 @dataclass
@@ -167,43 +185,52 @@ class Unigram:
 
 
 def _known_blocks(blocks: DataFrame, replies: DataFrame, unigram: Unigram, kind: str) -> DataFrame:
-    """One row per block: per text its base score, what words add to their classes, and the classes themselves."""
-    share = np.log10(unigram.class_share)
+    """One row per block: per text its base score, and its tokens as places among the block's seen words.
+
+    Behind the seen words stand the unseen ones, as one, and the end.
+    """
     ending = float(unigram.log10(np.array([unigram.ends]))[0])
-    end = END if unigram.ends else UNSEEN
 
     def run(block: pd.DataFrame, found: pd.DataFrame) -> pd.DataFrame:
         b = block.iloc[0]
-        counts = np.concatenate([_unpack(f, "<i8") for f in found.sort_values("part").found] or [np.zeros(0, "<i8")])
+        found = found.sort_values("part")
+        counts = np.concatenate([_unpack_whole(f) for f in found.found] or [np.zeros(0, "<i8")])
+        places = [np.cumsum(_unpack_whole(p)) for p in found.places]
         vocabulary, sizes = np.frombuffer(b.vocabulary, "<u8"), _unpack(b.sizes, "<i8")
         tokens = _unpack(b.tokens, "<u4")
-        kinds = np.where(counts > 0, _class(vocabulary), UNSEEN)
-        logs = unigram.log10(counts)
+        seen = counts > 0
+        number = np.where(seen, np.cumsum(seen) - 1, seen.sum()).astype("<u4")
+        end = int(seen.sum()) + (unigram.ends > 0)
+        each = np.split(seen, np.cumsum([len(p) for p in places])[:-1]) if places else []
         owner = np.repeat(np.arange(len(sizes)), sizes)
-        base = np.bincount(owner, logs[tokens], len(sizes)) + ending
-        inner = np.bincount(owner, (logs - share[kinds])[tokens], len(sizes)) + ending - share[end]
-        known = np.bincount(owner, counts[tokens] > 0, len(sizes)) + (unigram.ends > 0)
-        classes = np.insert(kinds[tokens], np.cumsum(sizes), end)
+        base = np.bincount(owner, unigram.log10(counts)[tokens], len(sizes)) + ending
+        known = np.bincount(owner, seen[tokens], len(sizes)) + (unigram.ends > 0)
         return pd.DataFrame(
             {
+                "block": [b.block],
                 "doc_ids": [b.doc_ids],
                 "train": [b.train],
                 "sizes": [_pack(sizes + 1)],
                 "base": [_pack(base)],
-                "inner": [_pack(inner)],
                 "known": [_pack(known.astype("<i8"))],
-                "classes": [_pack(classes.astype("<u2"))],
+                "tokens": [_pack(np.insert(number[tokens], np.cumsum(sizes), end).astype("<u4"))],
+                "classes": [_pack(_class(vocabulary[seen]).astype("<u2"))],
+                "counts": [_pack_whole(counts[seen])],
+                "places": [[_pack_whole(np.diff(p[s], prepend=0)) for p, s in zip(places, each, strict=True)]],
             }
         )
 
-    schema = f"doc_ids array<{kind}>, train binary, sizes binary, base binary, inner binary, known binary, classes binary"
+    schema = (
+        f"block string, doc_ids array<{kind}>, train binary, sizes binary, base binary, known binary, "
+        "tokens binary, classes binary, counts binary, places array<binary>"
+    )
     joined = blocks.groupBy("block").cogroup(replies.groupBy("block")).applyInPandas(run, schema)
-    return stage(joined, "class-blocks")
+    return stage(joined, "word-blocks")
 
 
 @dataclass
 class Hmm:
-    """Start, transition and emission probabilities; emissions by class, then state."""
+    """Start, transition and emission probabilities; emissions by word or class, then state."""
 
     start: np.ndarray
     move: np.ndarray
@@ -228,6 +255,61 @@ class Hmm:
         return cls(first / first.sum(), move / move.sum(1, keepdims=True), emit)
 
 
+@dataclass
+class WordModel:
+    """What all blocks share of a model: starts, moves and sums over all words; emissions are made from a block's own counts."""
+
+    unigram: Unigram
+    start: np.ndarray
+    move: np.ndarray
+    use: np.ndarray
+    end: np.ndarray
+    whole: np.ndarray
+
+    @classmethod
+    def from_sums(cls, sums: np.ndarray, unigram: Unigram, states: int) -> "WordModel":
+        """Of the sums that :func:`_block_counts` and :func:`_summed` give."""
+        first, move, tokens, end, drawn, share = np.split(sums, np.cumsum([states, states * states, states, states, states]))
+        tokens = tokens + 1e-9
+        use = tokens / tokens.sum()
+        end = drawn_counts(end[None, :], end.sum(keepdims=True), use)[0]
+        first, move = first + 0.5, move.reshape(states, states) + 0.5
+        whole = drawn + WORD_PRIOR * use * share[0] + end
+        return cls(unigram, first / first.sum(), move / move.sum(1, keepdims=True), use, end, whole)
+
+    def emissions(self, counted: np.ndarray, counts: np.ndarray) -> np.ndarray:
+        """Of some words, by their drawn expected counts and their counts in all training texts."""
+        out = PRIOR_TOKENS * ((counts + ADDED) / self.unigram.whole)[:, None] + counted
+        seen = 1 - ADDED / self.unigram.whole
+        out *= seen / np.maximum(self.whole + PRIOR_TOKENS * seen, 1e-300)
+        return out
+
+    def hmm(self, parts: Iterable[np.ndarray], counts: np.ndarray) -> Hmm:
+        """The model of one block, of the expected counts of its seen words in order; then the unseen ones and the end."""
+        emit = np.empty((len(counts) + 2, len(self.start)))
+        low = 0
+        for expected in parts:
+            part = slice(low, low := low + len(expected))
+            emit[part] = self.emissions(drawn_counts(expected, expected.sum(1), self.use), counts[part])
+        emit[-2] = ADDED / self.unigram.whole
+        emit[-1] = self.emissions(self.end[None, :], np.array([self.unigram.ends]))[0]
+        return Hmm(self.start, self.move, emit)
+
+
+def drawn_counts(expected: np.ndarray, counts: np.ndarray, use: np.ndarray) -> np.ndarray:
+    """Expected counts of words per state, drawn towards the use of the states; each word keeps its count."""
+    return (expected + WORD_PRIOR * use) * (counts / (counts + WORD_PRIOR))[:, None]
+
+
+def first_hmm(unigram: Unigram, classes: np.ndarray, counts: np.ndarray, states: int) -> Hmm:
+    """The model of one block before any training: a word has the random preference of its class."""
+    share = unigram.class_share
+    model = Hmm.first(share, states)
+    own = (counts + ADDED) / unigram.whole / share[classes]
+    emit = np.vstack([model.emit[classes] * own[:, None], model.emit[[UNSEEN, END]]])
+    return Hmm(model.start, model.move, emit)
+
+
 def _steps(tokens: np.ndarray, starts: np.ndarray, sizes: np.ndarray):
     """(order longest first, then per step the tokens of all rows that still run)."""
     order = np.argsort(-sizes, kind="stable")
@@ -239,8 +321,8 @@ def _steps(tokens: np.ndarray, starts: np.ndarray, sizes: np.ndarray):
 
 def expected_counts(model: Hmm, tokens: np.ndarray, starts: np.ndarray, sizes: np.ndarray):
     """Baum-Welch: expected starts, moves and emissions of the sequences, and their log likelihood."""
-    states = len(model.start)
-    first, move, emit = np.zeros(states), np.zeros((states, states)), np.zeros((KINDS, states))
+    kinds, states = model.emit.shape
+    first, move, emit = np.zeros(states), np.zeros((states, states)), np.zeros((kinds, states))
     logs = 0.0
     for low in range(0, len(starts), TOGETHER):
         _, steps = _steps(tokens, starts[low : low + TOGETHER], sizes[low : low + TOGETHER])
@@ -253,7 +335,6 @@ def expected_counts(model: Hmm, tokens: np.ndarray, starts: np.ndarray, sizes: n
             scales.append(scale)
             logs += float(np.log(scale).sum())
         beta = np.ones((0, states))
-        posts = []
         for t in range(len(steps) - 1, -1, -1):
             n = len(steps[t])
             full = np.ones((n, states))
@@ -263,11 +344,12 @@ def expected_counts(model: Hmm, tokens: np.ndarray, starts: np.ndarray, sizes: n
                 move += alphas[t][:m].T @ ahead
                 full[:m] = ahead @ model.move.T
             beta = full
-            posts.append(alphas[t] * beta)
-        first += posts[-1].sum(0) if posts else 0
-        seen, post = np.concatenate(steps[::-1]), np.concatenate(posts)
+            alphas[t] *= beta  # from here on the posterior
+        first += alphas[0].sum(0) if alphas else 0
+        seen, post = np.concatenate(steps), np.concatenate(alphas)
+        del alphas
         for s in range(states):
-            emit[:, s] += np.bincount(seen, post[:, s], KINDS)
+            emit[:, s] += np.bincount(seen, post[:, s], kinds)
     return first, move * model.move, emit, logs
 
 
@@ -323,50 +405,100 @@ def log_likelihoods(model: Hmm, tokens: np.ndarray, sizes: np.ndarray, chunk: in
     return out
 
 
-def train(blocks: DataFrame, share: np.ndarray, states: int = STATES, iterations: int = ITERATIONS) -> Hmm:
-    """Baum-Welch over all training texts of the blocks; one job per iteration."""
-    model = Hmm.first(share, states)
+def _block_model(b, found: pd.DataFrame | None, model: WordModel | Unigram, states: int) -> Hmm:
+    counts = _unpack_whole(b.counts)
+    if isinstance(model, Unigram):
+        return first_hmm(model, _unpack(b.classes, "<u2"), counts, states)
+    parts = found.sort_values("part").found
+    return model.hmm((_unpack_whole(f).reshape(-1, states) / _WORD_FIXED for f in parts), counts)
+
+
+def _block_counts(b, model: Hmm) -> pd.DataFrame:
+    """Expected counts of one block: a row per hash range, and with one of them starts, moves and sums per state."""
+    trained, sizes = _unpack(b.train, "u1").astype(bool), _unpack(b.sizes, "<i8")
+    text, start, length = _runs(sizes, SEGMENT)
+    use = trained[text]
+    first, move, emit, _ = expected_counts(model, _unpack(b.tokens, "<u4"), start[use], length[use])
+    # whole numbers add up alike in any order
+    stats = np.rint(np.concatenate([first, move.ravel(), emit.sum(0), emit[-1]]) * _FIXED).astype(np.int64).tolist()
+    own = zlib.crc32(b.block.encode()) % max(1, len(b.places))
+    rows, low = [], 0
+    for p, places in enumerate(b.places):
+        fixed = np.rint(emit[low : (low := low + len(_unpack_whole(places)))] * _WORD_FIXED)
+        rows.append((p, b.block, places, _pack_whole(fixed), stats if p == own else None))
+    return pd.DataFrame(rows, columns=["part", "block", "places", "expected", "stats"])
+
+
+def _summed(pdf: pd.DataFrame, states: int) -> pd.DataFrame:
+    """Of one hash range: each block's words with their expected counts in all training texts, and sums for all blocks."""
+    places = [np.cumsum(_unpack_whole(p)) for p in pdf.places]
+    total = np.zeros((max((int(p[-1]) + 1 for p in places if len(p)), default=0), states), np.int64)
+    for p, e in zip(places, pdf.expected, strict=True):
+        total[p] += _unpack_whole(e).reshape(-1, states)
+    counts = total.sum(1) / _WORD_FIXED
+    share = counts / (counts + WORD_PRIOR)
+    drawn = np.append(share @ total / _WORD_FIXED, share.sum()) * _FIXED
+    stats = np.zeros(3 * states + states * states, np.int64)
+    for s in pdf.stats:
+        stats += 0 if s is None else np.asarray(s, np.int64)
+    sums = np.concatenate([stats, np.rint(drawn).astype(np.int64)]).tolist()
+    part = int(pdf.part.iloc[0])
+    rows = [(b, part, _pack_whole(total[p]), None) for b, p in zip(pdf.block, places, strict=True)]
+    return pd.DataFrame([*rows, (None, part, None, sums)], columns=["block", "part", "found", "sums"])
+
+
+def train(blocks: DataFrame, unigram: Unigram, states: int = STATES, iterations: int = ITERATIONS) -> tuple[WordModel, DataFrame]:
+    """Baum-Welch over all training texts of the blocks; one job per iteration. Also the last sums of each block's words."""
+    counted = "part int, block string, places binary, expected binary, stats array<long>"
+    columns = blocks.select("block", "train", "sizes", "tokens", "classes", "counts", "places")
+    model, replies = unigram, None
     for _ in range(iterations):
         current = model
 
-        def run(batches: Iterator[pa.RecordBatch], model: Hmm = current) -> Iterator[pa.RecordBatch]:
-            total = np.zeros(states + states * states + KINDS * states)
-            for batch in batches:
-                for t, s, c in zip(*(batch.column(x).to_pylist() for x in ("train", "sizes", "classes")), strict=True):
-                    trained, sizes, tokens = _unpack(t, "u1").astype(bool), _unpack(s, "<i8"), _unpack(c, "<u2")
-                    text, start, length = _runs(sizes, SEGMENT)
-                    use = trained[text]
-                    first, move, emit, _ = expected_counts(model, tokens, start[use], length[use])
-                    total += np.concatenate([first, move.ravel(), emit.ravel()])
-            some = np.flatnonzero(total)
-            # whole numbers add up alike in any order
-            fixed = np.rint(total[some] * _FIXED).astype(np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(fixed)], ["place", "amount"])
-
-        sums = blocks.select("train", "sizes", "classes").mapInArrow(run, "place long, amount long")
-        found = sums.groupBy("place").agg(F.sum("amount").alias("amount")).toPandas()
-        total = np.zeros(states + states * states + KINDS * states)
-        total[found.place.to_numpy(np.int64)] = found.amount / _FIXED
-        first, move, emit = np.split(total, [states, states + states * states])
-        move, emit = move.reshape(states, states), emit.reshape(KINDS, states)
-        model = Hmm.from_counts(first, move, emit, share)
-    return model
+        def each(pdfs: Iterator[pd.DataFrame], model: WordModel | Unigram = current) -> Iterator[pd.DataFrame]:
+            for pdf in pdfs:
+                for b in pdf.itertuples():
+                    yield _block_counts(b, _block_model(b, None, model, states))
+
+        def both(block: pd.DataFrame, found: pd.DataFrame) -> pd.DataFrame:
+            b = block.iloc[0]
+            return _block_counts(b, _block_model(b, found, current, states))
+
+        if replies is None:
+            expected = columns.mapInPandas(each, counted)
+        else:
+            expected = columns.groupBy("block").cogroup(replies.groupBy("block")).applyInPandas(both, counted)
+        summed = expected.groupBy("part").applyInPandas(
+            lambda pdf: _summed(pdf, states), "block string, part int, found binary, sums array<long>"
+        )
+        summed = stage(summed, "expected-counts")
+        places = summed.where("sums is not null").select(F.posexplode("sums").alias("place", "amount"))
+        found = places.groupBy("place").agg(F.sum("amount").alias("amount")).toPandas()
+        sums = np.zeros(4 * states + states * states + 1)
+        sums[found.place.to_numpy(np.int64)] = found.amount / _FIXED
+        model = WordModel.from_sums(sums, unigram, states)
+        if replies is not None:
+            unstage(replies)
+        replies = summed.where("block is not null").drop("sums")
+    return model, replies
 
 
 def score_texts(docs: DataFrame, train_rows: Column, states: int = STATES, iterations: int = ITERATIONS) -> DataFrame:
     """doc_id, trained, n_tokens, n_known, train_tokens, base_score, score of every text."""
     spark = docs.sparkSession
     small_batches(spark)
+    before = spark.conf.get(_CLEANUP, "false")
+    spark.conf.set(_CLEANUP, "true")  # shuffle files go when their table is stored
     kind = docs.schema["doc_id"].dataType.simpleString()
     blocks = _blocks(docs, train_rows)
     asked, texts = blocks.agg(F.sum(F.length("vocabulary")) / 8, F.sum(F.size("doc_ids"))).first()
     ends = int(docs.where(train_rows).count()) if texts else 0
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "8")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2")
     parts = max(1, int(-(-(asked or 0) // REQUESTS)))
     replies = stage(
         _requests(blocks, parts)
         .groupBy("part")
-        .applyInPandas(_answer, "block string, part int, found binary, sums array<long>"),
+        .applyInPandas(_answer, "block string, part int, found binary, places binary, sums array<long>"),
         "word-counts",
     )
     sums = replies.where("sums is not null").select(F.posexplode("sums").alias("place", "amount"))
@@ -375,27 +507,29 @@ def score_texts(docs: DataFrame, train_rows: Column, states: int = STATES, itera
     per_class[found.place.to_numpy(np.int64)] = found.amount
     tokens, types = np.split(per_class, 2)
     unigram = Unigram(int(tokens.sum()) + ends, int(types.sum()) + (ends > 0), ends, tokens, types)
-    classed = _known_blocks(blocks, replies.where("block is not null").drop("sums"), unigram, kind)
-    model = train(classed, unigram.class_share, states, iterations)
+    known = _known_blocks(blocks, replies.where("block is not null").drop("sums"), unigram, kind)
+    unstage(blocks)
+    unstage(replies)
+    model, expected = train(known, unigram, states, iterations)
+    spark.conf.set(_CLEANUP, before)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for b in batch.to_pylist():
-                sizes = _unpack(b["sizes"], "<i8")
-                logs = log_likelihoods(model, _unpack(b["classes"], "<u2"), sizes) / np.log(10)
-                columns = [
-                    pa.array(b["doc_ids"], batch.schema.field("doc_ids").type.value_type),
-                    pa.array(_unpack(b["train"], "u1").astype(bool)),
-                    pa.array(sizes),
-                    pa.array(_unpack(b["known"], "<i8")),
-                    pa.array(np.full(len(sizes), unigram.n)),
-                    pa.array(_unpack(b["base"], "<f8")),
-                    pa.array(_unpack(b["inner"], "<f8") + logs),
-                ]
-                yield pa.RecordBatch.from_arrays(columns, names)
+    def run(block: pd.DataFrame, found: pd.DataFrame) -> pd.DataFrame:
+        b = block.iloc[0]
+        sizes = _unpack(b.sizes, "<i8")
+        logs = log_likelihoods(_block_model(b, found, model, states), _unpack(b.tokens, "<u4"), sizes) / np.log(10)
+        return pd.DataFrame(
+            {
+                "doc_id": pd.Series(list(b.doc_ids), dtype=object),
+                "trained": _unpack(b.train, "u1").astype(bool),
+                "n_tokens": sizes,
+                "n_known": _unpack(b.known, "<i8"),
+                "train_tokens": unigram.n,
+                "base_score": _unpack(b.base, "<f8"),
+                "score": logs,
+            }
+        )
 
-    names = ["doc_id", "trained", "n_tokens", "n_known", "train_tokens", "base_score", "score"]
-    return classed.mapInArrow(
+    return known.groupBy("block").cogroup(expected.groupBy("block")).applyInPandas(
         run,
         f"doc_id {kind}, trained boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double",
     )

@@ -39,6 +39,14 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def unstage(df: DataFrame) -> None:
+    """Remove the stored table that ``df`` only reads from; nothing may read it any more."""
+    folders = {f.rsplit("/", 1)[0] for f in df.inputFiles()}
+    for folder in folders:
+        fs, made, _ = _files(df.sparkSession, folder)
+        fs.delete(made(folder), True)
+
+
 def spread(df: DataFrame, *keys: str) -> DataFrame:
     """Give a table that sits in few files to all tasks before costly row work.
 

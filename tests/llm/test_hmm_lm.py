@@ -98,3 +98,30 @@ def test_odd_rows(spark):
     none = hmm_lm.score_texts(docs, docs.doc_id > 100).collect()
     assert {(r.train_tokens, r.n_known) for r in none} == {(0, 0)} and all(np.isfinite(r.score) for r in none)
     assert hmm_lm.score_texts(docs.limit(0), docs.doc_id > 0).collect() == []
+
+
+def test_words_of_one_hash_class_are_told_apart(spark, monkeypatch):
+    """Two topics, all words in a class of their own or all in one: states learn each word by itself."""
+    monkeypatch.setattr(hmm_lm, "_class", lambda keys: (keys % np.uint64(2)).astype(np.int64))
+    rng = np.random.default_rng(4)
+    rows = []
+    for i in range(400):
+        topic = "ab"[i % 2]
+        rows.append((i, " ".join(f"{topic}{n}" for n in rng.integers(0, 40, 60)), i >= 40))
+    docs = spark.createDataFrame(rows, "doc_id long, text string, trained boolean")
+    got = hmm_lm.score_texts(docs, docs.trained).where("not trained").toPandas()
+    # knowing the topic halves the vocabulary: log10(2) a token
+    assert ((got.score - got.base_score) / got.n_tokens).mean() > 0.2
+
+
+def test_block_models_make_one_distribution():
+    """The emissions of all words, of the unseen ones and the end add up to one in each state."""
+    rng = np.random.default_rng(6)
+    counts, ends = rng.integers(1, 30, 50), 9
+    unigram = hmm_lm.Unigram(int(counts.sum()) + ends, 51, ends, np.zeros(hmm_lm.CLASSES), np.zeros(hmm_lm.CLASSES))
+    expected = rng.dirichlet(np.ones(3), 50) * counts[:, None]
+    end = rng.dirichlet(np.ones(3)) * ends
+    share = counts / (counts + hmm_lm.WORD_PRIOR)
+    sums = [np.ones(3), np.ones(9), expected.sum(0) + end, end, (expected * share[:, None]).sum(0), [share.sum()]]
+    model = hmm_lm.WordModel.from_sums(np.concatenate(sums), unigram, 3)
+    assert np.allclose(model.hmm([expected[:20], expected[20:]], counts).emit.sum(0), 1)
