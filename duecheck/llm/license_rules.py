@@ -9,7 +9,8 @@ import re
 from dataclasses import dataclass
 
 ANCHORS = ["licen", "copyright", "reserved", "domain", "commons", "cc-by", "cc0", "gnu", "gpl", "spdx", "warranty",
-           "(c)", "©", "wtfpl"]
+           "(c)", "©", "wtfpl", "hereby", "mozilla.org/mpl", "eclipse.org/legal", "vorbehalten", "reservados", "perl",
+           "confidential"]
 #: "cc" and "by" as words with anything but words between them; looked for only where "cc" occurs.
 CC_BY = r"(?<![a-z0-9\x{80}-\x{10FFFF}])cc[\x00-\x2F\x3A-\x60\x7B-\x7F]+by(?![a-z0-9\x{80}-\x{10FFFF}])"
 
@@ -41,8 +42,8 @@ lgpl-2.1 | 1 | gnu.org/licenses/old-licenses/lgpl-2.1 | gnu\.org/licenses/old-li
 lgpl-3.0 | 1 | gnu.org/licenses/lgpl-3.0 | gnu\.org/licenses/lgpl-3\.0
 agpl-3.0 | 1 | gnu.org/licenses/agpl-3.0 | gnu\.org/licenses/agpl-3\.0
 gfdl-1.3 | 1 | gnu.org/licenses/fdl-1.3 | gnu\.org/licenses/fdl-1\.3
-mpl-2.0 | 1 | mozilla.org/mpl/2.0 | (?:licen[sc]e.{0,80})?mozilla\.org/mpl/2\.0.{0,80}licen[sc]e
-epl-2.0 | 1 | eclipse.org/legal/epl-2.0 | eclipse\.org/legal/epl-2\.0.{0,80}licen[sc]e
+mpl-2.0 | 1 | mozilla.org/mpl/2.0 | mozilla\.org/mpl/2\.0
+epl-2.0 | 1 | eclipse.org/legal/epl-2.0 | eclipse\.org/legal/epl-2\.0
 unlicense | 1 | unlicense.org | <unlicense\.org
 wtfpl | 1 | wtfpl.net | <wtfpl\.net
 cc-by-1.0 | 1 | creativecommons.org/licenses/by/1.0 | creativecommons\.org/licenses/by/1\.0
@@ -120,7 +121,7 @@ mit | 2 | mit | (?:licensed|released|distributed|available|published)~+under~+(?
 mit | 3 | mit | <mit~+licen[sc]e>
 mit | 3 | expat | <expat~+licen[sc]e>
 mit-0 | 2 | no attribution | <mit~+no~+attribution~+licen[sc]e>
-mit | 2 | permission is hereby granted, free of charge | permission~is~hereby~granted,~free~of~charge,~+to~+any~+person~+obtaining~+a~+copy.{0,400}?licen[sc]e
+mit | 2 | permission is hereby granted, free of charge | permission~is~hereby~granted,~free~of~charge,~+to~+any~+person~+obtaining~+a~+copy
 bsd-2-clause | 2 | bsd | <(?:bsd~+2[~-]clause|2[~-]clause~+bsd|two[~-]clause~+bsd|simplified~+bsd|freebsd)~+licen[sc]e>
 bsd-3-clause | 2 | bsd | <(?:bsd~+3[~-]clause|3[~-]clause~+bsd|three[~-]clause~+bsd|new~+bsd|modified~+bsd|revised~+bsd)~+licen[sc]e>
 bsd-4-clause | 2 | bsd | <(?:bsd~+4[~-]clause|4[~-]clause~+bsd|original~+bsd|old~+bsd)~+licen[sc]e>
@@ -130,8 +131,8 @@ isc | 3 | isc | <isc~+licen[sc]e>
 gpl-3.0 | 2 | general public license | <(?:gnu~+)?general~public~license,?~*\(?(?:gpl\)?,?~*)?(?:version|v\.?)~*3(?:\.0)?>
 gpl-2.0 | 2 | general public license | <(?:gnu~+)?general~public~license,?~*\(?(?:gpl\)?,?~*)?(?:version|v\.?)~*2(?:\.0)?>
 gpl-1.0 | 2 | general public license | <(?:gnu~+)?general~public~license,?~*\(?(?:gpl\)?,?~*)?(?:version|v\.?)~*1(?:\.0)?>
-gpl-3.0+ | 2 | any later version | <gnu~+general~+public~+licen[sc]e.{0,120}?version~*3.{0,60}?any~later~version
-gpl-2.0+ | 2 | any later version | <gnu~+general~+public~+licen[sc]e.{0,120}?version~*2.{0,60}?any~later~version
+gpl-3.0+ | 2 | any later version | <gnu~+general~+public~+licen[sc]e[\s\S]{0,120}?version~*3[\s\S]{0,60}?any~later~version
+gpl-2.0+ | 2 | any later version | <gnu~+general~+public~+licen[sc]e[\s\S]{0,120}?version~*2[\s\S]{0,60}?any~later~version
 gpl | 3 | general public license | <(?:gnu~+)?general~public~license>
 lgpl-3.0 | 2 | lesser general public license | <(?:gnu~+)?lesser~general~public~license,?~*(?:version|v\.?)~*3(?:\.0)?>
 lgpl-2.1 | 2 | lesser general public license | <(?:gnu~+)?lesser~general~public~license,?~*(?:version|v\.?)~*2\.1>
@@ -181,7 +182,7 @@ openssl | 3 | openssl | <openssl~+licen[sc]e>
 python-2.0 | 3 | python | <python~+(?:software~+foundation~+)?licen[sc]e>
 php-3.01 | 3 | php | <php~+licen[sc]e>
 ruby | 3 | ruby | <ruby~+licen[sc]e>
-perl | 3 | perl itself | licen[sc]ed?.{0,40}same~+terms~+as~+perl~itself
+perl | 3 | perl itself | <same~+terms~+as~+perl~itself
 postgresql | 3 | postgresql | <postgresql~+licen[sc]e>
 ms-pl | 3 | microsoft public | <microsoft~+public~+licen[sc]e>
 ms-rl | 3 | microsoft reciprocal | <microsoft~+reciprocal~+licen[sc]e>
@@ -229,19 +230,19 @@ cc-by | 3 | creative commons | <creative~+commons~+(?:paternit[eé]|namensnennun
 public-domain | 3 | public domain | (?:placed~+in|dedicated~+to|released~+(?:in)?to)~+the~+public~domain
 public-domain | 4 | public domain | <public~domain>
 proprietary | 3 | proprietary | <proprietary~+(?:software~+)?licen[sc]e
-proprietary | 3 | confidential | <confidential~+and~+proprietary.{0,80}(?:copyright|licen[sc]e|all~+rights)
+proprietary | 3 | confidential | <confidential~+and~+proprietary[\s\S]{0,80}(?:copyright|licen[sc]e|all~+rights)
 commercial | 3 | commercial | <commercial~+licen[sc]e>
 evaluation | 3 | evaluation | <evaluation~+licen[sc]e>
 eula | 3 | end user | <end[~-]user~+licen[sc]e~+agreement
 no-warranty | 4 | warranty | without~+(?:any~+)?(?:express~+or~+implied~+)?warranty>
 no-warranty | 4 | as is | provided~+["'“]?as~is["'”]?,?~+without~+warranty
 reserved | 4 | all rights reserved | <all~rights~reserved>
-reserved | 4 | derechos reservados | <copyright.{0,80}todos~+los~+derechos~reservados
-reserved | 4 | rechte vorbehalten | <copyright.{0,80}alle~+rechte~vorbehalten
+reserved | 4 | derechos reservados | <todos~+los~+derechos~reservados
+reserved | 4 | rechte vorbehalten | <alle~+rechte~vorbehalten
 copyright | 4 | copyright | <copyright~*(?:\(c\)|©)?~*(?:19|20)[0-9][0-9]>
 copyright | 4 | (c) | \(c\)~*(?:19|20)[0-9][0-9]>
 copyright | 4 | © | ©~*(?:19|20)[0-9][0-9]>
-unknown | 5 | licen | (?:licensed|released|distributed)~+under~+(?:the~+)?(?:terms~+of~+)?[a-z0-9][^\n.;]{0,60}?licen[sc]e>
+unknown | 5 | licen | (?:licensed|released|distributed)~+under~+(?:the~+)?(?:terms~+of~+)?[a-z0-9][^.;]{0,60}?licen[sc]e>
 unknown | 5 | see the licen | <see~+the~licen[sc]e~+(?:file|for~+the~+specific)
 """
 

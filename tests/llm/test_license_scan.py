@@ -89,3 +89,27 @@ def test_repeated_rows_and_no_rows(spark):
     docs = spark.createDataFrame([(None, "cc by"), (1, "cc by"), (1, "cc by")], "doc_id long, text string")
     assert [r.n_base for r in license_scan.digest(license_scan.scan(docs)).collect()] == [1, 1, 1]
     assert license_scan.digest(license_scan.scan(docs.limit(0))).collect() == []
+
+
+NOTICES = [
+    ("mit", "Permission is hereby granted, free of charge, to any person obtaining a copy\nof this software and associated"
+     " documentation files (the \"Software\"), to deal\nin the Software without restriction"),
+    ("gpl-2.0+", "it under the terms of the GNU General Public License as published by\nthe Free Software Foundation; either"
+     " version 2 of the License, or\n(at your option) any later version."),
+    ("gpl-3.0+", "it under the terms of the GNU General Public License as published by\nthe Free Software Foundation, either"
+     " version 3 of the License, or\n(at your option) any later version."),
+    ("mpl-2.0", "obtain one at https://mozilla.org/MPL/2.0/."),
+    ("epl-2.0", "available at http://www.eclipse.org/legal/epl-2.0"),
+    ("reserved", "Alle Rechte\nvorbehalten."),
+    ("reserved", "Todos los derechos reservados."),
+    ("perl", "you can redistribute it and/or modify\nit under the same terms as Perl itself."),
+    ("proprietary", "This file is confidential and proprietary.\nAll rights belong to Foo."),
+    ("unknown", "Released under the Foo Bar\nlicense"),
+]
+
+
+def test_standard_notices_over_line_ends(spark):
+    got = digests(spark, [t for _, t in NOTICES])
+    for i, (label, text) in enumerate(NOTICES):
+        assert label in got[i][5].split(","), (label, got[i])
+        assert got[i] == plain(text)
