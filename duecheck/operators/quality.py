@@ -20,6 +20,11 @@ def bad_terms(terms: DataFrame) -> DataFrame:
     )
 
 
+def bad_clauses(meta: DataFrame) -> DataFrame:
+    """Accounts whose discount or minimum is stated but unusable, so not checked; expect none."""
+    return meta.where(F.col("discount_pct").isNull() | F.col("min_monthly_commit").isNull())
+
+
 def uncovered_billing(
     billing: DataFrame, terms: DataFrame, arm: str, ignore: Sequence[str] = ()
 ) -> DataFrame:

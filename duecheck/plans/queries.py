@@ -290,6 +290,16 @@ def v10_duplicate_terms(ws):
     return quality.duplicate_terms(ws["terms"].unionByName(quality.arm_rows(ws["terms"], RESPONSES)))
 
 
+@query
+def v11_bad_clauses(ws):
+    return quality.bad_clauses(ws["meta"])
+
+
+@query
+def v12_unreadable_responses(ws):
+    return extract.unreadable_responses(ws["responses"])
+
+
 # --- detection ---------------------------------------------------------------
 
 

@@ -109,6 +109,9 @@ ON k.detected_by = f.detected_by AND k.leak_type = f.leak_type""",
     "v9_duplicate_lines": """SELECT customer_id, month, product, count(*) AS n_lines FROM vol_billing
 GROUP BY ALL HAVING count(*) > 1""",
     "v10_duplicate_terms": """SELECT extraction_method, customer_id, product, 2 * count(*) AS n_terms FROM js_terms GROUP BY ALL""",
+    "v11_bad_clauses": f"SELECT {META} FROM meta WHERE discount_pct IS NULL OR min_monthly_commit IS NULL",
+    "v12_unreadable_responses": """SELECT customer_id, customer_name FROM responses
+WHERE NOT json_valid(response) OR json_extract(response, '$.structured_output[0].raw_message') IS NULL""",
     # Detection
     "d1_rate_leak": f"SELECT {CAND} FROM rate_leak",
     "d2_stale_discount": f"SELECT {CAND} FROM stale_discount",
