@@ -3,6 +3,8 @@
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from duecheck.sources.tables import stage
+
 FILTER_WORDS = 1 << 18
 
 
@@ -15,6 +17,12 @@ def small_batches(spark: SparkSession, rows: int = 512) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
 
 
+def numbered(docs: DataFrame, name: str, columns: str = "*") -> DataFrame:
+    """(row, doc): rows under a number that is stored with them, as a later scan may be split in another way."""
+    doc = F.struct(*columns.split(", ")).alias("doc")
+    return stage(docs.select(F.monotonically_increasing_id().alias("row"), doc), name)
+
+
 def fold(doc_id: Column, folds: int) -> Column:
     """crc32 of the id as text, modulo ``folds``; a null id counts as the empty text."""
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % folds

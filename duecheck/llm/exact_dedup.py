@@ -20,7 +20,7 @@ An empty table gives an empty result.
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from duecheck.llm.common import split_by
+from duecheck.llm.common import numbered, split_by
 from duecheck.sources.tables import stage
 
 SALTS = 32
@@ -37,10 +37,9 @@ def _order() -> Column:
     return F.struct(F.col("doc_id").isNull().alias("no_id"), F.col("doc_id"), F.col("row"))
 
 
-def _rows(docs: DataFrame) -> DataFrame:
-    """(row, doc_id, text, digest); ``row`` is the place in a stored table, alike at each scan."""
-    text = normalised(F.col("text"))
-    placed = docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", text.alias("text"))
+def _rows(whole: DataFrame) -> DataFrame:
+    """(row, doc_id, text, digest) of numbered documents."""
+    placed = whole.select("row", "doc.doc_id", normalised(F.col("doc.text")).alias("text"))
     return placed.withColumn("digest", F.sha2(F.col("text").cast("binary"), 256))
 
 
@@ -48,9 +47,9 @@ def _shrink(rows: DataFrame, keys: list[str]) -> DataFrame:
     return rows.groupBy(*keys).agg(F.min("first").alias("first"), F.sum("n").alias("n"))
 
 
-def groups(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+def groups(whole: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(one row per document: row, doc_id, digest; one row per repeated text: digest, text, first, n, texts)."""
-    found = _rows(docs)
+    found = _rows(whole)
     placed = stage(found.select("row", "doc_id", "digest"), "digests")
     salt = F.pmod(F.xxhash64("row"), F.lit(SALTS))
     repeated = (
@@ -76,9 +75,9 @@ def groups(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     return placed, alone
 
 
-def _colliding(docs: DataFrame, digests: DataFrame) -> DataFrame:
+def _colliding(whole: DataFrame, digests: DataFrame) -> DataFrame:
     """The groups of digests that several texts share, by text."""
-    rows = _rows(docs).join(digests.select("digest"), "digest", "left_semi")
+    rows = _rows(whole).join(digests.select("digest"), "digest", "left_semi")
     salt = F.pmod(F.xxhash64("row"), F.lit(SALTS))
     single = rows.select(
         "digest", "text", salt.alias("salt"), _order().alias("first"), F.lit(1).cast("long").alias("n")
@@ -89,12 +88,16 @@ def _colliding(docs: DataFrame, digests: DataFrame) -> DataFrame:
 
 def exact_dedup(docs: DataFrame) -> DataFrame:
     """One row per document: row, doc_id, keep_id, group_size, kept, digest."""
-    placed, found = groups(docs)
+    return _dedup(numbered(docs, "dedup-texts", "doc_id, text"))
+
+
+def _dedup(whole: DataFrame) -> DataFrame:
+    placed, found = groups(whole)
     plain = found.where("texts = 1").select("digest", "first", "n")
     clashes = found.where("texts > 1")
     joined = placed.join(plain, "digest", "left")
     if not clashes.isEmpty():
-        by_text = _colliding(docs, clashes).withColumnsRenamed({"first": "first_", "n": "n_"})
+        by_text = _colliding(whole, clashes).withColumnsRenamed({"first": "first_", "n": "n_"})
         joined = (
             joined.join(by_text, "row", "left")
             .withColumn("first", F.coalesce("first_", "first"))
@@ -116,8 +119,8 @@ def kept(docs: DataFrame) -> DataFrame:
 
     Only rows that may belong to a dropped copy are shuffled with their texts.
     """
-    lost = stage(exact_dedup(docs).where(~F.col("kept")).select(F.col("row").alias("lost")), "copies")
-    placed = docs.select(F.struct("*").alias("doc"), F.monotonically_increasing_id().alias("_row"))
-    maybe, sure = split_by(placed, F.col("_row"), lost, "lost")
-    checked = maybe.join(lost, F.col("_row") == F.col("lost"), "left_anti")
+    whole = numbered(docs, "dedup-documents")
+    lost = stage(_dedup(whole).where(~F.col("kept")).select(F.col("row").alias("lost")), "copies")
+    maybe, sure = split_by(whole, F.col("row"), lost, "lost")
+    checked = maybe.join(lost, F.col("row") == F.col("lost"), "left_anti")
     return sure.select("doc.*").unionByName(checked.select("doc.*"))

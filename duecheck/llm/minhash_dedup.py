@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from duecheck.llm import words
-from duecheck.llm.common import small_batches, split_by
+from duecheck.llm.common import numbered, small_batches, split_by
 from duecheck.sources.tables import stage
 
 WIDTH = 5
@@ -167,11 +167,11 @@ def similarity(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray
     return float(shared / whole) if whole else 1.0
 
 
-def _placed(docs: DataFrame) -> DataFrame:
-    return docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", "text")
+def _texts(whole: DataFrame) -> DataFrame:
+    return whole.select("row", "doc.doc_id", "doc.text")
 
 
-def _profile(docs: DataFrame) -> DataFrame:
+def _profile(texts: DataFrame) -> DataFrame:
     """A row per document (row, doc_id, fp1, fp2), and per task a row per bucket (bucket, df)."""
 
     def profile(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -192,9 +192,9 @@ def _profile(docs: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays(columns, names)
 
     names = ["row", "doc_id", "fp1", "fp2", "bucket", "df"]
-    kind = docs.schema["doc_id"].dataType.simpleString()
+    kind = texts.schema["doc_id"].dataType.simpleString()
     return stage(
-        _placed(docs).mapInArrow(profile, f"row long, doc_id {kind}, fp1 long, fp2 long, bucket long, df long"), "profiles"
+        texts.mapInArrow(profile, f"row long, doc_id {kind}, fp1 long, fp2 long, bucket long, df long"), "profiles"
     )
 
 
@@ -278,10 +278,10 @@ def _agreeing(groups: DataFrame) -> DataFrame:
     return groups.mapInArrow(run, "a long, b long")
 
 
-def _verified(pairs: DataFrame, docs: DataFrame, idf, name: str) -> DataFrame:
+def _verified(pairs: DataFrame, texts: DataFrame, idf, name: str) -> DataFrame:
     """(a, b, s) of each pair of rows (a, b): the weighted Jaccard similarity of their whole texts."""
     ids = stage(pairs.select(F.explode(F.array("a", "b")).alias("wanted")).distinct(), f"{name}-ids")
-    maybe, _ = split_by(_placed(docs), F.col("row"), ids, "wanted")
+    maybe, _ = split_by(texts, F.col("row"), ids, "wanted")
     texts = stage(maybe.select("row", "text"), f"{name}-texts")
 
     def read(text: str) -> tuple[np.ndarray, np.ndarray]:
@@ -330,24 +330,24 @@ def components(links: DataFrame) -> DataFrame:
     return edges.select(F.col("u").alias("row"), F.col("v").alias("component")).unionByName(roots)
 
 
-def near_links(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+def near_links(texts: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(profiles of all documents, first row of each word sequence, verified links between those rows)."""
-    spark = docs.sparkSession
+    spark = texts.sparkSession
     small_batches(spark, 256)
-    found = _profile(docs)
+    found = _profile(texts)
     rows = found.where("row is not null").select("row", "doc_id", "fp1", "fp2")
     firsts = stage(rows.groupBy("fp1", "fp2").agg(F.min("row").alias("first"), F.count("*").alias("n")), "firsts")
     idf = spark.sparkContext.broadcast(idf_weights(found.where("bucket is not null"), rows.count()))
     repeated = firsts.where("n > 1").select("fp1", "fp2", "first")
     copies = stage(rows.join(repeated, ["fp1", "fp2"]).where("row <> first").select(F.col("row").alias("copy")), "copies")
-    maybe, sure = split_by(_placed(docs), F.col("row"), copies, "copy")
+    maybe, sure = split_by(texts, F.col("row"), copies, "copy")
     checked = maybe.join(copies, maybe.row == copies.copy, "left_anti")
     signed = stage(_signed(sure.unionByName(checked), idf), "signatures")
     banded = signed.select("row", F.explode("keys").alias("key"))
     hubs = banded.groupBy("key").agg(F.min("row").alias("hub"), F.count("*").alias("n")).where("n > 1")
     met = stage(banded.join(hubs.select("key", "hub"), "key"), "buckets")
     star = met.where("row <> hub").select(F.col("hub").alias("a"), F.col("row").alias("b")).distinct()
-    tested = _verified(star, docs, idf, "star-links")
+    tested = _verified(star, texts, idf, "star-links")
 
     # Again with the member that has most links in the middle, where a bucket is not one component yet.
     marked, several = _components_of(met, tested)
@@ -362,7 +362,7 @@ def near_links(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
         .distinct()
         .join(tested.select("a", "b"), ["a", "b"], "left_anti")
     )
-    tested = tested.unionByName(_verified(stage(again, "centre-pairs"), docs, idf, "centre-links"))
+    tested = tested.unionByName(_verified(stage(again, "centre-pairs"), texts, idf, "centre-links"))
 
     # What is still apart is compared by its samples, block by block, and the pairs that may be near are verified.
     marked, several = _components_of(met, tested)
@@ -377,7 +377,7 @@ def near_links(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     )
     groups = each.repartition("key", "x", "y").sortWithinPartitions("key", "x", "y", "row")
     apart = _agreeing(groups).distinct().join(tested.select("a", "b"), ["a", "b"], "left_anti")
-    tested = tested.unionByName(_verified(stage(apart, "open-pairs"), docs, idf, "open-links"))
+    tested = tested.unionByName(_verified(stage(apart, "open-pairs"), texts, idf, "open-links"))
     return rows, firsts, tested.where(F.col("s") >= THRESHOLD)
 
 
@@ -392,7 +392,11 @@ def _components_of(met: DataFrame, tested: DataFrame) -> tuple[DataFrame, DataFr
 
 def near_dedup(docs: DataFrame) -> DataFrame:
     """One row per document: row, doc_id, class_id, class_size, kept."""
-    rows, firsts, links = near_links(docs)
+    return _near_dedup(_texts(numbered(docs, "near-dedup-texts", "doc_id, text")))
+
+
+def _near_dedup(texts: DataFrame) -> DataFrame:
+    rows, firsts, links = near_links(texts)
     near = components(links).withColumnRenamed("row", "first")
     named = (
         rows.join(firsts.select("fp1", "fp2", "first"), ["fp1", "fp2"])
@@ -413,8 +417,8 @@ def near_dedup(docs: DataFrame) -> DataFrame:
 
 def kept(docs: DataFrame) -> DataFrame:
     """One document of each class, with all columns; only rows that may be dropped are shuffled."""
-    lost = stage(near_dedup(docs).where(~F.col("kept")).select(F.col("row").alias("lost")), "near-copies")
-    placed = docs.select(F.struct("*").alias("doc"), F.monotonically_increasing_id().alias("_row"))
-    maybe, sure = split_by(placed, F.col("_row"), lost, "lost")
-    checked = maybe.join(lost, F.col("_row") == F.col("lost"), "left_anti")
+    whole = numbered(docs, "near-dedup-documents")
+    lost = stage(_near_dedup(_texts(whole)).where(~F.col("kept")).select(F.col("row").alias("lost")), "near-copies")
+    maybe, sure = split_by(whole, F.col("row"), lost, "lost")
+    checked = maybe.join(lost, F.col("row") == F.col("lost"), "left_anti")
     return sure.select("doc.*").unionByName(checked.select("doc.*"))

@@ -15,7 +15,8 @@ each shard is shuffled by hash on its own.
 
 Only the mixing table (one row per source) passes the driver; blocks are at most
 BLOCKS rows per source, however large it is. All choices follow from the seed
-and the stored rows, so a rerun and a retried task agree.
+and the row numbers, which are stored once a run: a retried task agrees, and a rerun
+where the input is split alike.
 
 Defined results: a null text has size 0; null sources are one source, the last.
 Documents of size 0 are taken with their block but count no words. Only whole
@@ -30,6 +31,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from duecheck.llm.common import numbered
 from duecheck.sources.tables import stage
 
 BLOCK_BITS = 12
@@ -59,9 +61,9 @@ def targets(sizes: Sequence[int], weights: Sequence[float], factor: float = FACT
 
 
 def placed(docs: DataFrame, seed: int) -> DataFrame:
-    """row, doc_id, source, size, place: where a document stands in its source's permutation."""
+    """row, doc_id, source, size, place: where a document (of row, doc_id, source, text) stands in its source's permutation."""
     size = F.coalesce(F.regexp_count("text", F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long")
-    rows = docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", "source", size.alias("size"))
+    rows = docs.select("row", "doc_id", "source", size.alias("size"))
     place = F.shiftrightunsigned(F.xxhash64(F.lit(seed), "doc_id", "source", "size", "row"), 64 - HASH_BITS)
     return stage(rows.withColumn("place", place), "placed")
 
@@ -171,7 +173,7 @@ def _draw(rng: np.random.Generator, counts: np.ndarray, n: int) -> np.ndarray:
 
 
 def mix(docs: DataFrame, seed: int = 17, shards: int = 64, weights: Sequence[float] = WEIGHTS):
-    """(all documents with source_size and target, the draws: row, copy, shard, turn).
+    """Of documents (row, doc_id, source, text): (all with source_size and target, the draws: row, copy, shard, turn).
 
     ``copy`` counts the times a document is drawn, ``turn`` orders its shard.
     """
@@ -218,7 +220,8 @@ def mix(docs: DataFrame, seed: int = 17, shards: int = 64, weights: Sequence[flo
 
 def report(docs: DataFrame, **options) -> DataFrame:
     """Per document: doc_id, size, source_size, target, taken, and the shards it goes to."""
-    rows, draws = mix(docs, **options)
+    row = F.monotonically_increasing_id().alias("row")  # read once, then stored
+    rows, draws = mix(docs.select(row, "doc_id", "source", "text"), **options)
     per_row = draws.groupBy("row").agg(F.count("*").alias("copies"), F.sort_array(F.collect_list("shard")).alias("shards"))
     return rows.join(per_row, "row", "left").select(
         "doc_id",
@@ -235,7 +238,7 @@ def mixed(docs: DataFrame, shards: int = 64, **options) -> DataFrame:
 
     A document drawn twice is there twice.
     """
-    _, draws = mix(docs, shards=shards, **options)
-    whole = docs.select(F.struct("*").alias("doc"), F.monotonically_increasing_id().alias("row"))
+    whole = numbered(docs, "mix-documents")
+    _, draws = mix(whole.select("row", "doc.doc_id", "doc.source", "doc.text"), shards=shards, **options)
     out = whole.join(draws, "row").repartition(shards, "shard").sortWithinPartitions("shard", "turn", "row", "copy")
     return out.select("doc.*")
