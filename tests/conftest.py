@@ -6,8 +6,6 @@ from pyspark.sql import SparkSession
 
 sys.path[:0] = [str(Path(__file__).resolve().parent.parent), str(Path(__file__).resolve().parent)]
 
-SMALL = "/root/testdata/sf0.001"
-
 
 @pytest.fixture(scope="session")
 def spark():
@@ -27,6 +25,8 @@ def spark():
 
 @pytest.fixture(scope="session")
 def ws(spark):
+    from frames import SMALL
+
     from duecheck.plans.workspace import workspace
 
     return workspace(spark, SMALL)

@@ -2,7 +2,7 @@
 
 import compare
 import pytest
-from conftest import SMALL
+from frames import SMALL
 
 import __spark_entry__ as entry
 from duecheck.plans import queries

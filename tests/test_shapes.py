@@ -1,7 +1,7 @@
 """Plans: what must not and what must appear in them."""
 
 import pytest
-from conftest import SMALL
+from frames import SMALL
 
 from duecheck.operators import detect, evaluate, extract, findings, report
 from duecheck.plans.queries import queries
