@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from duecheck.llm import (
     exact_dedup,
+    filter_audit,
     hmm_lm,
     license_scan,
     minhash_dedup,
@@ -87,6 +88,10 @@ def op10_token_counts(spark: SparkSession, folder: str) -> DataFrame:
     return token_counts.document_tokens(table(spark, folder, "documents"))
 
 
+def op12_filter_audit(spark: SparkSession, folder: str) -> DataFrame:
+    return filter_audit.audit(table(spark, folder, "documents"), table(spark, folder, "labels"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = (
         op1_minhash_dedup,
@@ -99,6 +104,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         op8_topk_search,
         op9_secret_scan,
         op10_token_counts,
+        op12_filter_audit,
     )
     return {f.__name__: f for f in found} | {"pipeline": corpus_pipeline.run}
 
@@ -121,6 +127,38 @@ SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, v
 FROM s QUALIFY rank <= 10"""
 
 
+OP12_SQL = r"""WITH RECURSIVE w AS (
+  SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS t,
+    regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+l AS (SELECT doc_id, max(CASE WHEN quality = 1 THEN 1 ELSE 0 END) AS good, max(CASE WHEN toxic = 1 THEN 1 ELSE 0 END) AS bad
+  FROM labels GROUP BY 1),
+f AS (
+  SELECT part, coalesce(good, 0) AS good, coalesce(bad, 0) AS bad, [len(ws) < 200,
+      100 * len(list_distinct(ws)) < 50 * len(ws),
+      100 * length(regexp_replace(t, '[^A-Z]+', '', 'g')) > 3 * length(t),
+      regexp_matches(t, '[#$%&*|]'),
+      coalesce(doc_id > min(doc_id) OVER (PARTITION BY t), false)] AS fails
+  FROM w LEFT JOIN l USING (doc_id)),
+o AS (
+  SELECT '' AS filter_order UNION ALL
+  SELECT filter_order || c FROM o, (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS c) WHERE NOT contains(filter_order, c)),
+s AS (SELECT filter_order, k AS step, instr('ABCDE', filter_order[k]) AS i
+  FROM o, (SELECT unnest([1, 2, 3, 4, 5]) AS k) WHERE length(filter_order) = 5),
+g AS (SELECT part, fails, count(*) AS n, sum(good) AS good, sum(bad) AS bad FROM f GROUP BY ALL),
+m AS (
+  SELECT part, filter_order, step, i, n, good, bad, fails[i] AS fail,
+    list_bool_or([false] || [fails[instr('ABCDE', filter_order[j])] FOR j IN range(1, step)]) AS gone,
+    len([x FOR x IN fails IF x]) = 1 AS alone FROM g, s),
+r AS (
+  SELECT part, filter_order, step, i, sum(CASE WHEN NOT gone AND NOT fail THEN n ELSE 0 END)::bigint AS kept,
+    sum(CASE WHEN NOT gone AND fail THEN n ELSE 0 END)::bigint AS removed,
+    sum(CASE WHEN gone AND fail THEN n ELSE 0 END)::bigint AS redundant,
+    sum(CASE WHEN fail AND alone THEN n ELSE 0 END)::bigint AS unique_fails,
+    sum(CASE WHEN NOT gone AND fail THEN good ELSE 0 END)::bigint AS good_lost,
+    sum(CASE WHEN NOT gone AND fail THEN bad ELSE 0 END)::bigint AS toxic_lost FROM m GROUP BY ALL)
+SELECT * EXCLUDE (i), sum(removed) OVER (PARTITION BY part, i)::bigint AS shapley FROM r"""
+
+
 def oracle_sql() -> dict[str, str]:
-    found = {"op7_exact_dedup": OP7_SQL, "op8_topk_search": OP8_SQL}
+    found = {"op7_exact_dedup": OP7_SQL, "op8_topk_search": OP8_SQL, "op12_filter_audit": OP12_SQL}
     return found | ({"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {})
