@@ -1,5 +1,8 @@
 """What the operators of this subpackage share: input tables, folds, a bounded filter, connected classes."""
 
+from collections.abc import Iterator
+from contextlib import contextmanager
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -17,6 +20,22 @@ def small_batches(spark: SparkSession, rows: int = 512) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
 
 
+@contextmanager
+def settings(spark: SparkSession, wanted: dict[str, str]) -> Iterator[None]:
+    """Settings of the session for the tables stored within; what was there before comes back in any case."""
+    before = {name: spark.conf.get(name, None) for name in wanted}
+    for name, value in wanted.items():
+        spark.conf.set(name, value)
+    try:
+        yield
+    finally:
+        for name, value in before.items():
+            if value is None:
+                spark.conf.unset(name)
+            else:
+                spark.conf.set(name, value)
+
+
 def numbered(docs: DataFrame, name: str, columns: str = "*") -> DataFrame:
     """(row, doc): rows under a number that is stored with them, as a later scan may be split in another way."""
     doc = F.struct(*columns.split(", ")).alias("doc")

@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from duecheck.llm import (
+    ann_collision,
     exact_dedup,
     filter_audit,
     hmm_lm,
@@ -16,6 +17,7 @@ from duecheck.llm import (
     quality_gam,
     secret_scan,
     sentencepiece_nbest,
+    spelling_groups,
     token_counts,
     topk_search,
 )
@@ -88,10 +90,18 @@ def op10_token_counts(spark: SparkSession, folder: str) -> DataFrame:
     return token_counts.document_tokens(table(spark, folder, "documents"))
 
 
+def op11_nearest(spark: SparkSession, folder: str) -> DataFrame:
+    return ann_collision.nearest(table(spark, folder, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
 def op12_filter_audit(spark: SparkSession, folder: str) -> DataFrame:
     return filter_audit.audit(table(spark, folder, "documents"), table(spark, folder, "labels"))
 
 
+def op13_spelling_groups(spark: SparkSession, folder: str) -> DataFrame:
+    return spelling_groups.group_variants(table(spark, folder, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = (
         op1_minhash_dedup,
@@ -104,7 +114,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         op8_topk_search,
         op9_secret_scan,
         op10_token_counts,
+        op11_nearest,
         op12_filter_audit,
+        op13_spelling_groups,
     )
     return {f.__name__: f for f in found} | {"pipeline": corpus_pipeline.run}
 
