@@ -131,21 +131,15 @@ def _packed(vectors: DataFrame, rows: int, pack, schema: str) -> DataFrame:
     return vectors.mapInPandas(run, schema)
 
 
-def _ranges(starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """All numbers of the given ranges."""
-    size = np.maximum(0, ends - starts)
-    return np.arange(int(size.sum())) + np.repeat(starts - (np.cumsum(size) - size), size)
-
-
 class Block:
     """One block of vectors, ready to be asked."""
 
     def __init__(self, r, width: int):
         self.longest, self.size = r.longest, r.size
         self.ids = np.frombuffer(r.ids, "<i8")
-        self.columns = np.zeros((width, r.size))
-        self.columns[: r.width] = np.frombuffer(r.data, r.kind).reshape(r.size, r.width).T
-        self.places = np.frombuffer(r.places, "<u2")
+        self.rows = np.zeros((r.size, width))
+        self.rows[:, : r.width] = np.frombuffer(r.data, r.kind).reshape(r.size, r.width)
+        self.places = np.frombuffer(r.places, "<u2").reshape(PROJECTIONS, r.size)
         self.base = np.arange(PROJECTIONS) * _SPAN
         heights = np.frombuffer(r.heights, "<f4").reshape(PROJECTIONS, r.size)
         self.heights = (np.clip(heights, -_SPAN / 4, _SPAN / 4) + self.base[:, None]).ravel()
@@ -154,39 +148,56 @@ class Block:
     def windows(self, centre: np.ndarray, radius: float) -> tuple[np.ndarray, np.ndarray]:
         """Where each array's window begins and ends."""
         if radius > _FARTHEST:
-            return self.first, self.first + self.size
+            return np.zeros(PROJECTIONS, np.int64), np.full(PROJECTIONS, self.size)
         reach = HALF_WIDTH * radius
         low = self.base + np.clip(centre - reach, -_SPAN / 3, _SPAN / 3)
         high = self.base + np.clip(centre + reach, -_SPAN / 3, _SPAN / 3)
-        return np.searchsorted(self.heights, low, "left"), np.searchsorted(self.heights, high, "right")
+        start, end = np.searchsorted(self.heights, low, "left"), np.searchsorted(self.heights, high, "right")
+        return start - self.first, end - self.first
 
-    def products(self, q: np.ndarray, places: np.ndarray) -> np.ndarray:
-        """Exact products, summed component after component: equal vectors get equal scores."""
-        return np.add.accumulate(self.columns[:, places] * q[:, None], axis=0)[-1]
+    def tally(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """How often each vector lies in the given parts of the arrays."""
+        parts = [self.places[i, low:high] for i, (low, high) in enumerate(zip(starts.tolist(), ends.tolist())) if low < high]
+        return np.bincount(np.concatenate(parts), minlength=self.size) if parts else np.zeros(self.size, np.int64)
+
+    def counted(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        """Collisions of each vector in first windows, from what lies inside or outside, whichever is less."""
+        if 2 * int((end - start).sum()) <= PROJECTIONS * self.size:
+            return self.tally(start, end)
+        none, whole = np.zeros_like(start), np.full_like(end, self.size)
+        return PROJECTIONS - self.tally(none, start) - self.tally(end, whole)
 
     def nearest(self, q: np.ndarray, centre: np.ndarray, norm: float, own: int, theta: float, k: int):
-        """(ids, scores) of up to ``k`` vectors found that reach ``theta``, best first; and how many were verified."""
-        count = np.zeros(self.size, np.int64)
+        """(ids, scores) of up to ``k`` vectors found that reach ``theta``, best first; and how many were verified.
+
+        Products of all candidates are taken at once, and once more for those
+        near the k-th, summed component after component: equal vectors get
+        equal scores.
+        """
+        slack = 1e-15 * (len(q) + 8) * norm * self.longest
         verified = np.zeros(self.size, bool)
         places, scores = np.zeros(0, np.int64), np.zeros(0)
-        low = high = None
         bound = self.distance(theta, norm)
         radius = min(bound, FIRST_RADIUS) if bound > _FARTHEST else bound / WIDEN**2
+        low, high = self.windows(centre, radius)
+        count = self.counted(low, high)
         while True:
-            start, end = self.windows(centre, radius)
-            new = _ranges(start, end) if low is None else np.concatenate((_ranges(start, low), _ranges(high, end)))
-            low, high = start, end
-            count += np.bincount(self.places[new], minlength=self.size)
             fresh = np.flatnonzero((count >= COLLISIONS) & ~verified)
             verified[fresh] = True
             fresh = fresh[self.ids[fresh] != own]
-            places, scores = np.append(places, fresh), np.append(scores, self.products(q, fresh))
+            places, scores = np.append(places, fresh), np.append(scores, self.rows[fresh] @ q)
             if len(places) >= k:
-                bound = min(bound, self.distance(float(np.partition(scores, -k)[-k]), norm))
+                bound = min(bound, self.distance(float(np.partition(scores, -k)[-k]) - slack, norm))
             if radius >= bound or radius > _FARTHEST:
                 break
             wider = radius * WIDEN
             radius = wider if wider < bound else bound if bound <= _FARTHEST else min(wider, _FARTHEST * 2)
+            start, end = self.windows(centre, radius)
+            count += self.tally(start, low) + self.tally(high, end)
+            low, high = start, end
+        if len(places) > k:
+            places = places[scores >= np.partition(scores, -k)[-k] - 2 * slack]
+        scores = np.add.accumulate(self.rows[places] * q, axis=1)[:, -1] if len(places) else np.zeros(0)
         best = np.lexsort((self.ids[places], -scores))[:k]
         best = best[scores[best] >= theta]
         return self.ids[places[best]], scores[best], int(verified.sum())
