@@ -35,23 +35,23 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from duecheck.llm.common import settings
 from duecheck.sources.tables import stage
 
 PROJECTIONS = 128
 HALF_WIDTH = 1.4
 #: Of PROJECTIONS windows. A vector at the radius meets 107.3 of them on average (deviation 4.2), fewer than these 1 time in 200.
 COLLISIONS = 96
-BLOCK_ROWS = 8192
+BLOCK_ROWS = 4096
 BLOCK_VALUES = 1 << 22
 QUERY_ROWS = 512
+QUERY_BLOCKS = 8
 FIRST_RADIUS = 0.4
 WIDEN = 1.15
 _FARTHEST = 2.0
 _SPAN = 64.0
 _SEED = 1729
-_BLOCK = "longest double, ids binary, size int, width int, kind string, data binary, places binary, heights binary"
-_ASK = "q_rows binary, q_ids binary, q_size int, q_width int, q_data binary, q_theta binary, q_least double"
+_BLOCK = "bucket long, longest double, ids binary, size int, width int, kind string, data binary, places binary"
+_ASK = "q_block long, q_rows binary, q_ids binary, q_size int, q_width int, q_data binary, q_theta binary, q_least double"
 _FOUND = "row long, query_id long, vec_id long, score double"
 
 
@@ -82,30 +82,35 @@ def _matrix(v: pd.Series) -> np.ndarray:
     return out
 
 
-def _index(pdf: pd.DataFrame) -> dict:
-    """One block: its vectors and the sorted arrays of their projections."""
-    data = _matrix(pdf.v)
-    longest = float(pdf.norm.max())
+def _heights(data: np.ndarray, longest: float) -> np.ndarray:
+    """Projections of the vectors of a block, lifted to the unit sphere: a row per direction."""
     ball = data.astype(float) / longest
     along, lift = directions(data.shape[1])
-    heights = ball @ along + np.sqrt(np.maximum(0, 1 - (ball**2).sum(1)))[:, None] * lift
-    places = np.argsort(heights, axis=0, kind="stable")
-    return {
+    return (ball @ along + np.sqrt(np.maximum(0, 1 - (ball**2).sum(1)))[:, None] * lift).T
+
+
+def _index(pdf: pd.DataFrame) -> pd.DataFrame:
+    """One block: its vectors, and the order of their projections in each sorted array."""
+    data = _matrix(pdf.v)
+    longest = float(pdf.norm.max())
+    made = {
+        "bucket": int(pdf.block.iloc[0]),
         "longest": longest,
         "ids": pdf.vec_id.to_numpy("<i8").tobytes(),
         "size": len(data),
         "width": data.shape[1],
         "kind": data.dtype.str,
         "data": data.tobytes(),
-        "places": places.T.astype("<u2").tobytes(),
-        "heights": np.take_along_axis(heights, places, 0).T.astype("<f4").tobytes(),
+        "places": np.argsort(_heights(data, longest), axis=1, kind="stable").astype("<u2").tobytes(),
     }
+    return pd.DataFrame([made])
 
 
-def _ask(pdf: pd.DataFrame) -> dict:
+def _ask(pdf: pd.DataFrame) -> pd.DataFrame:
     """One block of queries with their bounds; ``q_least`` is what a block's longest length must reach."""
     data = _matrix(pdf.v).astype("<f8")
-    return {
+    made = {
+        "q_block": int(pdf.block.iloc[0]),
         "q_rows": pdf.row.to_numpy("<i8").tobytes(),
         "q_ids": pdf.vec_id.to_numpy("<i8").tobytes(),
         "q_size": len(data),
@@ -114,21 +119,20 @@ def _ask(pdf: pd.DataFrame) -> dict:
         "q_theta": pdf.theta.to_numpy("<f8").tobytes(),
         "q_least": float((pdf.theta / pdf.norm).min()),
     }
+    return pd.DataFrame([made])
 
 
-def _packed(vectors: DataFrame, rows: int, pack, schema: str) -> DataFrame:
-    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held = pd.DataFrame()
-        for pdf in parts:
-            held = pd.concat([held, pdf], ignore_index=True) if len(held) else pdf
-            most = max(1, min(rows, BLOCK_VALUES // max(map(len, held.v), default=1)))
-            while len(held) >= most:
-                yield pd.DataFrame([pack(held.iloc[:most])])
-                held = held.iloc[most:]
-        if len(held):
-            yield pd.DataFrame([pack(held)])
-
-    return vectors.mapInPandas(run, schema)
+def _blocked(vectors: DataFrame, rows: int, name: str) -> DataFrame:
+    """``block`` of each vector, longest first, ``rows`` to a block but the last, however the table is partitioned."""
+    slices = int(vectors.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranged = vectors.repartitionByRange(slices, F.desc("norm"), "vec_id", "row")
+    sliced = stage(ranged.withColumn("slice", F.spark_partition_id()), name)
+    before = Window.orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)  # one row per slice
+    counts = sliced.groupBy("slice").agg(F.count("*").alias("n"))
+    offsets = counts.select("slice", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("offset"))
+    inside = F.row_number().over(Window.partitionBy("slice").orderBy(F.desc("norm"), "vec_id", "row")) - 1
+    placed = sliced.withColumn("inside", inside).join(offsets, "slice")
+    return placed.withColumn("block", F.expr(f"(offset + inside) div {rows}")).drop("slice", "inside", "offset")
 
 
 class Block:
@@ -141,7 +145,7 @@ class Block:
         self.rows[:, : r.width] = np.frombuffer(r.data, r.kind).reshape(r.size, r.width)
         self.places = np.frombuffer(r.places, "<u2").reshape(PROJECTIONS, r.size)
         self.base = np.arange(PROJECTIONS) * _SPAN
-        heights = np.frombuffer(r.heights, "<f4").reshape(PROJECTIONS, r.size)
+        heights = np.take_along_axis(_heights(self.rows[:, : r.width], r.longest), self.places, 1)
         self.heights = (np.clip(heights, -_SPAN / 4, _SPAN / 4) + self.base[:, None]).ravel()
         self.first = np.arange(PROJECTIONS) * r.size
 
@@ -178,7 +182,7 @@ class Block:
         verified = np.zeros(self.size, bool)
         places, scores = np.zeros(0, np.int64), np.zeros(0)
         bound = self.distance(theta, norm)
-        radius = min(bound, FIRST_RADIUS) if bound > _FARTHEST else bound / WIDEN**2
+        radius = min(bound, FIRST_RADIUS) if bound > _FARTHEST else bound / WIDEN
         low, high = self.windows(centre, radius)
         count = self.counted(low, high)
         while True:
@@ -209,10 +213,9 @@ class Block:
         return float(np.sqrt(max(1e-12, 2 - 2 * (score / norm) / self.longest)))
 
 
-def _meet(r, k: int) -> Iterator[tuple[np.ndarray, ...]]:
+def _meet(block: Block, r, k: int) -> Iterator[tuple[np.ndarray, ...]]:
     """What one block of queries finds in one block of vectors."""
-    width = max(r.width, r.q_width)
-    block = Block(r, width)
+    width = block.rows.shape[1]
     queries = np.zeros((r.q_size, width))
     queries[:, : r.q_width] = np.frombuffer(r.q_data, "<f8").reshape(r.q_size, r.q_width)
     most = np.abs(queries).max(1)
@@ -227,18 +230,22 @@ def _meet(r, k: int) -> Iterator[tuple[np.ndarray, ...]]:
 
 
 def _found(pairs: DataFrame, blocks: DataFrame, asks: DataFrame, k: int) -> DataFrame:
-    """Results of the pairs (bucket, q_block) of a block of vectors and a block of queries."""
+    """Results of the pairs (bucket, q_block): a block of vectors goes once to each QUERY_BLOCKS blocks of queries."""
 
-    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in parts:
-            for r in pdf.itertuples():
-                met = list(_meet(r, k))
-                columns = [np.concatenate(c) for c in zip(*met)] if met else [[]] * 4
-                yield pd.DataFrame(dict(zip(("row", "query_id", "vec_id", "score"), columns)))
+    def run(held: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
+        r = next(held.itertuples())
+        block = Block(r, max(r.width, int(asked.q_width.max())))
+        met = [x for q in asked.itertuples() for x in _meet(block, q, k)]
+        columns = [np.concatenate(c) for c in zip(*met)] if met else [[]] * 4
+        return pd.DataFrame(dict(zip(("row", "query_id", "vec_id", "score"), columns)))
 
-    width = 4 * pairs.sparkSession.sparkContext.defaultParallelism  # few rows, much work each
-    met = pairs.join(blocks, "bucket").join(asks, "q_block")
-    return met.repartition(width, "bucket", "q_block").drop("bucket", "q_block").mapInPandas(run, _FOUND)
+    group = F.expr(f"q_block div {QUERY_BLOCKS}")
+    left = pairs.select("bucket", group.alias("q_group")).distinct().join(blocks, "bucket")
+    right = pairs.select("q_block", F.col("bucket").alias("to"), group.alias("of_group")).join(asks, "q_block")
+    tasks = 4 * pairs.sparkSession.sparkContext.defaultParallelism  # few rows, much work each
+    held = left.repartition(tasks, "bucket", "q_group").groupBy("bucket", "q_group")
+    asked = right.repartition(tasks, "to", "of_group").groupBy("to", "of_group")
+    return held.cogroup(asked).applyInPandas(run, _FOUND)
 
 
 def _best(found: DataFrame, k: int) -> DataFrame:
@@ -248,38 +255,26 @@ def _best(found: DataFrame, k: int) -> DataFrame:
 
 def nearest(vectors: DataFrame, is_query: Column, k: int = 20) -> DataFrame:
     """query_id, rank, vec_id, score: up to ``k`` nearest vectors found for each query row."""
-    spark = vectors.sparkSession
-    with settings(spark, {"spark.sql.execution.arrow.maxRecordsPerBatch": "1024"}):
-        rows = stage(usable(vectors), "vectors")
-        n = rows.count()
-        dealt = rows.repartitionByRange(max(1, n // BLOCK_ROWS), F.desc("norm"), "vec_id")
-        packed = _packed(dealt.select("vec_id", "v", "norm"), BLOCK_ROWS, _index, _BLOCK)
-        # buckets are numbered without gaps, so that queries can name them
-        blocks = stage(packed.withColumn("place", F.monotonically_increasing_id()), "vector-index")
-        numbers = stage(
-            blocks.select("place", "longest").withColumn("bucket", F.row_number().over(Window.orderBy("place")) - 1), "vector-buckets"
-        )
-        blocks = blocks.join(numbers.select("place", "bucket"), "place").drop("place")
-        buckets = numbers.count()
-        asking = rows.where(is_query)
-
-        def ask(queries: DataFrame, name: str) -> DataFrame:
-            made = _packed(queries.select("row", "vec_id", "v", "norm", "theta"), QUERY_ROWS, _ask, _ASK)
-            return stage(made.withColumn("q_block", F.monotonically_increasing_id()), name)
-
-        unbound = ask(asking.withColumn("theta", F.lit(float("-inf"))), "queries")
-    with settings(spark, {"spark.sql.execution.arrow.maxRecordsPerBatch": "4"}):
-        # a bound from one block each, of the longer ones, which differ from query block to query block
-        near = max(min(8, buckets), buckets // 8, 1)
-        one = unbound.select("q_block", F.pmod(F.xxhash64("q_block"), F.lit(near)).cast("int").alias("bucket"))
-        first = stage(_best(_found(one, blocks, unbound, k), k), "first-bounds")
+    rows = stage(usable(vectors), "vectors")
+    widest = rows.agg(F.max(F.size("v")).alias("n")).first()["n"] or 1
+    per_block = max(1, min(BLOCK_ROWS, BLOCK_VALUES // widest))
+    placed = _blocked(rows.select("row", "vec_id", "v", "norm"), per_block, "vector-slices")
+    blocks = stage(placed.groupBy("block").applyInPandas(_index, _BLOCK), "vector-index")
+    buckets = blocks.count()
+    per_ask = max(1, min(QUERY_ROWS, BLOCK_VALUES // widest))
+    asking = stage(_blocked(rows.where(is_query).select("row", "vec_id", "v", "norm"), per_ask, "query-slices"), "queries")
+
+    def ask(queries: DataFrame, name: str) -> DataFrame:
+        return stage(queries.groupBy("block").applyInPandas(_ask, _ASK), name)
+
+    # a bound from one block each, of the longer ones, which differ from query block to query block
+    unbound = ask(asking.withColumn("theta", F.lit(float("-inf"))), "query-blocks")
+    near = max(min(8, buckets), buckets // 8, 1)
+    one = unbound.select("q_block", F.pmod("q_block", F.lit(near)).alias("bucket"))
+    first = stage(_best(_found(one, blocks, unbound, k), k), "first-bounds")
     kth = first.where(F.col("rank") == k).select("row", F.col("score").alias("theta"))
-    bounded = asking.join(kth, "row", "left").fillna(float("-inf"), ["theta"])
-    with settings(spark, {"spark.sql.execution.arrow.maxRecordsPerBatch": "1024"}):
-        asks = ask(bounded, "bounded-queries")
-    with settings(spark, {"spark.sql.execution.arrow.maxRecordsPerBatch": "4"}):
-        named = asks.select("q_block", "q_least", F.explode(F.sequence(F.lit(0), F.lit(max(0, buckets - 1)))).alias("bucket"))
-        reach = named.join(numbers.select("bucket", "longest"), "bucket")
-        pairs = reach.where(F.col("longest") * (1 + 1e-9) >= F.col("q_least")).select("q_block", "bucket")
-        found = stage(_best(_found(pairs, blocks, asks, k), k), "nearest")
-    return found.select("query_id", "rank", "vec_id", "score")
+    asks = ask(asking.join(kth, "row", "left").fillna(float("-inf"), ["theta"]), "bounded-query-blocks")
+    named = asks.select("q_block", "q_least", F.explode(F.sequence(F.lit(0), F.lit(max(0, buckets - 1)))).alias("bucket"))
+    reach = named.join(blocks.select("bucket", "longest"), "bucket")
+    pairs = stage(reach.where(F.col("longest") * (1 + 1e-9) >= F.col("q_least")).select("q_block", "bucket"), "pairs")
+    return _best(_found(pairs, blocks, asks, k), k).select("query_id", "rank", "vec_id", "score")
