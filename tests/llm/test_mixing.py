@@ -4,6 +4,8 @@ from collections import Counter, defaultdict
 import numpy as np
 import pytest
 
+from pyspark.sql import functions as F
+
 from duecheck.llm import mixing, queries
 
 SMALL = "/root/testdata/sf0.01"
@@ -20,10 +22,16 @@ def by_hand(sizes, weights):
     return [min(c, w * high) for c, w in zip(caps, weights)]
 
 
-def test_targets():
+def targets(spark, sizes, weights):
+    rows = [(n, s) for n, s in enumerate(sizes)]
+    found = mixing.with_targets(spark.createDataFrame(rows, "rank long, size long"), (3, 1, 2))
+    return [r.target for r in found.orderBy("rank").collect()]
+
+
+def test_targets(spark):
     for sizes in ([10, 10, 10], [1000, 1, 50, 0, 7], [5], [0, 0], []):
         weights = [(3, 1, 2)[i % 3] for i in range(len(sizes))]
-        got = mixing.targets(sizes, weights)
+        got = targets(spark, sizes, weights)
         assert np.allclose(got, by_hand(sizes, weights), atol=1e-6)
         assert all(t <= 2 * s for t, s in zip(got, sizes))
 
@@ -74,3 +82,54 @@ def test_odd_rows(spark):
     assert set(taken.values()) == {0}
     assert mixing.report(docs.limit(0)).collect() == []
     assert all(r.taken == 0 for r in mixing.report(docs.where("text = '' or text is null")).collect())
+
+
+@pytest.mark.parametrize("rows", [0, 40])
+def test_reruns_agree_however_the_input_is_split(spark, tmp_path, rows):
+    """Also with repeated rows, and with rows in another order; the mixed documents come out alike, in order."""
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet")
+    docs = docs.unionByName(docs.limit(rows)).unionByName(docs.limit(rows // 2))
+    docs.coalesce(1).write.parquet(f"{tmp_path}/one")
+    docs.repartition(7).write.parquet(f"{tmp_path}/seven")
+    seen, drawn = [], []
+    for name, size in (("one", "128m"), ("one", "64k"), ("seven", "16k")):
+        spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+        try:
+            read = spark.read.parquet(f"{tmp_path}/{name}")
+            seen.append(Counter(map(tuple, mixing.report(read).select("doc_id", "taken", F.col("shards").cast("string")).collect())))
+            drawn.append([r.doc_id for r in mixing.mixed(read, shards=5).collect()])
+        finally:
+            spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert seen[0] == seen[1] == seen[2] and drawn[0] == drawn[1] == drawn[2]
+    assert sum(seen[0].values()) == 1000 + rows + rows // 2
+
+
+def test_many_small_sources(spark):
+    """More sources than groups; what is dealt adds up to what is taken."""
+    docs = spark.createDataFrame([(i, "w " * (i % 9 + 1), f"s{i % 500}") for i in range(3000)], "doc_id long, text string, source string")
+    got = mixing.report(docs, shards=11).toPandas()
+    assert (got.shards.map(len) * got["size"] == got.taken).all() and (got.taken <= 2 * got["size"]).all()
+    per_shard = Counter(s for shards in got.shards for s in shards)
+    assert set(per_shard) == set(range(11))
+    assert mixing.mixed(docs, shards=11).count() == got.shards.map(len).sum()
+
+
+def test_draws_beyond_numpy():
+    rng = np.random.default_rng(4)
+    draws = [mixing._hypergeometric(rng, 3 * 10**9, 10**9, 1000) for _ in range(3000)]
+    assert abs(np.mean(draws) - 750) < 1.5 and abs(np.std(draws) - np.sqrt(1000 * 0.75 * 0.25)) < 0.7
+    assert mixing._hypergeometric(rng, 2 * 10**9, 10, 2 * 10**9) in range(2 * 10**9 - 10, 2 * 10**9 + 1)
+    assert mixing.shard_quotas([2 * 10**9, 5, 10**9], 3, 1).sum(0).tolist() == [2 * 10**9, 5, 10**9]
+
+
+def test_a_last_cell_is_filled_well():
+    rng = np.random.default_rng(8)
+    for _ in range(200):
+        sizes = rng.integers(0, 60, rng.integers(1, 40))
+        left = int(rng.integers(0, sizes.sum() + 2))
+        taken = mixing.filled(sizes, left)
+        gap = left - int(sizes[taken].sum())
+        assert gap >= 0 and not taken[sizes == 0].any()
+        rest = sizes[~taken & (sizes > 0)]
+        assert not (rest <= gap).any()
+        assert all(a >= b or b - a > gap for b in rest for a in sizes[taken])
