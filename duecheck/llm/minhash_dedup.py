@@ -18,9 +18,12 @@ and classes are the connected components of the links.
 Buckets never emit all pairs. First each member meets the bucket's smallest one
 (a star), and the links found are closed to components. Where a bucket is still
 several components, its members meet the one with most links. Only pairs of
-unlike components are left then. They are compared by their samples, in blocks
-of a bounded number of members, and those that agree in LEAST_AGREED samples are
-verified, all of them: there is no cap on partners or buckets.
+unlike components are left then. Those outside a bucket's largest component are
+compared with its other members by their samples, in blocks of a bounded number
+of members. Of pairs that agree in LEAST_AGREED samples, the best of each
+outsider are verified first, and what they link is joined; the last round
+verifies all pairs that still lie in unlike components. There is no cap on
+partners or buckets.
 
 Defined results: texts without words, null and empty ones among them, are
 copies if their characters are equal. Repeated rows are copies. The smallest
@@ -47,6 +50,8 @@ BUCKET_BITS = 18
 #: Of SAMPLES. A pair at THRESHOLD agrees in fewer with a probability of 2 in 10,000; bands miss it in 17 of 10,000.
 LEAST_AGREED = 52
 BLOCK_ROWS = 1024
+#: Of an outsider of a bucket, in one block: how many of its best pairs are verified, round by round; at last all.
+PARTNERS = (2, 16, None)
 IDF_SHARE = 0.25
 _SLICE = 1024
 _MIX = (np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB))
@@ -227,36 +232,37 @@ def _signed(texts: DataFrame, idf) -> DataFrame:
     return texts.select("row", "text").mapInArrow(sign, "row long, keys array<long>, sketch binary")
 
 
-def _agreeing(groups: DataFrame) -> DataFrame:
-    """Pairs of unlike components that agree in LEAST_AGREED samples, within sorted groups of bounded size."""
+def _agreeing(groups: DataFrame, most: int | None) -> DataFrame:
+    """Pairs that agree in LEAST_AGREED samples: of each outsider and its ``most`` best partners in one block.
 
-    def pairs(component: np.ndarray, row: np.ndarray, side: np.ndarray, sketch: np.ndarray) -> Iterator[tuple]:
-        names, count = np.unique(component, return_counts=True)
-        if len(names) == 1:
-            return
-        main = component == names[np.argmax(count)]  # its members need no comparison with each other
-        for i in np.flatnonzero(~main):
-            other = np.flatnonzero((component != component[i]) & (main | (np.arange(len(row)) > i)))
-            if side.any():
-                other = other[side[other] != side[i]]
-            near = other[(sketch[other] == sketch[i]).sum(1) >= LEAST_AGREED]
+    A group (key, block) holds the block's own members, and all outsiders of the
+    bucket (``visits``), which meet those members that belong to another component.
+    """
+
+    def pairs(component: np.ndarray, row: np.ndarray, main: np.ndarray, visits: np.ndarray, sketch: np.ndarray) -> Iterator[tuple]:
+        home = ~visits
+        for i in np.flatnonzero(visits):
+            # two outsiders meet in both their blocks; the smaller one asks
+            other = np.flatnonzero(home & (component != component[i]) & (main | (row > row[i])))
+            agreed = (sketch[other] == sketch[i]).sum(1)
+            best = np.lexsort((row[other], -agreed))[:most]
+            near = other[best[agreed[best] >= LEAST_AGREED]]
             yield from ((min(row[i], row[j]), max(row[i], row[j])) for j in near)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
 
         def flush(whole: pa.Table) -> pa.RecordBatch:
-            columns = [whole.column(c).to_numpy() for c in ("key", "x", "y", "component", "row", "block")]
+            key, block, component, row, main, visits = (
+                whole.column(c).to_numpy() for c in ("key", "block", "component", "row", "main", "visits")
+            )
             sketch = np.frombuffer(b"".join(whole.column("sketch").to_pylist()), "<u2").reshape(-1, SAMPLES)
-            key, x, y, component, row, block = columns
-            new = np.concatenate(([True], (key[1:] != key[:-1]) | (x[1:] != x[:-1]) | (y[1:] != y[:-1])))
+            new = np.concatenate(([True], (key[1:] != key[:-1]) | (block[1:] != block[:-1])))
             at = np.append(np.flatnonzero(new), len(key))
             found: list[tuple] = []
             for low, high in zip(at, at[1:]):
                 part = slice(low, high)
-                # groups of two blocks compare only across them
-                side = (block[part] != x[part]) if x[low] != y[low] else np.zeros(high - low, bool)
-                found += pairs(component[part], row[part], side, sketch[part])
+                found += pairs(component[part], row[part], main[part].astype(bool), visits[part].astype(bool), sketch[part])
             a, b = np.array(found, np.int64).reshape(-1, 2).T
             return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
 
@@ -264,10 +270,10 @@ def _agreeing(groups: DataFrame) -> DataFrame:
             if not batch.num_rows:
                 continue
             held.append(batch)
-            last = [batch.column(c)[-1].as_py() for c in ("key", "x", "y")]
+            last = [batch.column(c)[-1].as_py() for c in ("key", "block")]
             whole = pa.Table.from_batches(held)
             open_ = np.ones(whole.num_rows, bool)
-            for c, v in zip(("key", "x", "y"), last):
+            for c, v in zip(("key", "block"), last):
                 open_ &= whole.column(c).to_numpy() == v
             if not open_.all():
                 yield flush(whole.filter(pa.array(~open_)))
@@ -278,6 +284,30 @@ def _agreeing(groups: DataFrame) -> DataFrame:
     return groups.mapInArrow(run, "a long, b long")
 
 
+def _apart(several: DataFrame, signed: DataFrame, most: int | None) -> DataFrame:
+    """Pairs of unlike components, within the buckets that hold several, that their samples call near.
+
+    Members lie in blocks of about BLOCK_ROWS. Those of the bucket's largest
+    component stay in theirs; only outsiders visit all blocks.
+    """
+    sizes = several.groupBy("key", "component").agg(F.count("*").alias("n"))
+    largest = sizes.groupBy("key").agg(
+        F.sum("n").alias("n"), F.max(F.struct("n", (-F.col("component")).alias("minus")))["minus"].alias("minus")
+    )
+    blocks = F.ceil(F.col("n") / BLOCK_ROWS).cast("int")
+    members = (
+        several.join(largest.select("key", blocks.alias("blocks"), (-F.col("minus")).alias("largest")), "key")
+        .join(signed.select("row", "sketch"), "row")
+        .withColumn("main", F.col("component") == F.col("largest"))
+    )
+    at_home = members.withColumn("block", F.pmod(F.xxhash64("row"), "blocks").cast("int")).withColumn("visits", F.lit(False))
+    abroad = members.where(~F.col("main")).withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    each = at_home.unionByName(abroad.withColumn("visits", F.lit(True)))
+    rows = each.select("key", "block", "row", "component", "main", "visits", "sketch")
+    groups = rows.repartition("key", "block").sortWithinPartitions("key", "block", "row")
+    return _agreeing(groups, most).distinct()
+
+
 def _verified(pairs: DataFrame, texts: DataFrame, idf, name: str) -> DataFrame:
     """(a, b, s) of each pair of rows (a, b): the weighted Jaccard similarity of their whole texts."""
     ids = stage(pairs.select(F.explode(F.array("a", "b")).alias("wanted")).distinct(), f"{name}-ids")
@@ -364,20 +394,14 @@ def near_links(texts: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     )
     tested = tested.unionByName(_verified(stage(again, "centre-pairs"), texts, idf, "centre-links"))
 
-    # What is still apart is compared by its samples, block by block, and the pairs that may be near are verified.
-    marked, several = _components_of(met, tested)
-    size = marked.groupBy("key").agg(F.count("*").alias("n"))
-    blocks = F.ceil(F.col("n") / BLOCK_ROWS).cast("int")
-    each = (
-        several.join(size, "key")
-        .withColumn("block", F.pmod(F.xxhash64("row"), blocks).cast("int"))
-        .withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
-        .select("key", "row", "component", "block", F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y"))
-        .join(signed.select("row", "sketch"), "row")
-    )
-    groups = each.repartition("key", "x", "y").sortWithinPartitions("key", "x", "y", "row")
-    apart = _agreeing(groups).distinct().join(tested.select("a", "b"), ["a", "b"], "left_anti")
-    tested = tested.unionByName(_verified(stage(apart, "open-pairs"), texts, idf, "open-links"))
+    # What is still apart is compared by its samples. Each round verifies the best pairs of each outsider and joins
+    # what they link, so that the last round, which takes all pairs, meets only what no better pair has linked.
+    for turn, most in enumerate(PARTNERS):
+        _, several = _components_of(met, tested)
+        if several.isEmpty():
+            break
+        apart = _apart(several, signed, most).join(tested.select("a", "b"), ["a", "b"], "left_anti")
+        tested = tested.unionByName(_verified(stage(apart, f"open-pairs-{turn}"), texts, idf, f"open-links-{turn}"))
     return rows, firsts, tested.where(F.col("s") >= THRESHOLD)
 
 
