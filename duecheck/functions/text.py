@@ -38,13 +38,21 @@ def number(value: Column, kind: str) -> Column:
     return value.cast(kind).cast("string")
 
 
-def exact(text: Column, kind: str) -> Column:
-    """A written amount, thousands separated or not, as ``kind``; NULL if it is no number or has more digits."""
-    digits = F.when(text.rlike(AMOUNT_FORM), F.regexp_replace(text, ",", ""))
-    wide = digits.try_cast("decimal(38,18)")
+def digits(written: Column) -> Column:
+    """A written amount without its thousands separators; NULL if it is no number."""
+    return F.when(written.rlike(AMOUNT_FORM), F.regexp_replace(written, ",", ""))
+
+
+def fitted(digits: Column, kind: str) -> Column:
+    """Digits as ``kind``; NULL if they are more than it holds."""
     narrow = digits.try_cast(kind)
     surplus = digits.rlike(r"\.[0-9]{18}[0-9]*[1-9]")
-    return F.when((wide == narrow) & ~surplus, narrow)
+    return F.when((digits.try_cast("decimal(38,18)") == narrow) & ~surplus, narrow)
+
+
+def exact(written: Column, kind: str) -> Column:
+    """A written amount, thousands separated or not, as ``kind``; NULL if it is no number or has more digits."""
+    return fitted(digits(written), kind)
 
 
 def plain(value: Column) -> Column:

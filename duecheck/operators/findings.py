@@ -1,16 +1,16 @@
 """Findings: labelled, identified candidates that keep their reviewed memos."""
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from datetime import datetime
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from duecheck import schemas
 from duecheck.functions.hashing import stable_id
 from duecheck.operators.joins import hot_join
 from duecheck.schemas import ARM_IDENTITY, IDENTITY, MONEY
-from duecheck.sources.tables import read_arms, replace_arms
+from duecheck.sources.snapshots import Snapshot, read_table, replace_parts
 
 # Labels of the known arms; any other method is prefixed.
 ARM_LABELS = {"regex_baseline": "sql_baseline", "json_terms": "json_terms"}
@@ -39,20 +39,27 @@ def latest_memos(previous: DataFrame) -> DataFrame:
 
 
 def build_findings(
-    candidates: DataFrame, previous: DataFrame | None = None, run_at: datetime | None = None
+    candidates: DataFrame,
+    previous: DataFrame | None = None,
+    run_at: datetime | None = None,
+    unchanged: DataFrame | None = None,
 ) -> DataFrame:
     """Findings of this run, with the memos of the previous one re-attached.
 
     Memos are matched on the arm and the leak's identity; a memo whose leak is
     gone has nothing to match and is dropped. With a ``previous`` run the
-    candidates should be a stored table, see :func:`hot_join`.
+    candidates should be a stored table, see :func:`hot_join`. ``unchanged``
+    are findings that still hold and were not detected again.
     """
     labelled = label_arms(candidates)
+    if unchanged is not None:
+        labelled = labelled.unionByName(unchanged.select(*labelled.columns))
     if previous is None:
         found = labelled.withColumn("draft_memo", F.lit(None).cast("string"))
     else:
         # One identity may carry many findings (lines billed twice), hence hot_join.
-        found = hot_join(labelled, latest_memos(previous), ARM_IDENTITY, "left")
+        spread = [] if unchanged is None else [*ARM_IDENTITY, "evidence"]
+        found = hot_join(labelled, latest_memos(previous), ARM_IDENTITY, "left", spread=spread)
     identity = [F.col(c) for c in ARM_IDENTITY]
     return (
         found.withColumn("finding_id", stable_id(*identity))
@@ -61,18 +68,26 @@ def build_findings(
     )
 
 
-def read_findings(spark, path: str) -> DataFrame:
-    return read_arms(spark, path, schemas.FINDINGS, "detected_by")
+def read_findings(spark: SparkSession, path: str, at: Snapshot | None = None) -> DataFrame:
+    """The findings at ``path``; a table from before the arm column has NULL there."""
+    return read_table(spark, path, schemas.FINDINGS, "detected_by", at)
 
 
-def write_findings(findings: DataFrame, path: str, arms: Sequence[str]) -> DataFrame:
+def write_findings(
+    findings: DataFrame | Callable[[Snapshot], DataFrame], path: str, arms: Sequence[str], spark: SparkSession | None = None
+) -> DataFrame:
     """Replace the findings of ``arms`` at ``path``; other arms are untouched.
 
-    One write and one switch: findings that carry memos may read from ``path``,
-    and after a failure the old state, with all its memos, is still the one read.
+    One write and one log entry: findings that carry memos may read from
+    ``path``, and after a failure the old state, with all its memos, is still
+    the one read. Findings that follow from the stored ones are given as a
+    function of the snapshot, so that they are made again, and no memo is lost,
+    if another writer was first with one of the arms.
     """
-    replace_arms(findings, path, "detected_by", arms)
-    return read_findings(findings.sparkSession, path)
+    given = isinstance(findings, DataFrame)
+    session = findings.sparkSession if given else spark
+    replace_parts(session, path, "detected_by", arms, (lambda _: findings) if given else findings)
+    return read_findings(session, path)
 
 
 def memo_survival(findings: DataFrame) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from duecheck.functions.numeric import ratio
@@ -178,6 +178,50 @@ def selection_total(
     )
 
 
+def facets(
+    findings: DataFrame,
+    arm: str,
+    types: Sequence[str] | None = None,
+    customers: Sequence[str] | None = None,
+) -> DataFrame:
+    """Options of both choices with what each would show, and the total: one pass, one aggregate by grouping sets.
+
+    An option of one facet is counted under the choice made in the other one;
+    options that this leaves without a finding stay listed. ``chosen`` tells
+    whether an option is part of the selection. The total has no option.
+    """
+    in_types = F.lit(True) if types is None else F.col("leak_type").isin(list(types))
+    in_customers = F.col("customer_name").isin(list(customers)) if customers else F.lit(True)
+    rows = _of_arm(findings, arm).select(
+        "leak_type", "customer_name", "estimated_recovery", in_types.alias("in_types"), in_customers.alias("in_customers")
+    )
+    by_type, by_customer = F.grouping("leak_type") == 0, F.grouping("customer_name") == 0
+
+    def counts(prefix: str, shown: Column) -> list[Column]:
+        dollars = F.coalesce(F.sum(F.when(shown, F.col("estimated_recovery"))), F.lit(0).cast(MONEY))
+        return [F.count_if(shown).alias(f"{prefix}_n"), dollars.alias(f"{prefix}_d")]
+
+    found = rows.groupingSets([["leak_type"], ["customer_name"], []], "leak_type", "customer_name").agg(
+        F.when(by_type, "leak_type").when(by_customer, "customer_name").otherwise("total").alias("facet"),
+        *counts("t", F.col("in_customers")),
+        *counts("c", F.col("in_types")),
+        *counts("all", F.col("in_types") & F.col("in_customers")),
+        F.max("in_types").alias("type_chosen"),
+        F.max("in_customers").alias("customer_chosen"),
+    )
+
+    def of_facet(by_type: Column, by_customer: Column, total: Column) -> Column:
+        return F.when(F.col("facet") == "leak_type", by_type).when(F.col("facet") == "customer_name", by_customer).otherwise(total)
+
+    return found.select(
+        "facet",
+        of_facet(F.col("leak_type"), F.col("customer_name"), F.lit(None)).alias("option"),
+        of_facet(F.col("t_n"), F.col("c_n"), F.col("all_n")).alias("findings"),
+        of_facet(F.col("t_d"), F.col("c_d"), F.col("all_d")).alias("dollars"),
+        of_facet(F.col("type_chosen"), F.col("customer_chosen"), F.lit(True)).alias("chosen"),
+    )
+
+
 def memo_list(findings: DataFrame, arm: str) -> DataFrame:
     """Drafted memos under a display label, most valuable first."""
     label = F.concat_ws(

@@ -135,8 +135,8 @@ def s10_csv_writers(ws):
 @query
 def s11_sweep_sink(ws):
     path = _fresh_path(ws, "sweep")
-    tables.write_sweep(sweep.stamp(ws["sweep"].withColumn("fn", F.lit(0).cast("long")), RUN_AT), path)
-    return tables.write_sweep(sweep.stamp(ws["sweep"], RUN_AT), path).drop("run_at")
+    sweep.write_sweep(sweep.stamp(ws["sweep"].withColumn("fn", F.lit(0).cast("long")), RUN_AT), path)
+    return sweep.write_sweep(sweep.stamp(ws["sweep"], RUN_AT), path).drop("run_at")
 
 
 # --- extraction --------------------------------------------------------------
@@ -417,6 +417,28 @@ def m2_rebuild_findings(ws):
     return _plain(findings.write_findings(fresh, path, ARMS))
 
 
+@query
+def m10_concurrent_writers(ws):
+    """While one writer makes the rows of an arm, another replaces the other arm."""
+    path = _fresh_path(ws, "findings")
+    findings.write_findings(ws["previous"], path, ARMS)
+
+    def interrupted(at):
+        findings.write_findings(ws["findings"], path, ARMS[1:])
+        return ws["findings"]
+
+    return _plain(findings.write_findings(interrupted, path, ARMS[:1], ws.spark))
+
+
+@query
+def m11_findings_without_arm(ws):
+    """A table from before the arm column, then an arm written beside it."""
+    path = _fresh_path(ws, "findings")
+    old = ws["findings"].where(F.col("detected_by") == ARM)
+    old.drop("detected_by", "draft_memo").write.parquet(path)
+    return _plain(findings.write_findings(ws["findings"], path, ARMS[1:]))
+
+
 @query
 def m3_memo_carry_over(ws):
     return _plain(findings.build_findings(ws["candidates"], ws["previous"], RUN_AT))
@@ -632,6 +654,19 @@ def r8_selection(ws):
     return _plain(report.selection(ws["findings"], ARM, [detect.STALE_DISCOUNT, detect.MINIMUM_LEAK]))
 
 
+CUSTOMERS = ["Customer#000000001", "Customer#000000004", "Customer#000000010"]
+
+
+@query
+def r8_customers(ws):
+    return _plain(report.selection(ws["findings"], ARM, customers=CUSTOMERS))
+
+
+@query
+def r8_facets(ws):
+    return report.facets(ws["findings"], ARM, [detect.RATE_LEAK, detect.MISSING_CHARGE], CUSTOMERS)
+
+
 @query
 def r9_memo_list(ws):
     return report.memo_list(ws["drafted"], ARM)
@@ -714,6 +749,19 @@ def o1_reconcile(ws):
     return run.reconcile(ws["billing"], ws["terms"], ws["meta"], _stored_previous(ws), run_at=RUN_AT)
 
 
+@query
+def o4_reconcile_changes(ws):
+    """A run before every fifth account got its present lines and every seventh its terms, then one that follows."""
+    path = _fresh_path(ws, "findings")
+    findings.write_findings(ws["previous"], path, ARMS)
+    key = F.col("customer_id")
+    rate = F.when(key % 5 == 0, F.col("unit_rate_billed") * 2).otherwise(F.col("unit_rate_billed"))
+    earlier = ws["billing"].withColumn("unit_rate_billed", rate.cast(schemas.RATE))
+    run.reconcile_changes(earlier, ws["terms"].where(key % 7 != 0), ws["meta"], path, run_at=RUN_AT)
+    run.reconcile_changes(ws["billing"], ws["terms"], ws["meta"], path, run_at=RUN_AT)
+    return _plain(findings.read_findings(ws.spark, path)).drop("draft_memo")
+
+
 @query
 def o2_draft(ws):
     path = _fresh_path(ws, "findings")

@@ -9,6 +9,7 @@ from duecheck.operators.detect import detect_leaks
 from duecheck.operators.evaluate import scorecard, verdicts
 from duecheck.operators.extract import REGEX_ARM, extract_meta_regex, extract_terms_regex
 from duecheck.operators.findings import ARM_LABELS, label_arms
+from duecheck.sources.snapshots import read_table, replace_table
 from duecheck.sources.tables import stage
 
 SCOPE = ("seed",)
@@ -35,3 +36,9 @@ def evaluate_seeds(contracts: DataFrame, billing: DataFrame, answer_key: DataFra
 def stamp(sweep: DataFrame, run_at: datetime) -> DataFrame:
     """The sweep's rows with the time of the run, as stored."""
     return sweep.withColumn("run_at", F.lit(run_at).cast("timestamp_ntz"))
+
+
+def write_sweep(sweep: DataFrame, path: str) -> DataFrame:
+    """Replace the whole sweep table: a row of an older run is worse than none."""
+    replace_table(sweep, path)
+    return read_table(sweep.sparkSession, path, sweep.schema)

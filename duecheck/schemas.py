@@ -8,13 +8,14 @@ that units * rate * percentage stays exact.
 
 from pyspark.sql import types as T
 
-RATE = "decimal(18,10)"
+RATE_DIGITS = 10
+RATE = f"decimal(18,{RATE_DIGITS})"
 AMOUNT = "decimal(20,6)"
 MONEY = "decimal(18,2)"
 PCT = "decimal(7,4)"
 UNITS = "decimal(11,0)"
 
-_RATE = T.DecimalType(18, 10)
+_RATE = T.DecimalType(18, RATE_DIGITS)
 _AMOUNT = T.DecimalType(20, 6)
 _MONEY = T.DecimalType(18, 2)
 _PCT = T.DecimalType(7, 4)

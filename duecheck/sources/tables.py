@@ -1,13 +1,12 @@
-"""Stored tables: scratch copies, versioned per-arm replacement, the sweep table."""
+"""Intermediate tables in the shared folder."""
 
-import json
 import tempfile
 import uuid
-from collections.abc import Sequence
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 
 def scratch_dir(spark: SparkSession) -> str:
@@ -27,6 +26,27 @@ def scratch_dir(spark: SparkSession) -> str:
     return context.getCheckpointDir() or folder
 
 
+_NOTED: ContextVar[list[str] | None] = ContextVar("noted", default=None)
+
+
+@contextmanager
+def noted() -> Iterator[list[str]]:
+    """The folders of all tables that :func:`stage` stores inside, so that :func:`drop_tables` can remove them."""
+    folders: list[str] = []
+    token = _NOTED.set(folders)
+    try:
+        yield folders
+    finally:
+        _NOTED.reset(token)
+
+
+def drop_tables(spark: SparkSession, folders: list[str]) -> None:
+    """Remove stored tables; nothing may read them any more."""
+    for folder in folders:
+        fs, made, _ = file_system(spark, folder)
+        fs.delete(made(folder), True)
+
+
 def stage(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` once to the shared folder and return the stored table.
 
@@ -36,15 +56,21 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     run = f"{name}-{spark.sparkContext.applicationId}-{uuid.uuid4().hex[:8]}"
     path = f"{scratch_dir(spark)}/tables/{run}"
     df.write.parquet(path)
+    if _NOTED.get() is not None:
+        _NOTED.get().append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def file_system(spark: SparkSession, path: str):
+    """(file system of ``path``, a maker of its paths, the JVM)."""
+    jvm = spark._jvm
+    made = jvm.org.apache.hadoop.fs.Path
+    return made(path).getFileSystem(spark._jsc.hadoopConfiguration()), made, jvm
+
+
 def unstage(df: DataFrame) -> None:
     """Remove the stored table that ``df`` only reads from; nothing may read it any more."""
-    folders = {f.rsplit("/", 1)[0] for f in df.inputFiles()}
-    for folder in folders:
-        fs, made, _ = _files(df.sparkSession, folder)
-        fs.delete(made(folder), True)
+    drop_tables(df.sparkSession, sorted({f.rsplit("/", 1)[0] for f in df.inputFiles()}))
 
 
 def spread(df: DataFrame, *keys: str) -> DataFrame:
@@ -54,84 +80,3 @@ def spread(df: DataFrame, *keys: str) -> DataFrame:
     """
     width = df.sparkSession.sparkContext.defaultParallelism
     return df.repartition(width, *keys) if df.rdd.getNumPartitions() < width else df
-
-
-_POINTER = "_arms.json"
-
-
-def _files(spark: SparkSession, path: str):
-    """(file system of ``path``, a maker of its paths, the JVM)."""
-    jvm = spark._jvm
-    made = jvm.org.apache.hadoop.fs.Path
-    return made(path).getFileSystem(spark._jsc.hadoopConfiguration()), made, jvm
-
-
-def _current(spark: SparkSession, path: str) -> dict[str, str] | None:
-    """Which run holds each arm; None where nothing was ever written."""
-    fs, made, jvm = _files(spark, path)
-    pointer = made(f"{path}/{_POINTER}")
-    if not fs.exists(pointer):
-        return None
-    stream = fs.open(pointer)
-    try:
-        return json.loads(jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8"))
-    finally:
-        stream.close()
-
-
-def _switch(spark: SparkSession, path: str, arms: dict[str, str], run: str) -> None:
-    """Replace the pointer by one rename."""
-    fs, made, jvm = _files(spark, path)
-    aside = made(f"{path}/_arms-{run}.json")
-    stream = fs.create(aside)
-    stream.write(bytearray(json.dumps(arms, sort_keys=True).encode()))
-    stream.close()
-    rename = getattr(jvm.org.apache.hadoop.fs, "Options$Rename")
-    options = spark._sc._gateway.new_array(rename, 1)
-    options[0] = rename.OVERWRITE
-    context = jvm.org.apache.hadoop.fs.FileContext.getFileContext(aside.toUri(), spark._jsc.hadoopConfiguration())
-    context.rename(aside, made(f"{path}/{_POINTER}"), options)
-
-
-def replace_arms(df: DataFrame, path: str, arm_column: str, arms: Sequence[str]) -> None:
-    """Replace the rows of ``arms`` in the table at ``path``; other arms stay.
-
-    The rows are written once, as a run of their own; then one rename of the
-    pointer file makes it current. A failure before that leaves the old state,
-    and a table read earlier stays readable, so ``df`` may read from ``path``.
-    Rows of arms not named are not written; an arm without rows becomes empty.
-    One writer at a time.
-    """
-    spark = df.sparkSession
-    run = uuid.uuid4().hex
-    df.where(F.col(arm_column).isin(list(arms))).write.partitionBy(arm_column).parquet(f"{path}/run={run}")
-    fs, made, _ = _files(spark, path)
-    kept = {a: r for a, r in (_current(spark, path) or {}).items() if a not in arms}
-    written = {a: run for a in arms if fs.exists(made(f"{path}/run={run}/{arm_column}={a}"))}
-    _switch(spark, path, kept | written, run)
-
-
-def read_arms(spark: SparkSession, path: str, schema: T.StructType, arm_column: str) -> DataFrame:
-    """The current rows of all arms of a table that :func:`replace_arms` writes."""
-    current = _current(spark, path)
-    if current == {}:
-        return spark.createDataFrame([], schema)
-    folders = [path] if current is None else [f"{path}/run={r}/{arm_column}={a}" for a, r in sorted(current.items())]
-    placed = T.StructType([*schema.fields, T.StructField("run", T.StringType())])
-    return spark.read.schema(placed).option("basePath", path).parquet(*folders).drop("run")
-
-
-def drop_old_runs(spark: SparkSession, path: str) -> None:
-    """Remove the runs that no arm of the table at ``path`` is read from any more."""
-    fs, made, _ = _files(spark, path)
-    used = {f"run={r}" for r in (_current(spark, path) or {}).values()}
-    for status in fs.listStatus(made(path)):
-        name = status.getPath().getName()
-        if name.startswith("run=") and name not in used:
-            fs.delete(status.getPath(), True)
-
-
-def write_sweep(sweep: DataFrame, path: str) -> DataFrame:
-    """Replace the whole sweep table: a row of an older run is worse than none."""
-    sweep.write.mode("overwrite").parquet(path)
-    return sweep.sparkSession.read.schema(sweep.schema).parquet(path)

@@ -4,6 +4,7 @@ from duecheck.operators import extract, memos
 from oracle.ctes import GUIDANCE, MEMO, amount, quote, select
 
 CAND = "customer_id, customer_name, month, product, extraction_method, leak_type, estimated_recovery::double AS estimated_recovery, evidence"
+CHOSEN = "('Customer#000000001', 'Customer#000000004', 'Customer#000000010')"
 FIND = "finding_id, customer_id, customer_name, month, product, leak_type, estimated_recovery::double AS estimated_recovery, evidence"
 TERM = "customer_id, customer_name, product, contract_rate::double AS contract_rate, extraction_method"
 META = """customer_id, customer_name, discount_pct::double AS discount_pct,
@@ -140,6 +141,9 @@ FROM vol_billing GROUP BY ALL""",
   ELSE extraction_method END AS detected_by FROM terms
 UNION ALL SELECT customer_id, product, 'sql_table_ocr' FROM rx_terms""",
     "m2_rebuild_findings": f"SELECT {FIND}, NULL::varchar AS draft_memo, detected_by FROM findings",
+    "m10_concurrent_writers": f"SELECT {FIND}, NULL::varchar AS draft_memo, detected_by FROM findings",
+    "m11_findings_without_arm": f"""SELECT {FIND}, NULL::varchar AS draft_memo,
+  CASE WHEN detected_by <> 'sql_baseline' THEN detected_by END AS detected_by FROM findings""",
     "m3_memo_carry_over": f"SELECT {FIND}, draft_memo, detected_by FROM reviewed",
     "m4_memo_survival": """SELECT detected_by, count(*) AS findings, count(draft_memo) AS memos_preserved
 FROM reviewed GROUP BY 1""",
@@ -245,6 +249,15 @@ FROM (SELECT coalesce(a.customer_id, c.customer_id) AS customer_id, coalesce(est
 FROM findings WHERE detected_by = 'sql_baseline'""",
     "r8_selection": f"""SELECT {FIND}, NULL::varchar AS draft_memo, detected_by FROM findings
 WHERE detected_by = 'sql_baseline' AND leak_type IN ('stale_discount', 'minimum_commitment_leak')""",
+    "r8_customers": f"""SELECT {FIND}, NULL::varchar AS draft_memo, detected_by FROM findings
+WHERE detected_by = 'sql_baseline' AND customer_name IN {CHOSEN}""",
+    "r8_facets": f"""SELECT * FROM (WITH f AS (SELECT *, leak_type IN ('rate_leak', 'missing_charge') AS t, customer_name IN {CHOSEN} AS c
+  FROM findings WHERE detected_by = 'sql_baseline')
+SELECT 'leak_type' AS facet, leak_type AS option, count(*) FILTER (c) AS findings,
+  coalesce(sum(estimated_recovery) FILTER (c), 0)::double AS dollars, bool_or(t) AS chosen FROM f GROUP BY leak_type
+UNION ALL SELECT 'customer_name', customer_name, count(*) FILTER (t), coalesce(sum(estimated_recovery) FILTER (t), 0)::double,
+  bool_or(c) FROM f GROUP BY customer_name
+UNION ALL SELECT 'total', NULL, count(*) FILTER (t AND c), coalesce(sum(estimated_recovery) FILTER (t AND c), 0)::double, true FROM f)""",
     "r9_memo_list": """SELECT customer_name || ' · ' || month || ' · ' || product || ' · $'
     || format('{:,.2f}', estimated_recovery::double) AS label,
   customer_name, month, product, leak_type, estimated_recovery::double AS estimated_recovery, evidence, draft_memo
@@ -273,6 +286,7 @@ FROM answer_key GROUP BY ROLLUP (leak_type)""",
     # Callable runs
     "o1_reconcile": """SELECT 'reconcile: ' || count(*) || ' findings over all arms, ' || count(draft_memo)
   || ' memo(s) kept' AS report FROM reviewed""",
+    "o4_reconcile_changes": f"SELECT {FIND}, detected_by FROM findings",
     "o2_draft": """SELECT 'draft: ' || count(*) FILTER (draft_memo IS NULL) || ' memo(s) written for sql_baseline, 0 still empty'
   AS report FROM reviewed WHERE detected_by = 'sql_baseline'""",
     "o3_run": f"""SELECT r.part || ' | ' || d.part || ' | tp=' || s.tp || ' fp=' || s.fp || ' fn=' || s.fn

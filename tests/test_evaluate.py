@@ -138,3 +138,29 @@ def test_reports_come_in_order(spark):
     assert rows(evaluate.confirmed_value(verdict, planted), "detected_by", "level") == [
         ("x", 1), ("x", 0), ("y", 1), ("y", 0), ("y", 0), (None, 3),
     ]
+
+
+def test_facets_count_under_the_other_choice(spark):
+    found = findings(
+        spark,
+        finding("x", 1, "2026-01", "A", "rate_leak", "1.50"),
+        finding("x", 1, "2026-02", "A", "missing_charge", "2"),
+        finding("x", 2, "2026-01", "A", "rate_leak", "4"),
+        finding("x", 3, "2026-01", "A", "stale_discount", "8"),
+        finding("y", 1, "2026-01", "A", "rate_leak", "99"),
+    )
+    columns = ("facet", "option", "findings", "dollars", "chosen")
+    got = {tuple(r) for r in report.facets(found, "x", ["rate_leak", "stale_discount"], ["C1"]).select(*columns).collect()}
+    assert got == {
+        ("leak_type", "rate_leak", 1, Decimal("1.50"), True),
+        ("leak_type", "missing_charge", 1, Decimal("2.00"), False),
+        ("leak_type", "stale_discount", 0, Decimal("0.00"), True),
+        ("customer_name", "C1", 1, Decimal("1.50"), True),
+        ("customer_name", "C2", 1, Decimal("4.00"), False),
+        ("customer_name", "C3", 1, Decimal("8.00"), False),
+        ("total", None, 1, Decimal("1.50"), True),
+    }
+    free = report.facets(found, "x")
+    assert free.where("facet = 'total'").first()["findings"] == 4 and free.where("not chosen").isEmpty()
+    plan = free._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Expand") == 1 and plan.count("Exchange") == 1

@@ -3,6 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
+from duecheck.operators import detect
 from duecheck.operators.joins import HOT_SHARE, hot_join, hot_keys
 from duecheck.sources.tables import stage
 
@@ -54,3 +55,17 @@ def test_small_side_is_broadcast(large, small):
 def test_other_join_types_are_refused(large, small):
     with pytest.raises(ValueError):
         hot_join(large, small, ["k"], "full_outer")
+
+
+def test_lines_that_need_no_clause_are_dealt_out(spark, ws, shuffled):
+    """Rate leaks join no clause; beyond the broadcast limit, and without adaptive splitting, no task gets them all."""
+    before = {k: spark.conf.get(k) for k in ("spark.sql.adaptive.enabled", "spark.sql.shuffle.partitions")}
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    spark.conf.set("spark.sql.shuffle.partitions", "16")
+    try:
+        found = detect.line_leaks(ws["volume_billing"], ws["volume_terms"], ws["volume_meta"])
+        per_task = sorted(r["count"] for r in found.groupBy(F.spark_partition_id()).count().collect())
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert len(per_task) == 16 and per_task[-1] <= 3 * per_task[8]

@@ -56,3 +56,8 @@ def test_arm_filter_reaches_the_partition(spark, ws, tmp_path):
 def test_verdict_join_has_one_shuffle_per_side(ws):
     text = plan(evaluate.verdicts(ws["findings"], ws["answer_key"], ["sql_baseline", "json_terms"]))
     assert text.count("Exchange hashpartitioning") == 2
+
+
+def test_each_clause_pattern_runs_once_a_row(ws):
+    assert plan(extract.extract_terms_regex(ws["contracts"])).count("regexp_extract") <= 2
+    assert plan(extract.extract_meta_regex(ws["contracts"])).count("regexp_extract") <= 3
