@@ -1,4 +1,5 @@
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from duecheck.llm import topk_search
@@ -43,3 +44,33 @@ def test_odd_vectors(spark):
 
 def test_empty(spark):
     assert found(spark, []) == set()
+
+
+def test_buckets_out_of_reach_are_not_joined(spark):
+    queries = spark.createDataFrame([(b"a", 5.0), (b"b", float("-inf")), (b"c", 0.5)], "q_rows binary, q_least double")
+    buckets = F.array(*[F.struct(F.lit(i).alias("bucket"), F.lit(n).alias("longest")) for i, n in enumerate((9.0, 1.0, 0.1))])
+    got = {(bytes(r.q_rows), r.bucket) for r in topk_search.reaching(queries, buckets).collect()}
+    assert got == {(b"a", 0), (b"b", 0), (b"b", 1), (b"b", 2), (b"c", 0), (b"c", 1)}
+
+
+def test_short_vectors_prune_their_buckets(spark, monkeypatch):
+    monkeypatch.setattr(topk_search, "BLOCK_ROWS", 16)
+    rng = np.random.default_rng(6)
+    rows = [(i, (rng.normal(size=8) * (5 if i < 40 else 0.01)).tolist(), 0) for i in range(160)]
+    joined, reaching = [], topk_search.reaching
+    monkeypatch.setattr(topk_search, "reaching", lambda q, b: joined.append((q.count() * (len(rows) // 16 - 1), reaching(q, b).count())) or reaching(q, b))
+    assert found(spark, rows) == brute([r[:2] for r in rows], 5, 4)
+    assert joined and joined[0][1] < joined[0][0]
+
+
+@pytest.mark.parametrize("rows", [[(0, [3e9, 3e9]), (1, [3e9, 2e9])], [(0, [1e30]), (1, [1.0])]])
+def test_what_leaves_64_bits_is_an_error(spark, rows):
+    df = spark.createDataFrame([(*r, 0) for r in rows], "vec_id long, embedding array<double>, score int")
+    with pytest.raises(Exception, match="64 bits"):
+        topk_search.exact_topk(df, F.col("vec_id") == 0, 3).collect()
+
+
+def test_large_products_are_exact(spark):
+    df = spark.createDataFrame([(0, [4e8, 1.0]), (1, [5e3, 3.0]), (2, [-5e3, 2.0])], "vec_id long, embedding array<double>")
+    got = [(r.vec_id, r.score) for r in topk_search.exact_topk(df, F.col("vec_id") == 0, 3).orderBy("rank").collect()]
+    assert got == [(1, 1024 * 1024 * (4 * 10**8 * 5000 + 3)), (2, 1024 * 1024 * (-4 * 10**8 * 5000 + 2))]
