@@ -35,16 +35,14 @@ def op2_license_scan(spark: SparkSession, folder: str) -> DataFrame:
 
 def op3_sentencepiece(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents").select("doc_id", "text")
-    best = sentencepiece_nbest.encode(docs).select(
-        "doc_id", "text", F.col("segmentations")[0]["ids"].alias("ids"), "segmentations"
-    )
-    return sentencepiece_nbest.decode(best, "ids").select(
+    found = sentencepiece_nbest.encode(docs, round_trip="round_trip", without=["text"])
+    return found.select(
         "doc_id",
-        F.size("ids").cast("long").alias("n_pieces"),
-        "ids",
+        F.size(F.col("segmentations")[0]["ids"]).cast("long").alias("n_pieces"),
+        F.col("segmentations")[0]["ids"].alias("ids"),
         F.col("segmentations.score").alias("scores"),
         F.transform("segmentations", lambda s: F.xxhash64(s["ids"])).alias("id_hashes"),
-        (F.col("decoded") == F.coalesce("text", F.lit(""))).alias("round_trip"),
+        "round_trip",
     )
 
 

@@ -21,23 +21,25 @@ at each run. Rows repeated or without an id are encoded each.
 
 import re
 from array import array
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass, field
 from operator import itemgetter
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import sentencepiece
 from pyspark.sql import DataFrame
-from pyspark.sql.types import ArrayType, DoubleType, IntegerType, StringType, StructField, StructType
+from pyspark.sql.types import ArrayType, BooleanType, DoubleType, IntegerType, StringType, StructField, StructType
 
 from duecheck.llm.common import small_batches
+from duecheck.llm.words import text_bytes
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 N_BEST = 3
 SPACE = "▁"
 _UNKNOWN_PENALTY = 10.0
-_CACHE_WORDS = 150_000
+_CACHE_WORDS = 400_000
 _TOGETHER = 40
 _ODD = re.compile(f" +[^ {SPACE}]*|[^ {SPACE}]+|{SPACE}")
 
@@ -344,29 +346,77 @@ def decode_ids(vocabulary: Vocabulary, ids) -> str:
     return text[1:] if text.startswith(" ") else text
 
 
+class Decoder:
+    """Texts of whole arrays of pieces: bytes are gathered from one table, no piece is touched on its own."""
+
+    def __init__(self, vocabulary: Vocabulary) -> None:
+        texts = [t or b"" for t in vocabulary.text_of]
+        self.size = np.array([len(t) for t in texts], np.int64)
+        self.start = np.cumsum(self.size) - self.size
+        self.data = np.frombuffer(b"".join(texts), np.uint8)
+
+    def decode(self, ids: np.ndarray, cuts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(bytes, start and end of each text) of the pieces between consecutive ``cuts``; a leading space is left out."""
+        size = self.size[ids]
+        upto = np.concatenate(([0], np.cumsum(size)))
+        place = np.arange(upto[-1]) + np.repeat(self.start[ids] - upto[:-1], size)
+        data = self.data[place]
+        start, end = upto[cuts[:-1]], upto[cuts[1:]]
+        some = np.flatnonzero(end > start)
+        start[some] += data[start[some]] == ord(" ")
+        return data, start, end
+
+
+def _same(data: np.ndarray, start: np.ndarray, end: np.ndarray, texts: pa.Array) -> np.ndarray:
+    """Whether each decoded text is, byte for byte, the text of the column."""
+    held, offsets = text_bytes(texts)
+    raw, own = data.tobytes(), held.tobytes()
+    ends = zip(start.tolist(), end.tolist(), offsets[:-1].tolist(), offsets[1:].tolist())
+    return np.fromiter((raw[a:b] == own[c:d] for a, b, c, d in ends), bool, len(start))
+
+
 SEGMENTATIONS = ArrayType(StructType([StructField("score", DoubleType()), StructField("ids", ArrayType(IntegerType()))]))
 
 
-def encode(docs: DataFrame, model: str = MODEL, n: int = N_BEST, name: str = "segmentations") -> DataFrame:
-    """``docs`` with its N best segmentations, best first, as a further column, which must be new."""
+def encode(
+    docs: DataFrame,
+    model: str = MODEL,
+    n: int = N_BEST,
+    name: str = "segmentations",
+    round_trip: str | None = None,
+    without: Sequence[str] = (),
+) -> DataFrame:
+    """``docs`` with its N best segmentations, best first, as a further column, which must be new.
+
+    ``round_trip`` names a further column that tells whether decoding the best
+    one gives the text back; columns named in ``without`` are not returned.
+    """
     small_batches(docs.sparkSession)
     vocabulary = Vocabulary.read(model)
+    kept = [f for f in docs.schema.fields if f.name not in without]
+    checked = [StructField(round_trip, BooleanType())] if round_trip else []
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lattice = Lattice(vocabulary, n)  # its memory of words ends with the task
+        lattice, decoder = Lattice(vocabulary, n), Decoder(vocabulary)  # the lattice's memory of words ends with the task
         for batch in batches:
-            found = lattice.encode_all([t or "" for t in batch.column("text").to_pylist()])
+            texts = batch.column("text")
+            found = lattice.encode_all([t or "" for t in texts.to_pylist()])
             flat = [x for f in found for x in f]
-            ids = pa.ListArray.from_arrays(
-                np.cumsum([0] + [len(x) // 4 for _, x in flat], dtype=np.int32),
-                pa.array(np.frombuffer(b"".join([x for _, x in flat]), np.int32)),
-            )
+            pieces = np.frombuffer(b"".join([x for _, x in flat]), np.int32)
+            cuts = np.cumsum([0] + [len(x) // 4 for _, x in flat])
+            ids = pa.ListArray.from_arrays(cuts.astype(np.int32), pa.array(pieces))
             scores = pa.array([s for s, _ in flat], pa.float64())
             each = pa.StructArray.from_arrays([scores, ids], ["score", "ids"])
-            column = pa.ListArray.from_arrays(np.cumsum([0] + [len(f) for f in found], dtype=np.int32), each)
-            yield pa.RecordBatch.from_arrays([*batch.columns, column], [*batch.schema.names, name])
+            firsts = np.cumsum([0] + [len(f) for f in found])
+            columns = [batch.column(f.name) for f in kept] + [pa.ListArray.from_arrays(firsts.astype(np.int32), each)]
+            if round_trip:
+                best = [f[0][1] for f in found]
+                ends = np.cumsum([0] + [len(x) // 4 for x in best])
+                decoded = decoder.decode(np.frombuffer(b"".join(best), np.int32), ends)
+                columns.append(pa.array(_same(*decoded, texts)))
+            yield pa.RecordBatch.from_arrays(columns, [f.name for f in kept] + [name] + [f.name for f in checked])
 
-    return docs.mapInArrow(rows, StructType([*docs.schema.fields, StructField(name, SEGMENTATIONS)]))
+    return docs.mapInArrow(rows, StructType([*kept, StructField(name, SEGMENTATIONS), *checked]))
 
 
 def decode(pieces: DataFrame, ids: str, model: str = MODEL, name: str = "decoded") -> DataFrame:
@@ -375,8 +425,17 @@ def decode(pieces: DataFrame, ids: str, model: str = MODEL, name: str = "decoded
     vocabulary = Vocabulary.read(model)
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        decoder = Decoder(vocabulary)
         for batch in batches:
-            texts = [None if x is None else decode_ids(vocabulary, x) for x in batch.column(ids).to_pylist()]
+            lists = batch.column(ids)
+            flat = lists.flatten().to_numpy(zero_copy_only=False)
+            cuts = np.concatenate(([0], np.cumsum(pc.fill_null(pc.list_value_length(lists), 0).to_numpy())))
+            data, start, end = decoder.decode(flat.astype(np.int64), cuts)
+            raw = data.tobytes()
+            texts = [
+                raw[a:b].decode("utf-8", "replace") if there else None
+                for a, b, there in zip(start.tolist(), end.tolist(), lists.is_valid().to_pylist())
+            ]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], [*batch.schema.names, name])
 
     return pieces.mapInArrow(rows, StructType([*pieces.schema.fields, StructField(name, StringType())]))

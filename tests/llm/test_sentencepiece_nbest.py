@@ -81,6 +81,25 @@ def test_query_on_whole_table(spark, vocabulary):
         assert decode_ids(vocabulary, r.ids) == texts[r.doc_id] and len(r.ids) == r.n_pieces
 
 
+def test_decoding_whole_arrays(spark, vocabulary):
+    model = sentencepiece.SentencePieceProcessor(model_file=MODEL)
+    texts = [t for t in ODD if t] + [r.text for r in spark.read.parquet(f"{SMALL}/documents.parquet").limit(30).collect()]
+    lists = [model.encode(t) for t in texts] + [[], [5], [vocabulary.byte_ids[0xC3]], [1, 2], [vocabulary.byte_ids[32]]]
+    df = spark.createDataFrame([(i, x) for i, x in enumerate([*lists, None])], "i int, ids array<int>")
+    got = [r.decoded for r in sentencepiece_nbest.decode(df, "ids").orderBy("i").collect()]
+    assert got == [decode_ids(vocabulary, x) for x in lists] + [None]
+
+
+def test_round_trip_is_told(spark, monkeypatch):
+    rows = [(i, t) for i, t in enumerate(ODD)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sentencepiece_nbest.encode(docs, round_trip="back", without=["text"])
+    assert got.columns == ["doc_id", "segmentations", "back"] and all(r.back for r in got.collect())
+    held = sentencepiece_nbest.pa.array(["ab", "a", None, ""])
+    data = np.frombuffer(b"abb", np.uint8)
+    assert sentencepiece_nbest._same(data, np.array([0, 2, 3, 3]), np.array([2, 3, 3, 3]), held).tolist() == [True, False, True, True]
+
+
 def test_decode_frames(spark):
     df = spark.createDataFrame([([1, 2],), ([],), (None,)], "ids array<int>")
     assert [r.decoded for r in sentencepiece_nbest.decode(df, "ids").collect()] == ["", "", None]
