@@ -38,7 +38,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from duecheck.llm import words
-from duecheck.llm.common import small_batches
+from duecheck.llm.common import settings
 from duecheck.sources.tables import stage, unstage
 
 STATES, CLASSES, ITERATIONS = 8, 4096, 4
@@ -53,6 +53,7 @@ WORD_PRIOR = 8.0
 _FIXED = float(1 << 20)
 _WORD_FIXED = float(1 << 10)
 _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+_ARROW_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 _BLOCK = "block string, doc_ids array<{id}>, train binary, sizes binary, tokens binary, vocabulary binary, counts binary"
 
@@ -485,15 +486,18 @@ def train(blocks: DataFrame, unigram: Unigram, states: int = STATES, iterations:
 
 def score_texts(docs: DataFrame, train_rows: Column, states: int = STATES, iterations: int = ITERATIONS) -> DataFrame:
     """doc_id, trained, n_tokens, n_known, train_tokens, base_score, score of every text."""
+    # shuffle files go when their table is stored; blocks are large rows, so few at once
+    with settings(docs.sparkSession, {_CLEANUP: "true", _ARROW_ROWS: "512"}):
+        return _score_texts(docs, train_rows, states, iterations)
+
+
+def _score_texts(docs: DataFrame, train_rows: Column, states: int, iterations: int) -> DataFrame:
     spark = docs.sparkSession
-    small_batches(spark)
-    before = spark.conf.get(_CLEANUP, "false")
-    spark.conf.set(_CLEANUP, "true")  # shuffle files go when their table is stored
     kind = docs.schema["doc_id"].dataType.simpleString()
     blocks = _blocks(docs, train_rows)
     asked, texts = blocks.agg(F.sum(F.length("vocabulary")) / 8, F.sum(F.size("doc_ids"))).first()
     ends = int(docs.where(train_rows).count()) if texts else 0
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2")
+    spark.conf.set(_ARROW_ROWS, "2")
     parts = max(1, int(-(-(asked or 0) // REQUESTS)))
     replies = stage(
         _requests(blocks, parts)
@@ -511,7 +515,6 @@ def score_texts(docs: DataFrame, train_rows: Column, states: int = STATES, itera
     unstage(blocks)
     unstage(replies)
     model, expected = train(known, unigram, states, iterations)
-    spark.conf.set(_CLEANUP, before)
 
     def run(block: pd.DataFrame, found: pd.DataFrame) -> pd.DataFrame:
         b = block.iloc[0]
@@ -529,7 +532,8 @@ def score_texts(docs: DataFrame, train_rows: Column, states: int = STATES, itera
             }
         )
 
-    return known.groupBy("block").cogroup(expected.groupBy("block")).applyInPandas(
+    scored = known.groupBy("block").cogroup(expected.groupBy("block")).applyInPandas(
         run,
         f"doc_id {kind}, trained boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double",
     )
+    return stage(scored, "scored-texts")

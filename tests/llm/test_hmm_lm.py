@@ -5,6 +5,8 @@ from collections import Counter
 from itertools import product
 
 import numpy as np
+import pytest
+from pyspark.sql import functions as F
 
 from duecheck.llm import hmm_lm, queries
 
@@ -125,3 +127,14 @@ def test_block_models_make_one_distribution():
     sums = [np.ones(3), np.ones(9), expected.sum(0) + end, end, (expected * share[:, None]).sum(0), [share.sum()]]
     model = hmm_lm.WordModel.from_sums(np.concatenate(sums), unigram, 3)
     assert np.allclose(model.hmm([expected[:20], expected[20:]], counts).emit.sum(0), 1)
+
+
+def test_the_session_is_left_as_it_was(spark):
+    names = [hmm_lm._CLEANUP, hmm_lm._ARROW_ROWS]
+    before = [spark.conf.get(n, None) for n in names]
+    docs = spark.createDataFrame([(1, "a b a"), (2, "b")], "doc_id long, text string")
+    assert hmm_lm.score_texts(docs, F.col("doc_id") > 0).count() == 2
+    assert [spark.conf.get(n, None) for n in names] == before
+    with pytest.raises(Exception):
+        hmm_lm.score_texts(docs.withColumn("text", F.raise_error(F.lit("lost"))), F.col("doc_id") > 0)
+    assert [spark.conf.get(n, None) for n in names] == before
