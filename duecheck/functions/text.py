@@ -10,12 +10,13 @@ RATE_PATTERN = r"billed at \$([0-9](?:[0-9.,]*[0-9])?)"
 DISCOUNT_PATTERN = r"promotional discount of ([0-9](?:[0-9.,]*[0-9])?)%"
 EXPIRY_PATTERN = r"valid only through ([0-9]{4}-[0-9]{2}-[0-9]{2})"
 MINIMUM_PATTERN = r"minimum monthly spend of \$([0-9](?:[0-9.,]*[0-9])?)"
+TERM_PATTERN = r"(?i)\b(?:runs from|term:) ([0-9]{4}-[0-9]{2}-[0-9]{2}) (?:to|through) ([0-9]{4}-[0-9]{2}-[0-9]{2})"
 AMOUNT_FORM = r"^(?:[0-9]{1,3}(?:,[0-9]{3})+|[0-9]+)(?:\.[0-9]+)?$"
 
 
-def capture(text: Column, pattern: str) -> Column:
-    """First capture group of the first match, NULL where nothing matches."""
-    return F.nullif(F.regexp_extract(text, pattern, 1), F.lit(""))
+def capture(text: Column, pattern: str, group: int = 1) -> Column:
+    """A capture group, by default the first, of the first match, NULL where nothing matches."""
+    return F.nullif(F.regexp_extract(text, pattern, group), F.lit(""))
 
 
 def try_date(text: Column) -> Column:

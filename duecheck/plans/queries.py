@@ -338,6 +338,14 @@ def d6_missing_charge_by_calendar(ws):
     return detect.missing_charges(ws["billing"], ws["terms"], corpus.MONTHS)
 
 
+@query
+def d6_missing_by_term(ws):
+    """Months of each account's own agreement, up to the last month that any account was billed in."""
+    span = ws["billing"].agg(F.min("month").alias("first"), F.max("month").alias("last")).first()
+    months = detect.contract_months(extract.contract_periods(ws["contracts"]), span["first"], span["last"])
+    return detect.missing_charges(ws["billing"], ws["terms"], months)
+
+
 @query
 def d7_minimum_shortfall(ws):
     return detect.minimum_shortfalls(ws["billing"], ws["meta"])

@@ -122,6 +122,7 @@ WHERE (customer_id, month, product) NOT IN (SELECT (customer_id, month, product)
     "d5_usage_baseline": """SELECT customer_id, product, avg(units) AS avg_units, count(*) AS n_months FROM billing GROUP BY ALL""",
     "d6_missing_charge": f"SELECT {CAND} FROM missing_charge",
     "d6_missing_charge_by_calendar": f"SELECT {CAND} FROM missing_by_calendar",
+    "d6_missing_by_term": f"SELECT {CAND} FROM missing_by_calendar",
     "d7_minimum_shortfall": f"SELECT {CAND} FROM minimum_leak",
     "d8_evidence": "SELECT extraction_method, customer_id, month, product, leak_type, evidence FROM candidates",
     "d9_detect_leaks": f"SELECT {CAND} FROM candidates",
