@@ -16,14 +16,12 @@ by weighted Jaccard similarity on the whole texts, linked at THRESHOLD or more,
 and classes are the connected components of the links.
 
 Buckets never emit all pairs. First each member meets the bucket's smallest one
-(a star), and the links found are closed to components. Where a bucket is still
-several components, its members meet the one with most links. Only pairs of
-unlike components are left then. Those outside a bucket's largest component are
-compared with its other members by their samples, in blocks of a bounded number
-of members. Of pairs that agree in LEAST_AGREED samples, the best of each
-outsider are verified first, and what they link is joined; the last round
-verifies all pairs that still lie in unlike components. There is no cap on
-partners or buckets.
+(a star), and the links found are closed to components. Only pairs of unlike
+components are left then, in buckets that are several. Those outside a bucket's
+largest component visit its other members, in blocks of a bounded number. There,
+pairs that agree in LEAST_AGREED samples are verified on the spot, the best
+first, until one links the two components; only links leave a block. There is no
+cap on partners or buckets.
 
 Defined results: texts without words, null and empty ones among them, are
 copies if their characters are equal. Repeated rows are copies. The smallest
@@ -50,8 +48,6 @@ BUCKET_BITS = 18
 #: Of SAMPLES. A pair at THRESHOLD agrees in fewer with a probability of 2 in 10,000; bands miss it in 17 of 10,000.
 LEAST_AGREED = 52
 BLOCK_ROWS = 1024
-#: Of an outsider of a bucket, in one block: how many of its best pairs are verified, round by round; at last all.
-PARTNERS = (2, 16, None)
 IDF_SHARE = 0.25
 _SLICE = 1024
 _MIX = (np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB))
@@ -232,48 +228,78 @@ def _signed(texts: DataFrame, idf) -> DataFrame:
     return texts.select("row", "text").mapInArrow(sign, "row long, keys array<long>, sketch binary")
 
 
-def _agreeing(groups: DataFrame, most: int | None) -> DataFrame:
-    """Pairs that agree in LEAST_AGREED samples: of each outsider and its ``most`` best partners in one block.
+def _read(text: str | None, idf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted distinct shingles of one text and their weights."""
+    raw = np.frombuffer((text or "").encode(), np.uint8)
+    hashed, whose, _ = shingles(raw, np.array([0, len(raw)]))
+    h, _, w = weighted(hashed, whose, idf)
+    return h, w
 
-    A group (key, block) holds the block's own members, and all outsiders of the
-    bucket (``visits``), which meet those members that belong to another component.
+
+def _crossing(groups: DataFrame, idf) -> DataFrame:
+    """Verified links (a, b, s) from outsiders to other components, within sorted groups of bounded size.
+
+    A group holds members of one block of a bucket, and outsiders that visit it.
+    An outsider is verified against all members of other components that agree
+    with it in LEAST_AGREED samples, the best first, until one of a component is
+    linked; the others of that component are then no news.
     """
 
-    def pairs(component: np.ndarray, row: np.ndarray, main: np.ndarray, visits: np.ndarray, sketch: np.ndarray) -> Iterator[tuple]:
+    def links(component, row, main, visits, sketch, texts) -> Iterator[tuple]:
+        known: dict[int, tuple] = {}
+
+        def profile(i: int) -> tuple[np.ndarray, np.ndarray, float]:
+            if i not in known:
+                h, w = _read(texts[i], idf.value)
+                known[i] = h, w, float(w.sum())
+            return known[i]
+
         home = ~visits
         for i in np.flatnonzero(visits):
             # two outsiders meet in both their blocks; the smaller one asks
             other = np.flatnonzero(home & (component != component[i]) & (main | (row > row[i])))
             agreed = (sketch[other] == sketch[i]).sum(1)
-            best = np.lexsort((row[other], -agreed))[:most]
-            near = other[best[agreed[best] >= LEAST_AGREED]]
-            yield from ((min(row[i], row[j]), max(row[i], row[j])) for j in near)
+            other, agreed = other[agreed >= LEAST_AGREED], agreed[agreed >= LEAST_AGREED]
+            linked: set[int] = set()
+            for j in other[np.lexsort((row[other], -agreed))]:
+                if component[j] in linked:
+                    continue
+                (h, w, weight), (h2, w2, weight2) = profile(i), profile(j)
+                if min(weight, weight2) < (THRESHOLD - 1e-9) * max(weight, weight2):
+                    continue  # lengths alone keep them apart
+                s = similarity((h, w), (h2, w2))
+                if s >= THRESHOLD:
+                    linked.add(component[j])
+                    yield min(row[i], row[j]), max(row[i], row[j]), s
+
+    names = ("key", "block", "part")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
 
         def flush(whole: pa.Table) -> pa.RecordBatch:
-            key, block, component, row, main, visits = (
-                whole.column(c).to_numpy() for c in ("key", "block", "component", "row", "main", "visits")
+            key, block, part, component, row, main, visits = (
+                whole.column(c).to_numpy() for c in (*names, "component", "row", "main", "visits")
             )
             sketch = np.frombuffer(b"".join(whole.column("sketch").to_pylist()), "<u2").reshape(-1, SAMPLES)
-            new = np.concatenate(([True], (key[1:] != key[:-1]) | (block[1:] != block[:-1])))
+            texts = whole.column("text").to_pylist()
+            new = np.concatenate(([True], (key[1:] != key[:-1]) | (block[1:] != block[:-1]) | (part[1:] != part[:-1])))
             at = np.append(np.flatnonzero(new), len(key))
             found: list[tuple] = []
             for low, high in zip(at, at[1:]):
-                part = slice(low, high)
-                found += pairs(component[part], row[part], main[part].astype(bool), visits[part].astype(bool), sketch[part])
-            a, b = np.array(found, np.int64).reshape(-1, 2).T
-            return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
+                cut = slice(low, high)
+                found += links(component[cut], row[cut], main[cut].astype(bool), visits[cut].astype(bool), sketch[cut], texts[cut])
+            a, b, s = zip(*found) if found else ([], [], [])
+            return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(s, pa.float64())], ["a", "b", "s"])
 
         for batch in batches:
             if not batch.num_rows:
                 continue
             held.append(batch)
-            last = [batch.column(c)[-1].as_py() for c in ("key", "block")]
+            last = [batch.column(c)[-1].as_py() for c in names]
             whole = pa.Table.from_batches(held)
             open_ = np.ones(whole.num_rows, bool)
-            for c, v in zip(("key", "block"), last):
+            for c, v in zip(names, last):
                 open_ &= whole.column(c).to_numpy() == v
             if not open_.all():
                 yield flush(whole.filter(pa.array(~open_)))
@@ -281,31 +307,41 @@ def _agreeing(groups: DataFrame, most: int | None) -> DataFrame:
         if held:
             yield flush(pa.Table.from_batches(held))
 
-    return groups.mapInArrow(run, "a long, b long")
+    return groups.mapInArrow(run, "a long, b long, s double")
 
 
-def _apart(several: DataFrame, signed: DataFrame, most: int | None) -> DataFrame:
-    """Pairs of unlike components, within the buckets that hold several, that their samples call near.
+def _links_across(several: DataFrame, signed: DataFrame, texts: DataFrame, idf, everywhere: bool, name: str) -> DataFrame:
+    """Verified links between unlike components within the buckets that hold several.
 
     Members lie in blocks of about BLOCK_ROWS. Those of the bucket's largest
-    component stay in theirs; only outsiders visit all blocks.
+    component stay in theirs; outsiders, in blocks of their own, visit all
+    blocks, or at first only the one they are members of.
     """
     sizes = several.groupBy("key", "component").agg(F.count("*").alias("n"))
     largest = sizes.groupBy("key").agg(
-        F.sum("n").alias("n"), F.max(F.struct("n", (-F.col("component")).alias("minus")))["minus"].alias("minus")
+        F.sum("n").alias("n"), F.max(F.struct("n", (-F.col("component")).alias("minus"))).alias("main")
     )
-    blocks = F.ceil(F.col("n") / BLOCK_ROWS).cast("int")
+    blocks, parts = (F.greatest(F.lit(1), F.ceil(n / BLOCK_ROWS)).cast("int") for n in (F.col("n"), F.col("n") - F.col("main.n")))
+    ids = stage(several.select(F.col("row").alias("wanted")).distinct(), f"{name}-ids")
+    maybe, _ = split_by(texts.select("row", "text"), F.col("row"), ids, "wanted")
     members = (
-        several.join(largest.select("key", blocks.alias("blocks"), (-F.col("minus")).alias("largest")), "key")
+        several.join(largest.select("key", blocks.alias("blocks"), parts.alias("parts"), (-F.col("main.minus")).alias("largest")), "key")
         .join(signed.select("row", "sketch"), "row")
+        .join(maybe, "row")
         .withColumn("main", F.col("component") == F.col("largest"))
     )
-    at_home = members.withColumn("block", F.pmod(F.xxhash64("row"), "blocks").cast("int")).withColumn("visits", F.lit(False))
-    abroad = members.where(~F.col("main")).withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    each = at_home.unionByName(abroad.withColumn("visits", F.lit(True)))
-    rows = each.select("key", "block", "row", "component", "main", "visits", "sketch")
-    groups = rows.repartition("key", "block").sortWithinPartitions("key", "block", "row")
-    return _agreeing(groups, most).distinct()
+    own_block, own_part = (F.pmod(F.xxhash64("row"), c).cast("int") for c in ("blocks", "parts"))
+    all_of = lambda c: F.explode(F.sequence(F.lit(0), F.col(c) - 1))
+    at_home = members.withColumn("block", own_block)
+    abroad = members.where(~F.col("main")).withColumn("block", all_of("blocks") if everywhere else own_block)
+    each = (
+        at_home.withColumn("part", all_of("parts"))
+        .withColumn("visits", F.lit(False))
+        .unionByName(abroad.withColumn("part", own_part).withColumn("visits", F.lit(True)))
+    )
+    rows = each.select("key", "block", "part", "row", "component", "main", "visits", "sketch", "text")
+    groups = rows.repartition("key", "block", "part").sortWithinPartitions("key", "block", "part", "row")
+    return stage(_crossing(groups, idf).distinct(), name)
 
 
 def _verified(pairs: DataFrame, texts: DataFrame, idf, name: str) -> DataFrame:
@@ -314,11 +350,7 @@ def _verified(pairs: DataFrame, texts: DataFrame, idf, name: str) -> DataFrame:
     maybe, _ = split_by(texts, F.col("row"), ids, "wanted")
     texts = stage(maybe.select("row", "text"), f"{name}-texts")
 
-    def read(text: str) -> tuple[np.ndarray, np.ndarray]:
-        raw = np.frombuffer((text or "").encode(), np.uint8)
-        hashed, whose, _ = shingles(raw, np.array([0, len(raw)]))
-        h, _, w = weighted(hashed, whose, idf.value)
-        return h, w
+    read = lambda text: _read(text, idf.value)
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         centre, known = None, None
@@ -360,8 +392,8 @@ def components(links: DataFrame) -> DataFrame:
     return edges.select(F.col("u").alias("row"), F.col("v").alias("component")).unionByName(roots)
 
 
-def near_links(texts: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(profiles of all documents, first row of each word sequence, verified links between those rows)."""
+def near_classes(texts: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(profiles of all documents, first row of each word sequence, components of the verified links between those rows)."""
     spark = texts.sparkSession
     small_batches(spark, 256)
     found = _profile(texts)
@@ -379,39 +411,28 @@ def near_links(texts: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     star = met.where("row <> hub").select(F.col("hub").alias("a"), F.col("row").alias("b")).distinct()
     tested = _verified(star, texts, idf, "star-links")
 
-    # Again with the member that has most links in the middle, where a bucket is not one component yet.
-    marked, several = _components_of(met, tested)
+    # What is still apart is compared by its samples and verified: outsiders first with the block they are members of,
+    # where a bucket has several, then with all blocks. Nothing is left to compare after that.
     links = tested.where(F.col("s") >= THRESHOLD)
-    degree = links.select(F.explode(F.array("a", "b")).alias("row")).groupBy("row").agg(F.count("*").alias("degree"))
-    graded = several.join(degree, "row", "left").withColumn("degree", F.coalesce("degree", F.lit(0)))
-    centre = graded.groupBy("key").agg(F.max(F.struct("degree", (-F.col("row")).alias("minus_row"), "component")).alias("c"))
-    again = (
-        several.join(centre, "key")
-        .where("component <> c.component")
-        .select(F.least(-F.col("c.minus_row"), "row").alias("a"), F.greatest(-F.col("c.minus_row"), "row").alias("b"))
-        .distinct()
-        .join(tested.select("a", "b"), ["a", "b"], "left_anti")
-    )
-    tested = tested.unionByName(_verified(stage(again, "centre-pairs"), texts, idf, "centre-links"))
-
-    # What is still apart is compared by its samples. Each round verifies the best pairs of each outsider and joins
-    # what they link, so that the last round, which takes all pairs, meets only what no better pair has linked.
-    for turn, most in enumerate(PARTNERS):
-        _, several = _components_of(met, tested)
+    near, several = _components_of(met, links)
+    large = several.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > BLOCK_ROWS)
+    for everywhere in [True] if large.isEmpty() else [False, True]:
         if several.isEmpty():
             break
-        apart = _apart(several, signed, most).join(tested.select("a", "b"), ["a", "b"], "left_anti")
-        tested = tested.unionByName(_verified(stage(apart, f"open-pairs-{turn}"), texts, idf, f"open-links-{turn}"))
-    return rows, firsts, tested.where(F.col("s") >= THRESHOLD)
+        new = _links_across(several, signed, texts, idf, everywhere, "links-across")
+        if not new.isEmpty():
+            links = links.unionByName(new)
+            near, several = _components_of(met, links)
+    return rows, firsts, near
 
 
-def _components_of(met: DataFrame, tested: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(bucket members with their components so far, those of buckets with several components)."""
-    near = components(tested.where(F.col("s") >= THRESHOLD))
+def _components_of(met: DataFrame, links: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(components of all linked rows so far, members of buckets with several components)."""
+    near = components(links)
     marked = met.join(near, "row", "left").withColumn("component", F.coalesce("component", "row")).drop("hub")
     marked = stage(marked, "marked-buckets")
     ends = marked.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high"))
-    return marked, stage(marked.join(ends.where("low <> high").select("key"), "key"), "open-buckets")
+    return near, stage(marked.join(ends.where("low <> high").select("key"), "key"), "open-buckets")
 
 
 def near_dedup(docs: DataFrame) -> DataFrame:
@@ -420,8 +441,8 @@ def near_dedup(docs: DataFrame) -> DataFrame:
 
 
 def _near_dedup(texts: DataFrame) -> DataFrame:
-    rows, firsts, links = near_links(texts)
-    near = components(links).withColumnRenamed("row", "first")
+    rows, firsts, near = near_classes(texts)
+    near = near.withColumnRenamed("row", "first")
     named = (
         rows.join(firsts.select("fp1", "fp2", "first"), ["fp1", "fp2"])
         .join(near, "first", "left")
