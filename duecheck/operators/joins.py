@@ -9,6 +9,9 @@ from pyspark.sql import functions as F
 # HOT_SHARE keys can do so, which bounds what is broadcast.
 HOT_SHARE = 1000
 
+# Slots of hashed keys that are counted before any key is.
+HOT_SLOTS = 1 << 16
+
 # Largest estimated size of a side that is broadcast.
 BROADCAST_BYTES = 10 * 1024 * 1024
 
@@ -33,11 +36,20 @@ def fits_broadcast(*tables: DataFrame) -> bool:
 def hot_keys(df: DataFrame, keys: Sequence[str], share: int = HOT_SHARE) -> DataFrame:
     """Keys that hold more than 1/share of the rows, with the pieces to cut them into.
 
-    Counts are combined before the shuffle; at most ``share`` rows come out.
+    Rows are counted per slot of a hash of the key first. A hot key makes its
+    slot hot, so keys are counted in hot slots only; without any, nothing but
+    the counts of HOT_SLOTS slots is shuffled. At most ``share`` rows come out.
     """
-    counted = df.groupBy(*keys).agg(F.count("*").alias("_n"))
-    counts = counted.dropna(subset=list(keys))
-    total = counted.agg(F.sum("_n")).scalar()
+    slotted = df.withColumn("_slot", F.pmod(F.xxhash64(*keys), F.lit(HOT_SLOTS)))
+    slots = slotted.groupBy("_slot").agg(F.count("*").alias("_n"))
+    total = slots.agg(F.sum("_n")).scalar()
+    hot_slots = slots.where(F.col("_n") * share > total).select("_slot")
+    counts = (
+        slotted.dropna(subset=list(keys))
+        .join(F.broadcast(hot_slots), "_slot", "left_semi")
+        .groupBy(*keys)
+        .agg(F.count("*").alias("_n"))
+    )
     pieces = F.ceil(F.col("_n") * share / total).cast("int").alias("_pieces")
     return counts.where(F.col("_n") * share > total).select(*keys, pieces)
 
