@@ -74,8 +74,8 @@ def _records(spark: SparkSession, path: str, pattern: str | None) -> DataFrame:
     A line starts a record if the quotes before it in its file pair up. Whether
     they do at the start of a block follows from a running sum over the counts
     of the blocks, one small row each; within the block, from a running sum over
-    its lines. Records are put together in their block. Only the last one of
-    each block moves, to meet the lines that continue it in later blocks.
+    its lines. Records are put together in their block and stored. Only the last
+    one of each block moves, to meet the lines that continue it in later blocks.
     """
     lines = _numbered_lines(spark, path, pattern)
     upto = (Window.unboundedPreceding, -1)
@@ -92,21 +92,25 @@ def _records(spark: SparkSession, path: str, pattern: str | None) -> DataFrame:
         .withColumn("record", F.sum(F.col("starts").cast("int")).over(in_block))
     )
     together = lambda rows: F.array_join(F.transform(F.array_sort(rows), lambda x: x["text"]), "\n")
-    inside = (
-        marked.groupBy("file", "block", "record")
-        .agg(together(F.collect_list(F.struct("place", F.col("line").alias("text")))).alias("text"))
-        .withColumn("last", F.max("record").over(Window.partitionBy("file", "block")))
+    inside = stage(
+        marked.groupBy("file", "block", "record").agg(
+            together(F.collect_list(F.struct("place", F.col("line").alias("text")))).alias("text")
+        ),
+        "csv-records",
     )
+    # One row per block, and numbers only: the stored records are not sorted once more to find the last.
+    lasts = F.broadcast(inside.groupBy("file", "block").agg(F.max("record").alias("last")))
+    placed = inside.join(lasts, ["file", "block"])
     moves = (F.col("record") == F.col("last")) | (F.col("record") == 0)
     owner = F.max(F.when(F.col("record") > 0, F.col("block"))).over(Window.partitionBy("file").orderBy("block", "record"))
     moved = (
-        inside.where(moves)
+        placed.where(moves)
         .withColumn("owner", owner)
         .groupBy("file", "owner")
         .agg(together(F.collect_list(F.struct("block", "record", "text"))).alias("text"), F.max("record").alias("record"))
         .select(F.col("owner").alias("block"), "record", "text")
     )
-    found = inside.where(~moves).select("block", "record", "text").unionByName(moved)
+    found = placed.where(~moves).select("block", "record", "text").unionByName(moved)
     return found.where("not (block = 0 and record = 1)").select(F.regexp_replace("text", r"\r\z", "").alias("text"))
 
 

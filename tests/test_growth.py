@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from duecheck.operators import detect
 from duecheck.operators.joins import HOT_SLOTS, hot_join, hot_keys
 from duecheck.plans import corpus
+from duecheck.sources import csv
 
 
 def plan(df) -> str:
@@ -55,3 +56,11 @@ def test_invoice_lines_are_spelled_out_in_compiled_code(ws):
     """Lines become rows first; before, each was formatted inside a lambda."""
     text = plan(corpus.billing(ws["account_months"]))
     assert "format_string" not in text and "transform(" not in text
+
+
+def test_records_are_put_together_once(ws, tmp_path):
+    """Before, all lines were sorted and collected again for the few records that move between blocks."""
+    csv.write_csv(ws["contracts"], str(tmp_path / "c"))
+    read = csv.read_contracts(ws.spark, str(tmp_path / "c"))
+    assert "collect_list(struct(place" not in plan(read)
+    assert read.exceptAll(ws["contracts"]).isEmpty() and ws["contracts"].exceptAll(read).isEmpty()
