@@ -46,7 +46,7 @@ UNSEEN, END = CLASSES, CLASSES + 1
 KINDS = CLASSES + 2
 BLOCK_TOKENS = 1 << 21
 REQUESTS = 1 << 20
-SEGMENT, CHUNK, TOGETHER = 128, 256, 4096
+SEGMENT, CHUNK, TOGETHER = 128, 256, 2048
 ADDED = 0.1
 PRIOR_TOKENS = 500.0
 WORD_PRIOR = 8.0
@@ -54,6 +54,13 @@ _FIXED = float(1 << 20)
 _WORD_FIXED = float(1 << 10)
 _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 _ARROW_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
+_READ_ROWS = "spark.sql.parquet.columnarReaderBatchSize"
+
+# Blocks are rows of megabytes: a row group ends after the first that fills it, not after 100 rows.
+_ROW_GROUPS = {
+    "parquet.block.size": str(8 << 20),
+    "parquet.page.size.row.check.min": "1",
+}
 
 _BLOCK = "block string, doc_ids array<{id}>, train binary, sizes binary, tokens binary, vocabulary binary, counts binary"
 
@@ -115,7 +122,7 @@ def _blocks(docs: DataFrame, train: Column) -> DataFrame:
             yield block(held)
 
     texts = docs.select("doc_id", "text", F.coalesce(train, F.lit(False)).alias("train"))
-    return stage(texts.mapInArrow(run, _BLOCK.format(id=kind)), "token-blocks")
+    return stage(texts.mapInArrow(run, _BLOCK.format(id=kind)), "token-blocks", _ROW_GROUPS)
 
 
 def _class(keys: np.ndarray) -> np.ndarray:
@@ -226,7 +233,7 @@ def _known_blocks(blocks: DataFrame, replies: DataFrame, unigram: Unigram, kind:
         "tokens binary, classes binary, counts binary, places array<binary>"
     )
     joined = blocks.groupBy("block").cogroup(replies.groupBy("block")).applyInPandas(run, schema)
-    return stage(joined, "word-blocks")
+    return stage(joined, "word-blocks", _ROW_GROUPS)
 
 
 @dataclass
@@ -323,16 +330,20 @@ def _steps(tokens: np.ndarray, starts: np.ndarray, sizes: np.ndarray):
 def expected_counts(model: Hmm, tokens: np.ndarray, starts: np.ndarray, sizes: np.ndarray):
     """Baum-Welch: expected starts, moves and emissions of the sequences, and their log likelihood."""
     kinds, states = model.emit.shape
-    first, move, emit = np.zeros(states), np.zeros((states, states)), np.zeros((kinds, states))
+    first, move, emit = np.zeros(states), np.zeros((states, states)), np.zeros((states, kinds))
     logs = 0.0
     for low in range(0, len(starts), TOGETHER):
         _, steps = _steps(tokens, starts[low : low + TOGETHER], sizes[low : low + TOGETHER])
-        alphas, scales = [], []
+        if not steps:
+            continue
+        ends = np.cumsum([len(seen) for seen in steps])
+        post = np.empty((int(ends[-1]), states))
+        alphas, scales = np.split(post, ends[:-1]), []  # views
         for t, seen in enumerate(steps):
-            prior = alphas[-1][: len(seen)] @ model.move if t else model.start[None, :]
-            a = prior * model.emit[seen]
-            scale = a.sum(1, keepdims=True)
-            alphas.append(a / scale)
+            prior = alphas[t - 1][: len(seen)] @ model.move if t else model.start[None, :]
+            np.multiply(prior, model.emit[seen], out=alphas[t])
+            scale = alphas[t].sum(1, keepdims=True)
+            alphas[t] /= scale
             scales.append(scale)
             logs += float(np.log(scale).sum())
         beta = np.ones((0, states))
@@ -346,12 +357,12 @@ def expected_counts(model: Hmm, tokens: np.ndarray, starts: np.ndarray, sizes: n
                 full[:m] = ahead @ model.move.T
             beta = full
             alphas[t] *= beta  # from here on the posterior
-        first += alphas[0].sum(0) if alphas else 0
-        seen, post = np.concatenate(steps), np.concatenate(alphas)
-        del alphas
+        first += alphas[0].sum(0)
+        seen = np.concatenate(steps)
         for s in range(states):
-            emit[:, s] += np.bincount(seen, post[:, s], kinds)
-    return first, move * model.move, emit, logs
+            emit[s] += np.bincount(seen, post[:, s], kinds)
+        del post, alphas  # before the next ones are made
+    return first, move * model.move, emit.T, logs
 
 
 def _runs(sizes: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -472,7 +483,7 @@ def train(blocks: DataFrame, unigram: Unigram, states: int = STATES, iterations:
         summed = expected.groupBy("part").applyInPandas(
             lambda pdf: _summed(pdf, states), "block string, part int, found binary, sums array<long>"
         )
-        summed = stage(summed, "expected-counts")
+        summed = stage(summed, "expected-counts", _ROW_GROUPS)
         places = summed.where("sums is not null").select(F.posexplode("sums").alias("place", "amount"))
         found = places.groupBy("place").agg(F.sum("amount").alias("amount")).toPandas()
         sums = np.zeros(4 * states + states * states + 1)
@@ -487,7 +498,7 @@ def train(blocks: DataFrame, unigram: Unigram, states: int = STATES, iterations:
 def score_texts(docs: DataFrame, train_rows: Column, states: int = STATES, iterations: int = ITERATIONS) -> DataFrame:
     """doc_id, trained, n_tokens, n_known, train_tokens, base_score, score of every text."""
     # shuffle files go when their table is stored; blocks are large rows, so few at once
-    with settings(docs.sparkSession, {_CLEANUP: "true", _ARROW_ROWS: "512"}):
+    with settings(docs.sparkSession, {_CLEANUP: "true", _ARROW_ROWS: "512", _READ_ROWS: "512"}):
         return _score_texts(docs, train_rows, states, iterations)
 
 
@@ -498,12 +509,14 @@ def _score_texts(docs: DataFrame, train_rows: Column, states: int, iterations: i
     asked, texts = blocks.agg(F.sum(F.length("vocabulary")) / 8, F.sum(F.size("doc_ids"))).first()
     ends = int(docs.where(train_rows).count()) if texts else 0
     spark.conf.set(_ARROW_ROWS, "2")
+    spark.conf.set(_READ_ROWS, "2")
     parts = max(1, int(-(-(asked or 0) // REQUESTS)))
     replies = stage(
         _requests(blocks, parts)
         .groupBy("part")
         .applyInPandas(_answer, "block string, part int, found binary, places binary, sums array<long>"),
         "word-counts",
+        _ROW_GROUPS,
     )
     sums = replies.where("sums is not null").select(F.posexplode("sums").alias("place", "amount"))
     found = sums.groupBy("place").agg(F.sum("amount").alias("amount")).toPandas()

@@ -2,7 +2,7 @@
 
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Iterator, Mapping
 from contextlib import contextmanager
 from contextvars import ContextVar
 
@@ -47,15 +47,16 @@ def drop_tables(spark: SparkSession, folders: list[str]) -> None:
         fs.delete(made(folder), True)
 
 
-def stage(df: DataFrame, name: str) -> DataFrame:
+def stage(df: DataFrame, name: str, options: Mapping[str, str] | None = None) -> DataFrame:
     """Write ``df`` once to the shared folder and return the stored table.
 
     Cuts the lineage: a lost executor costs a re-read, not a recomputation.
+    ``options`` go to the Parquet writer.
     """
     spark = df.sparkSession
     run = f"{name}-{spark.sparkContext.applicationId}-{uuid.uuid4().hex[:8]}"
     path = f"{scratch_dir(spark)}/tables/{run}"
-    df.write.parquet(path)
+    df.write.options(**(options or {})).parquet(path)
     if _NOTED.get() is not None:
         _NOTED.get().append(path)
     return spark.read.schema(df.schema).parquet(path)

@@ -1,14 +1,18 @@
 import math
+import os
 import re
+import tracemalloc
 import zlib
 from collections import Counter
 from itertools import product
 
 import numpy as np
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
 from duecheck.llm import hmm_lm, queries
+from duecheck.sources.tables import noted
 
 SMALL = "/root/testdata/sf0.01"
 
@@ -138,3 +142,32 @@ def test_the_session_is_left_as_it_was(spark):
     with pytest.raises(Exception):
         hmm_lm.score_texts(docs.withColumn("text", F.raise_error(F.lit("lost"))), F.col("doc_id") > 0)
     assert [spark.conf.get(n, None) for n in names] == before
+
+
+def test_training_holds_one_posterior_of_few_segments():
+    """Before, posteriors were held twice, of twice as many segments at once."""
+    model, rng = small_model(8), np.random.default_rng(7)
+    count, long = 4096, hmm_lm.SEGMENT
+    tokens = rng.integers(0, hmm_lm.KINDS, count * long).astype("<u4")
+    starts, sizes = np.arange(count) * long, np.full(count, long)
+    tracemalloc.start()
+    *_, emit, _ = hmm_lm.expected_counts(model, tokens, starts, sizes)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert np.allclose(emit.sum(1), np.bincount(tokens, minlength=hmm_lm.KINDS))
+    assert peak < 0.9 * len(tokens) * 8 * 8  # less than the posteriors of all of them
+
+
+def test_blocks_lie_in_row_groups_of_their_own(spark, monkeypatch):
+    """Before, a writer kept up to 100 blocks, and a reader took a whole file of them into one batch."""
+    monkeypatch.setattr(hmm_lm, "BLOCK_TOKENS", 1)
+    monkeypatch.setitem(hmm_lm._ROW_GROUPS, "parquet.block.size", "1")
+    docs = spark.range(0, 6, 1, 1).select(F.col("id").alias("doc_id"), F.lit("a b c").alias("text"))
+    before = spark.conf.get(hmm_lm._ARROW_ROWS)
+    spark.conf.set(hmm_lm._ARROW_ROWS, "1")
+    with noted() as folders:
+        hmm_lm._blocks(docs, F.lit(True))
+    spark.conf.set(hmm_lm._ARROW_ROWS, before)
+    folder = folders[0].removeprefix("file:")
+    files = [pq.ParquetFile(f"{folder}/{f}") for f in os.listdir(folder) if f.endswith(".parquet")]
+    assert sum(f.metadata.num_rows for f in files) == 6 == sum(f.metadata.num_row_groups for f in files)
