@@ -16,12 +16,13 @@ by weighted Jaccard similarity on the whole texts, linked at THRESHOLD or more,
 and classes are the connected components of the links.
 
 Buckets never emit all pairs. First each member meets the bucket's smallest one
-(a star), and the links found are closed to components. Only pairs of unlike
+(a star), and the links found are closed to components, by contraction within
+tasks and pointer jumping between them. Only pairs of unlike
 components are left then, in buckets that are several. Those outside a bucket's
 largest component visit its other members, in blocks of a bounded number. There,
 pairs that agree in LEAST_AGREED samples are verified on the spot, the best
-first, until one links the two components; only links leave a block. There is no
-cap on partners or buckets.
+first, until one links the two components; only the pairs of components linked
+leave a block. There is no cap on partners or buckets.
 
 Defined results: texts without words, null and empty ones among them, are
 copies if their characters are equal. Repeated rows are copies. The smallest
@@ -48,6 +49,8 @@ BUCKET_BITS = 18
 #: Of SAMPLES. A pair at THRESHOLD agrees in fewer with a probability of 2 in 10,000; bands miss it in 17 of 10,000.
 LEAST_AGREED = 52
 BLOCK_ROWS = 1024
+#: Edges that a task contracts at once.
+EDGES = 1 << 20
 IDF_SHARE = 0.25
 _SLICE = 1024
 _MIX = (np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB))
@@ -237,7 +240,7 @@ def _read(text: str | None, idf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _crossing(groups: DataFrame, idf) -> DataFrame:
-    """Verified links (a, b, s) from outsiders to other components, within sorted groups of bounded size.
+    """Components (a, b) joined by a verified link of outsiders to others, within sorted groups of bounded size.
 
     A group holds members of one block of a bucket, and outsiders that visit it.
     An outsider is verified against all members of other components that agree
@@ -270,7 +273,7 @@ def _crossing(groups: DataFrame, idf) -> DataFrame:
                 s = similarity((h, w), (h2, w2))
                 if s >= THRESHOLD:
                     linked.add(component[j])
-                    yield min(row[i], row[j]), max(row[i], row[j]), s
+                    yield component[i], component[j]
 
     names = ("key", "block", "part")
 
@@ -289,8 +292,8 @@ def _crossing(groups: DataFrame, idf) -> DataFrame:
             for low, high in zip(at, at[1:]):
                 cut = slice(low, high)
                 found += links(component[cut], row[cut], main[cut].astype(bool), visits[cut].astype(bool), sketch[cut], texts[cut])
-            a, b, s = zip(*found) if found else ([], [], [])
-            return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(s, pa.float64())], ["a", "b", "s"])
+            a, b = zip(*found) if found else ([], [])
+            return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
         for batch in batches:
             if not batch.num_rows:
@@ -307,47 +310,56 @@ def _crossing(groups: DataFrame, idf) -> DataFrame:
         if held:
             yield flush(pa.Table.from_batches(held))
 
-    return groups.mapInArrow(run, "a long, b long, s double")
+    return groups.mapInArrow(run, "a long, b long")
 
 
-def _links_across(several: DataFrame, signed: DataFrame, texts: DataFrame, idf, everywhere: bool, name: str) -> DataFrame:
-    """Verified links between unlike components within the buckets that hold several.
+def _shapes(several: DataFrame) -> DataFrame:
+    """(key, largest, n, outside, blocks, parts) of each bucket: its largest component, members, outsiders, and blocks of both."""
+    sizes = several.groupBy("key", "component").agg(F.count("*").alias("n"))
+    largest = sizes.groupBy("key").agg(
+        F.sum("n").alias("n"), F.max(F.struct("n", (-F.col("component")).alias("minus"))).alias("main")
+    )
+    outside = F.col("n") - F.col("main.n")
+    blocks, parts = (F.greatest(F.lit(1), F.ceil(n / BLOCK_ROWS)).cast("int") for n in (F.col("n"), outside))
+    shaped = largest.select(
+        "key", (-F.col("main.minus")).alias("largest"), "n", outside.alias("outside"), blocks.alias("blocks"), parts.alias("parts")
+    )
+    return stage(shaped, "bucket-shapes")
+
+
+def _links_across(
+    several: DataFrame, shapes: DataFrame, signed: DataFrame, texts: DataFrame, idf, everywhere: bool, name: str
+) -> DataFrame:
+    """Pairs of unlike components that a verified link joins, within the buckets that hold several.
 
     Members lie in blocks of about BLOCK_ROWS. Those of the bucket's largest
     component stay in theirs; outsiders, in blocks of their own, visit all
     blocks, or at first only the one they are members of.
     """
-    sizes = several.groupBy("key", "component").agg(F.count("*").alias("n"))
-    largest = sizes.groupBy("key").agg(
-        F.sum("n").alias("n"), F.max(F.struct("n", (-F.col("component")).alias("minus"))).alias("main")
-    )
-    blocks, parts = (F.greatest(F.lit(1), F.ceil(n / BLOCK_ROWS)).cast("int") for n in (F.col("n"), F.col("n") - F.col("main.n")))
-    ids = stage(several.select(F.col("row").alias("wanted")).distinct(), f"{name}-ids")
-    maybe, _ = split_by(texts.select("row", "text"), F.col("row"), ids, "wanted")
+    maybe, _ = split_by(texts.select("row", "text"), F.col("row"), several.select(F.col("row").alias("wanted")), "wanted")
     members = (
-        several.join(largest.select("key", blocks.alias("blocks"), parts.alias("parts"), (-F.col("main.minus")).alias("largest")), "key")
+        several.join(shapes.select("key", "largest", "blocks", "parts"), "key")
         .join(signed.select("row", "sketch"), "row")
         .join(maybe, "row")
         .withColumn("main", F.col("component") == F.col("largest"))
     )
     own_block, own_part = (F.pmod(F.xxhash64("row"), c).cast("int") for c in ("blocks", "parts"))
-    all_of = lambda c: F.explode(F.sequence(F.lit(0), F.col(c) - 1))
-    at_home = members.withColumn("block", own_block)
-    abroad = members.where(~F.col("main")).withColumn("block", all_of("blocks") if everywhere else own_block)
-    each = (
-        at_home.withColumn("part", all_of("parts"))
-        .withColumn("visits", F.lit(False))
-        .unionByName(abroad.withColumn("part", own_part).withColumn("visits", F.lit(True)))
+    all_of = lambda c: F.sequence(F.lit(0), F.col(c) - 1)
+    place = lambda block, part, visits: F.struct(
+        block.alias("block"), part.alias("part"), F.lit(visits).alias("visits")
     )
-    rows = each.select("key", "block", "part", "row", "component", "main", "visits", "sketch", "text")
+    at_home = F.transform(all_of("parts"), lambda part: place(own_block, part, False))
+    visited = F.when(F.col("main"), F.array().cast("array<int>")).otherwise(all_of("blocks") if everywhere else F.array(own_block))
+    abroad = F.transform(visited, lambda block: place(block, own_part, True))
+    each = members.withColumn("at", F.explode(F.concat(at_home, abroad)))
+    rows = each.select("key", "at.*", "row", "component", "main", "sketch", "text")
     groups = rows.repartition("key", "block", "part").sortWithinPartitions("key", "block", "part", "row")
-    return stage(_crossing(groups, idf).distinct(), name)
+    return stage(_crossing(groups, idf), name)
 
 
-def _verified(pairs: DataFrame, texts: DataFrame, idf, name: str) -> DataFrame:
-    """(a, b, s) of each pair of rows (a, b): the weighted Jaccard similarity of their whole texts."""
-    ids = stage(pairs.select(F.explode(F.array("a", "b")).alias("wanted")).distinct(), f"{name}-ids")
-    maybe, _ = split_by(texts, F.col("row"), ids, "wanted")
+def _verified(pairs: DataFrame, ids: DataFrame, texts: DataFrame, idf, name: str) -> DataFrame:
+    """(a, b, s) of each pair of rows (a, b), all in ``ids``: the weighted Jaccard similarity of their whole texts."""
+    maybe, _ = split_by(texts, F.col("row"), ids.select(F.col("row").alias("wanted")), "wanted")
     texts = stage(maybe.select("row", "text"), f"{name}-texts")
 
     read = lambda text: _read(text, idf.value)
@@ -369,31 +381,92 @@ def _verified(pairs: DataFrame, texts: DataFrame, idf, name: str) -> DataFrame:
     return stage(both.select("a", "b", "text_a", "text_b").mapInArrow(verify, "a long, b long, s double"), name)
 
 
-def _is_forest_of_stars(edges: DataFrame) -> bool:
-    """Every row hangs on one centre, and no centre hangs on another."""
-    sides = edges.select("u", F.lit(1).alias("hangs")).unionByName(edges.select(F.col("v").alias("u"), F.lit(0).alias("hangs")).distinct())
-    per = sides.groupBy("u").agg(F.sum("hangs").alias("h"), F.count("*").alias("n"))
-    return per.where("h > 1 or (h > 0 and n > h)").isEmpty()
+def _hung(u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(rows, smallest row each is connected with) of all rows of the edges that are not the smallest themselves."""
+    names, place = np.unique(np.concatenate((u, v)), return_inverse=True)
+    a, b = place[: len(u)], place[len(u) :]
+    root = np.arange(len(names))
+    while (root[a] != root[b]).any():
+        low = np.minimum(root[a], root[b])
+        for side in (root[a], root[b]):
+            np.minimum.at(root, side, low)
+        while (root[root] != root).any():
+            root = root[root]
+    hangs = np.flatnonzero(root != np.arange(len(names)))
+    return names[hangs], names[root[hangs]]
+
+
+def _contracted(edges: DataFrame, limit: int = EDGES) -> DataFrame:
+    """Edges (u, v, fresh), u > v, replaced by stars within each run of ``limit`` edges; fresh where a run, now or before, was none.
+
+    Where edges come sorted by u, all those of one u are seen together.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def flush() -> pa.RecordBatch:
+            u, v, was = (np.concatenate(c) for c in zip(*held))
+            stars = len(np.unique(u)) == len(np.unique(np.stack((u, v), 1), axis=0)) and not np.isin(v, u).any()
+            fresh = not stars or bool(was.any())
+            rows, centres = _hung(u, v)
+            last = centres[np.searchsorted(rows, u[-1])]
+            held[:] = [(u[-1:], np.array([last]), np.array([fresh]))]  # the last row may go on in the next run
+            return pa.RecordBatch.from_arrays(
+                [pa.array(rows), pa.array(centres), pa.array(np.full(len(rows), fresh))], ["u", "v", "fresh"]
+            )
+
+        held: list[tuple] = []
+        waiting = 0
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            held.append(tuple(batch.column(c).to_numpy(zero_copy_only=False) for c in ("u", "v", "fresh")))
+            waiting += batch.num_rows
+            if waiting >= limit:
+                yield flush()
+                waiting = 0
+        if waiting:
+            yield flush()
+
+    return edges.mapInArrow(run, "u long, v long, fresh boolean")
+
+
+def stars(links: DataFrame) -> DataFrame:
+    """(row, component) of all linked rows but the smallest of each component, which names it.
+
+    Edges are contracted where they lie and again dealt by their larger row;
+    then a row that hangs on one that hangs itself moves to the latter's
+    smallest. Nothing moves any more once every component is a star.
+    """
+    edges = links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v")
+    fresh = moved = True
+    while True:
+        dealt = _contracted(edges.select("u", "v", F.lit(False).alias("fresh"))).repartition("u").sortWithinPartitions("u")
+        edges = stage(_contracted(dealt), "stars")
+        fresh = not edges.where("fresh").isEmpty()
+        if fresh or moved:
+            low = edges.groupBy(F.col("u").alias("v")).agg(F.min("v").alias("m"))
+            climbed = edges.join(low, "v", "left").select("u", F.coalesce("m", "v").alias("v"), F.col("m").isNotNull().alias("moved"))
+            edges = stage(climbed, "climbed-stars")
+            moved = not edges.where("moved").isEmpty()
+        if not (fresh or moved):
+            return edges.select(F.col("u").alias("row"), F.col("v").alias("component"))
 
 
 def components(links: DataFrame) -> DataFrame:
-    """(row, component) of all linked rows: alternating large and small stars, the smallest row names a component."""
-    edges = stage(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct(), "edges")
-    while not _is_forest_of_stars(edges):
-        both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(least, "u").where("v > u and v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        large = stage(large.distinct(), "large-star")
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low, "u")
-        turned = small.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        edges = stage(small.select("u", F.col("m").alias("v")).unionByName(turned).distinct(), "small-star")
-    roots = edges.select(F.col("v").alias("row"), F.col("v").alias("component")).distinct()
-    return edges.select(F.col("u").alias("row"), F.col("v").alias("component")).unionByName(roots)
+    """(row, component) of all linked rows; the smallest row names a component."""
+    near = stars(links)
+    return near.unionByName(near.select(F.col("component").alias("row"), "component").distinct())
+
+
+def _merged(near: DataFrame, joined: DataFrame) -> DataFrame:
+    """``near`` after some of its components, or rows that are none's, were joined to smaller ones."""
+    further = joined.select(F.col("row").alias("component"), F.col("component").alias("next"))
+    moved = near.join(further, "component", "left").select("row", F.coalesce("next", "component").alias("component"))
+    return moved.unionByName(joined)
 
 
 def near_classes(texts: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(profiles of all documents, first row of each word sequence, components of the verified links between those rows)."""
+    """(profiles of all documents, first row of each word sequence, stars of the verified links between those rows)."""
     spark = texts.sparkSession
     small_batches(spark, 256)
     found = _profile(texts)
@@ -409,30 +482,32 @@ def near_classes(texts: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     hubs = banded.groupBy("key").agg(F.min("row").alias("hub"), F.count("*").alias("n")).where("n > 1")
     met = stage(banded.join(hubs.select("key", "hub"), "key"), "buckets")
     star = met.where("row <> hub").select(F.col("hub").alias("a"), F.col("row").alias("b")).distinct()
-    tested = _verified(star, texts, idf, "star-links")
-
-    # What is still apart is compared by its samples and verified: outsiders first with the block they are members of,
-    # where a bucket has several, then with all blocks. Nothing is left to compare after that.
-    links = tested.where(F.col("s") >= THRESHOLD)
-    near, several = _components_of(met, links)
-    large = several.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > BLOCK_ROWS)
-    for everywhere in [True] if large.isEmpty() else [False, True]:
-        if several.isEmpty():
-            break
-        new = _links_across(several, signed, texts, idf, everywhere, "links-across")
+    tested = _verified(star, met, texts, idf, "star-links")
+    near = stars(tested.where(F.col("s") >= THRESHOLD))
+    several = _open_buckets(met, near)
+
+    # What is still apart is compared by its samples and verified, outsiders with all blocks of their bucket. Where that
+    # is many more rows than members, the block they are members of comes first, and what it links need not visit.
+    shapes = _shapes(several)
+    home, all_ = shapes.agg(F.sum(F.expr("n * parts + outside")), F.sum(F.expr("n * parts + outside * blocks"))).first()
+    if home is None:
+        return rows, firsts, near
+    if all_ > 2 * home:
+        new = _links_across(several, shapes, signed, texts, idf, False, "links-in-blocks")
         if not new.isEmpty():
-            links = links.unionByName(new)
-            near, several = _components_of(met, links)
-    return rows, firsts, near
+            near = _merged(near, stars(new))
+            several = _open_buckets(met, near)
+            shapes = _shapes(several)
+    new = _links_across(several, shapes, signed, texts, idf, True, "links-across")
+    return rows, firsts, near if new.isEmpty() else _merged(near, stars(new))
 
 
-def _components_of(met: DataFrame, links: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(components of all linked rows so far, members of buckets with several components)."""
-    near = components(links)
+def _open_buckets(met: DataFrame, near: DataFrame) -> DataFrame:
+    """(key, row, component) of the members of buckets with several components."""
     marked = met.join(near, "row", "left").withColumn("component", F.coalesce("component", "row")).drop("hub")
     marked = stage(marked, "marked-buckets")
     ends = marked.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high"))
-    return near, stage(marked.join(ends.where("low <> high").select("key"), "key"), "open-buckets")
+    return stage(marked.join(ends.where("low <> high").select("key"), "key"), "open-buckets")
 
 
 def near_dedup(docs: DataFrame) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from duecheck.llm import minhash_dedup as near
 from duecheck.llm import queries, words
+from duecheck.sources.tables import noted
 
 SMALL = "/root/testdata/sf0.01"
 
@@ -139,3 +140,28 @@ def test_odd_rows(spark):
     assert left.columns == docs.columns and left.count() == 4
     assert near.near_dedup(docs.limit(0)).collect() == [] and near.kept(docs.limit(0)).collect() == []
     assert near.near_dedup(docs.where(F.col("text") == "")).count() == 1
+
+
+def test_a_hot_group_in_parts_stores_few_tables(spark):
+    hot = [f"h{i}" for i in range(150)]
+    rows = []
+    for n in range(400):  # near copies of each other in chains of edits, so links are many steps long
+        hot[n % 150] = f"edit{n}"
+        rows.append((n, " ".join(hot)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    with noted() as stored:
+        got = near.near_dedup(docs).collect()
+    assert len(stored) <= 22, [s.rsplit("/", 1)[1] for s in stored]
+    assert {r.class_id for r in got} == {0}
+
+
+def test_contraction_in_short_runs(spark):
+    rng = np.random.default_rng(9)
+    pairs = {(max(p), min(p)) for p in rng.integers(0, 60, (90, 2)).tolist() if p[0] != p[1]}
+    edges = spark.createDataFrame([(u, v, False) for u, v in sorted(pairs)], "u long, v long, fresh boolean").coalesce(1)
+    got = near._contracted(edges, 7).collect()
+    assert closed([(r.u, r.v) for r in got], 60) == closed(pairs, 60)
+    assert any(r.fresh for r in got) and all(r.u > r.v for r in got)
+    settled = spark.createDataFrame([(u, u % 5, False) for u in range(5, 60)], "u long, v long, fresh boolean")
+    got = near._contracted(settled, 7).distinct().collect()
+    assert sorted(map(tuple, got)) == [(u, u % 5, False) for u in range(5, 60)]
