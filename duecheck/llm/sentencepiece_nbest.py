@@ -21,6 +21,7 @@ at each run. Rows repeated or without an id are encoded each.
 
 import re
 from array import array
+from bisect import bisect_left
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass, field
 from operator import itemgetter
@@ -40,7 +41,9 @@ N_BEST = 3
 SPACE = "▁"
 _UNKNOWN_PENALTY = 10.0
 _CACHE_WORDS = 400_000
-_TOGETHER = 40
+#: Words up to such lengths are solved together, padded to the next one; candidates of one such array at most.
+_WIDTHS = (4, 6, 8, 10, 12, 15, 20, 28, 40)
+_CELLS = 1 << 20
 _ODD = re.compile(f" +[^ {SPACE}]*|[^ {SPACE}]+|{SPACE}")
 
 _RANK = itemgetter(0, 1, 2)
@@ -87,7 +90,12 @@ class PieceTable:
 
     def __init__(self, pieces: dict[str, tuple[int, float]]) -> None:
         self.longest = max(map(len, pieces))
-        keys = np.array([self._hash(np.array([list(map(ord, p))], np.uint64))[0] for p in pieces], np.uint64)
+        names, keys = list(pieces), np.zeros(len(pieces), np.uint64)
+        sizes = np.array(list(map(len, names)))
+        for size in np.unique(sizes):
+            same = np.flatnonzero(sizes == size)
+            text = "".join([names[i] for i in same])
+            keys[same] = self._hash(np.frombuffer(text.encode("utf-32-le"), np.uint32).reshape(-1, size).astype(np.uint64))
         if len(np.unique(keys)) != len(keys):
             raise ValueError("two pieces share a hash")
         found = list(pieces.values())
@@ -142,6 +150,7 @@ class Lattice:
         self.table = PieceTable(vocabulary.pieces)
         self.words: dict[str, tuple] = {}
         self.parts: dict[str, tuple] = {}
+        self.several: dict[str, list[Segmentation]] = {}
 
     def as_bytes(self, text: str) -> tuple[int, ...]:
         return tuple(self.v.byte_ids[b] for b in text.encode())
@@ -226,25 +235,28 @@ class Lattice:
         return found
 
     def _learn(self, words: set[str]) -> None:
-        """Solve new words together, length by length: forward and backward Viterbi over arrays of words.
+        """Solve new words together, by ranges of length: forward and backward Viterbi over arrays of words.
 
         The second best path has an edge off the best one, so its score is the
         best score through any such edge: forward + edge + backward.
         """
-        by_size: dict[int, list[str]] = {}
+        by_width: dict[int, list[str]] = {}
         for w in words:
-            by_size.setdefault(len(w) + 1, []).append(w)
-        for size, same in by_size.items():
-            if size > _TOGETHER:
-                for w in same:
-                    self.words[w] = self._word(SPACE + w)
-                continue
-            text = "".join([SPACE + w for w in same])
-            codes = np.frombuffer(text.encode("utf-32-le"), np.uint32).reshape(-1, size).T.astype(np.uint64)
-            self._solve_together(same, codes)
-
-    def _solve_together(self, words: list[str], codes: np.ndarray) -> None:
-        size, n = codes.shape
+            if len(w) < _WIDTHS[-1]:
+                by_width.setdefault(_WIDTHS[bisect_left(_WIDTHS, len(w) + 1)], []).append(w)
+            else:
+                self.words[w] = self._word(SPACE + w)
+        for width, similar in by_width.items():
+            most = _CELLS // (width * width)
+            for low in range(0, len(similar), most):
+                self._solve_together(similar[low : low + most], width)
+
+    def _solve_together(self, words: list[str], size: int) -> None:
+        """Words of up to ``size`` characters with their mark. What pads a word lies behind its end, where no path of it goes."""
+        n = len(words)
+        text = "".join([(SPACE + w).ljust(size, "\0") for w in words])
+        codes = np.frombuffer(text.encode("utf-32-le"), np.uint32).reshape(n, size).T.astype(np.uint64)
+        own_end, each_word = np.array([len(w) + 1 for w in words]), np.arange(n)
         ids: dict[tuple, np.ndarray] = {}
         scores: dict[tuple, np.ndarray] = {}
         for start in range(size):
@@ -255,19 +267,22 @@ class Lattice:
                 if end == start + 1:
                     found[score == -np.inf] = -1
                     score[score == -np.inf] = self.v.unknown
+                elif score.max() == -np.inf:
+                    continue
                 ids[start, end], scores[start, end] = found, score
         ahead, back = np.full((size + 1, n), -np.inf), np.full((size + 1, n), -np.inf)
-        ahead[0], back[size] = 0, 0
+        ahead[0], back[own_end, each_word] = 0, 0
         origin, piece = np.zeros((size + 1, n), np.int32), np.zeros((size + 1, n), np.int32)
         for start, end in sorted(scores, key=lambda e: e[1]):
             new = ahead[start] + scores[start, end]
             better = new > ahead[end]
-            ahead[end][better], origin[end][better] = new[better], start
-            piece[end][better] = ids[start, end][better]
+            np.copyto(ahead[end], new, where=better)
+            np.copyto(origin[end], start, where=better)
+            np.copyto(piece[end], ids[start, end], where=better)
         for start, end in sorted(scores, reverse=True):
             np.maximum(back[start], scores[start, end] + back[end], out=back[start])
         used = np.zeros((size + 1, n), bool)
-        used[size] = True
+        used[own_end, each_word] = True
         for end in range(size, 0, -1):
             rows = np.flatnonzero(used[end])
             used[origin[end][rows], rows] = True
@@ -278,8 +293,9 @@ class Lattice:
             np.maximum(second, through, out=second)
         rows, ends = np.nonzero(used[1:].T)
         flat = piece[ends + 1, rows].astype("<i4")
-        cuts = np.searchsorted(rows, np.arange(n + 1)) * 4
-        raw, total, gap = flat.tobytes(), ahead[size].tolist(), (ahead[size] - second).tolist()
+        cuts = (np.searchsorted(rows, np.arange(n + 1)) * 4).tolist()
+        score = ahead[own_end, each_word]
+        raw, total, gap = flat.tobytes(), score.tolist(), (score - second).tolist()
         unknown = set(rows[flat == -1].tolist())
         for i, w in enumerate(words):
             marked, own = SPACE + w, slice(cuts[i], cuts[i + 1])
@@ -294,8 +310,9 @@ class Lattice:
         """The N best (score, ids as little-endian 32-bit integers) of each whole text."""
         if len(self.words) > _CACHE_WORDS:
             self.words.clear()
-        if len(self.parts) > _CACHE_WORDS:
-            self.parts.clear()
+        for kept in (self.parts, self.several):
+            if len(kept) > _CACHE_WORDS:
+                kept.clear()
         split = [None if _irregular(t) else t.split(" ") for t in texts]
         self._learn(set().union(*(w for w in split if w)) - self.words.keys())
         return [self._best(t, words) if t else [(0.0, b"")] for t, words in zip(texts, split, strict=True)]
@@ -309,9 +326,8 @@ class Lattice:
         else:
             parts = _ODD.findall(" " + text)
             words = [self._word("" if p == SPACE else p.replace(" ", SPACE)) for p in parts]
-        ids = [w[0] for w in words]
-        total = float(sum([w[1] for w in words]))
-        gaps = [w[2] for w in words]
+        ids, scores, gaps, _ = zip(*words)
+        total = float(sum(scores))
         # Only the n - 1 words that lose least can differ from their best among the n best sums.
         open_ = np.argsort(np.array(gaps), kind="stable")[: self.n - 1]  # ties: the first word
         sums: list[tuple[float, dict[int, tuple]]] = [(0.0, {})]
@@ -319,7 +335,10 @@ class Lattice:
             if gaps[w] == np.inf:
                 break
             own = tuple(array("i", ids[w]))
-            others = [(words[w][1], own)] + [x for x in self.solve(words[w][3], self.n) if x[1] != own]
+            marked = words[w][3]
+            if marked not in self.several:
+                self.several[marked] = self.solve(marked, self.n)
+            others = [(words[w][1], own)] + [x for x in self.several[marked] if x[1] != own]
             more = [
                 (lost + words[w][1] - score, chosen | ({w: found} if k else {}))
                 for lost, chosen in sums

@@ -103,3 +103,18 @@ def test_round_trip_is_told(spark, monkeypatch):
 def test_decode_frames(spark):
     df = spark.createDataFrame([([1, 2],), ([],), (None,)], "ids array<int>")
     assert [r.decoded for r in sentencepiece_nbest.decode(df, "ids").collect()] == ["", "", None]
+
+
+def test_words_of_many_lengths_are_solved_in_few_arrays(vocabulary, monkeypatch):
+    letters = "internationalisation☃ofthequickerbrown\u0000étude"
+    words = {letters[i : i + size] for size in range(1, 45) for i in range(0, len(letters) - size + 1, 3)}
+    calls, solve = [], Lattice._solve_together
+    monkeypatch.setattr(Lattice, "_solve_together", lambda self, *a: (calls.append(len(a[0])), solve(self, *a))[1])
+    lattice, plain = Lattice(vocabulary), Lattice(vocabulary)
+    lattice._learn(words)
+    assert len(calls) <= 9 and sum(calls) == len([w for w in words if len(w) < 40])
+    for w in words:
+        ids, score, gap, marked = lattice.words[w]
+        wanted = plain._word(SPACE + w)
+        assert marked == wanted[3] and np.allclose([score, gap], wanted[1:3])
+        assert ids == wanted[0] or gap < 1e-9
